@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, mixing
+from . import leakage, mixing, neighbours
 from . import sentences as sent
 
 QUERIES: dict = {}
@@ -57,3 +57,29 @@ def p9_shares(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return sent.sentences(spread(spark, table(spark, d, "documents").select("doc_id", "text")))
+
+
+def _whole(spark: SparkSession, d: str) -> DataFrame:
+    v = table(spark, d, "block_vectors").where("first_row = 0 and last_row = 0").select("block_id", F.col("vector").alias("v"))
+    return spread(spark, v)
+
+
+@query("""WITH r AS (SELECT DISTINCT block_id, vector FROM block_vectors WHERE first_row = 0 AND last_row = 0 AND block_id IS NOT NULL AND len(vector) = 64
+   AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+ s AS (SELECT a.block_id AS a, b.block_id AS b, max(list_cosine_similarity(a.vector::DOUBLE[], b.vector::DOUBLE[])) AS c FROM r a JOIN r b ON a.block_id <> b.block_id GROUP BY 1, 2),
+ t AS (SELECT a, b, c FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY c DESC, b) <= 10)
+ SELECT DISTINCT least(a, b) AS block_a, greatest(a, b) AS block_b FROM t WHERE c >= 0.9""")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    n = neighbours.neighbours(_whole(spark, d), "block_id", "v", 64, 10, floor=0.90)
+    return n.select(F.least("block_id", "near").alias("block_a"), F.greatest("block_id", "near").alias("block_b")).distinct()
+
+
+@query()
+def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbours(_whole(spark, d), "block_id", "v", 64, 10)
+
+
+@query()
+def p4_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Recall of the 10 nearest, for every block whose id is divisible by 100, against all rows ranked exactly."""
+    return neighbours.recall(_whole(spark, d), "block_id", "v", 64, 10)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, mixing, neighbours
+from . import leakage, mixing, neighbours, origin, syntax
 from . import sentences as sent
 
 QUERIES: dict = {}
@@ -83,3 +83,29 @@ def p4_neighbours(spark: SparkSession, d: str) -> DataFrame:
 def p4_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall of the 10 nearest, for every block whose id is divisible by 100, against all rows ranked exactly."""
     return neighbours.recall(_whole(spark, d), "block_id", "v", 64, 10)
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    return spread(spark, table(spark, d, "code_files").select("file_id", "codebase_id", "language", "path", "content"))
+
+
+@query()
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return syntax.syntax_errors(_files(spark, d)).where("error is not null").select("file_id").distinct()
+
+
+@query()
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Files that do not parse, and their rate, per codebase and language as written."""
+    e = syntax.syntax_errors(_files(spark, d), keep=("codebase_id", "language"))
+    return e.groupBy("codebase_id", "language").agg(F.count(F.lit(1)).alias("n_files"), F.count("error").alias("n_errors"), F.round(F.count("error") / F.count(F.lit(1)), 6).alias("error_rate"))
+
+
+@query()
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return origin.origins(_files(spark, d)).select("file_id").distinct()
+
+
+@query()
+def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
+    return origin.origins(_files(spark, d))

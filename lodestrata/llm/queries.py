@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import leakage, mixing, neighbours, origin, syntax
+from . import leakage, mixing, neighbours, origin, scans, syntax
 from . import sentences as sent
 
 QUERIES: dict = {}
@@ -109,3 +109,14 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def p5_reasons(spark: SparkSession, d: str) -> DataFrame:
     return origin.origins(_files(spark, d))
+
+
+@query()
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return scans.repair(spread(spark, table(spark, d, "blocks")), table(spark, d, "documents"))["found"]
+
+
+@query()
+def p1_paragraphs(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's blocks as continuous, repaired paragraphs."""
+    return scans.paragraphs(scans.repair(spread(spark, table(spark, d, "blocks")), table(spark, d, "documents")))

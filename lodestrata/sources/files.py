@@ -224,7 +224,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def markdown_rows(df: DataFrame, columns: list[str], out: str = "line") -> DataFrame:
     """One Markdown table line per row; pipes are escaped and line ends become spaces."""
-    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", r"\\\\|"), r"\s*\n\s*", " ")
+    cell = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), r"\|", r"\\|"), r"\s*\n\s*", " ")
     return df.withColumn(out, F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |")))
 
 

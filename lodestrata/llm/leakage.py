@@ -116,7 +116,8 @@ def _windowed(df: DataFrame, id_col: str, text: str, names, n: int, keep) -> Dat
                     cols[2].append(int(tem[p].view(np.int64)))
                     cols[3].append(int(lit[p].view(np.int64)))
                     cols[4].append([w for w in ws[p : p + n] if slot_type(w, lex)])
-            yield pd.DataFrame(dict(zip([id_col, "pos", "tem", "lit", "slots"], cols, strict=True)))
+            if cols[0]:
+                yield pd.DataFrame(dict(zip([id_col, "pos", "tem", "lit", "slots"], cols, strict=True)))
 
     return df.select(id_col, text).where(F.col(text).isNotNull()).mapInPandas(run, f"{id_col} {dict(df.dtypes)[id_col]}, pos int, tem long, lit long, slots array<string>")
 

@@ -38,8 +38,9 @@ NEVER = set(
     "डॉ श्री प्रो ".split()
 )
 MAYBE = set("etc usw u.s u.k u.n e.u a.m p.m inc ltd co corp bros jr sr. std град т.д т.п др usf ff et.al ll.c s.a gmbh".split())
-OPEN, CLOSE = "([{«“„「『（【〈《‹", ")]}»”」』）】〉》›"
-PAIR = dict(zip(OPEN, CLOSE, strict=False)) | {"„": "“"}
+OPEN, CLOSE = "([{«“「『（【〈《‹„", ")]}»”」』）】〉》›“"
+PAIR = dict(zip(OPEN, CLOSE, strict=True))
+CLOSE = CLOSE[:-1]  # “ closes „ only; elsewhere it opens
 STRONG = "。！？｡।॥۔"
 MARK = re.compile(r"[.!?؟…。！？｡।॥۔]+")
 LIST = re.compile(r"\s*(?:[-–—*+•·‣▪●○◦]|\(?(?:\d{1,3}|[a-z]|[ivx]{1,4})[.)]|\d{1,2}(?:\.\d{1,2}){1,5}\.?)\s+(?=\S)")
@@ -297,7 +298,8 @@ def boundary(mark: str, before: str, after: str, gap: str, model: Model) -> floa
         return (-5.0 if lower or first.isdigit() else -2.0 + 0.5 * (model.opening(after) + known)) if known < 2.5 else (-3.0 if lower else 1.0 + model.opening(after))
     if not gap:  # no space after the stop: both words must be known at edges
         return -1.5 + min(2.0, model.closing(before, False)) + min(2.5, model.opening(after)) - (6.0 if "." in before else 0.0)
-    score = 3.0 + model.closing(before, False)
+    known = model.closing(before, False)
+    score = 3.0 + (known if len(word) <= 6 or "." in word else max(-1.0, known))  # long words are hardly abbreviations
     if re.fullmatch(r"\d{1,3}", word):
         score = 2.0 + model.opening(after)
         return score - 3.0 if lower else score

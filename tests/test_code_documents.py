@@ -142,3 +142,32 @@ def test_plans_push_down(spark, tmp_path):
     x = spark.read.parquet(str(tmp_path / "r")).where(F.col("target").startswith("java.util.")).select("id")
     plan = x._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(target,java.util.)" in plan and "wide" not in plan.split("ReadSchema")[1]
+
+
+def test_research_functions(spark):
+    from lodestrata.operators import research as re_
+
+    assert re_.parameter_types("Map<String, List<A>> f(final Map<String, int[]> m, @N A... xs)") == ["Map<String, int[]>", "A..."]
+    assert re_.parameter_types("function g(a: Record<string, () => void>, b?: number, c): T") == ["Record<string, () => void>", "number", ""]
+    assert re_.parameter_types("field x") == [] and re_.parameter_types(None) == []
+    assert re_.lcs_share("abcd", "axcd") == 0.75 and re_.lcs_share("", "") == 1.0
+    assert [round(x[2], 3) for x in re_.align("The pump is open and the valve is shut now.", "Nothing like it at all here, truly. The pump is open and the valve is shut now.")] == [1.0]
+    c = re_.components(spark.createDataFrame([(1, 2), (3, 2), (9, 8), (5, 5)], "a long, b long"), "a", "b")
+    assert {tuple(r) for r in c.collect()} == {(1, 1), (2, 1), (3, 1), (8, 8), (9, 8), (5, 5)}
+    v = re_.embed(spark.createDataFrame([(1, "red pump"), (2, "blue"), (3, None)], "id long, text string"), "text")
+    n = re_.nearest(v, "id", {7: re_.hashed_bag(["pump red"])[0]}, floor=0.5).collect()
+    assert [(r["qid"], r["id"], round(r["sim"], 3)) for r in n] == [(7, 1, 1.0)]
+    e = spark.createDataFrame([("Doc A", "1.2", None), ("Doc A", "3", None)], "document string, clause string, page string")
+    ok = e.select(re_.agrees({"document": F.lit("The doc a"), "clause": F.lit("1.2"), "page": F.lit("5")}, {k: F.col(k) for k in ("document", "clause", "page")}).alias("ok")).collect()
+    assert [r["ok"] for r in ok] == [True, False]
+
+
+def test_links_and_outlines(spark):
+    from lodestrata.operators import research as re_
+
+    ln = spark.createDataFrame([(1, "goto", 1, 4, "Table 1", False), (2, "goto", 1, 5, "table 1", False), (3, "uri", 1, None, None, False), (4, "goto", 1, None, "Table 1", True), (5, "goto", 1, 2, "Table 9", False)], "link_id long, kind string, doc_id long, target_page int, expected_label string, dead boolean")
+    t = spark.createDataFrame([(1, "Table 1", 4)], "doc_id long, label string, page int")
+    assert {tuple(r) for r in re_.link_state(ln, t).collect()} == {(1, "ok"), (2, "wrong"), (3, "external"), (4, "dead"), (5, "unresolved")}
+    toc = spark.createDataFrame([(1, 1, "Scope!", "1"), (1, 2, "Old name", "2"), (1, 3, "None", "")], "doc_id long, entry long, text string, num string")
+    h = spark.createDataFrame([(1, 10, "scope", "7"), (1, 11, "New name", "2")], "doc_id long, block_id long, text string, num string")
+    assert {(r["entry"], r["block_id"], r["how"]) for r in re_.match_outline(toc, h).collect()} == {(1, 10, "text"), (2, 11, "number"), (3, None, "none")}

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import Stages
+from ..session import Stages, join_hot
 
 SAMPLE = 16_384  # rows the router is fitted on, at most
 PART_ROWS = 1_500  # aimed at per part
@@ -226,7 +226,10 @@ def neighbours(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
     firsts = ids.select(F.col("vid").alias("f_vid"), F.col("id").alias("near_id"))
     link = link.join(firsts, F.col("near") == F.col("f_vid")).select("vid", "near_id", "sim")
     top = link.withColumn("rk", F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("sim"), "near_id"))).where(F.col("rk") <= k + 1 + k).select("vid", "near_id", "sim")
-    out = r.select("id", "vid").join(top, "vid").where(F.col("id") != F.col("near_id")).groupBy("id", "near_id").agg(F.max("sim").alias("sim"))
+    # one row per vector, so that a vector under very many ids is a hot key of a unique side
+    lists = st.put(top.groupBy(F.col("vid").alias("l_vid")).agg(F.collect_list(F.struct("near_id", "sim")).alias("ls")))
+    out = join_hot(r.select("id", "vid"), lists, "vid", "l_vid", "inner").select("id", F.explode("ls").alias("x")).select("id", F.col("x.near_id").alias("near_id"), F.col("x.sim").alias("sim"))
+    out = out.where(F.col("id") != F.col("near_id")).groupBy("id", "near_id").agg(F.max("sim").alias("sim"))
     out = out.withColumn("rk", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "near_id"))).where(F.col("rk") <= k)
     if floor is not None:
         out = out.where(F.col("sim") >= floor)

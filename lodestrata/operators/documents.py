@@ -340,7 +340,7 @@ ACRONYM = r"\b((?:[A-Z][a-z]+[ -](?:of |and |for |the )?){1,5}[A-Z]?[a-z]*)\s+\(
 def acronyms(blocks: DataFrame) -> DataFrame:
     """(doc_id, acronym, expansion): "Full Name (FN)" whose capitals spell the acronym; a document's first one wins."""
     x = blocks.select("doc_id", "seq", "block_id", F.explode(F.regexp_extract_all("text", F.lit(ACRONYM), F.lit(0))).alias("m"))
-    y = x.select("doc_id", "seq", "block_id", F.regexp_extract("m", ACRONYM, 2).alias("acronym"), F.trim(F.regexp_extract("m", ACRONYM, 1)).alias("expansion"))
+    y = x.select("doc_id", "seq", "block_id", F.regexp_extract("m", ACRONYM, 2).alias("acronym"), F.regexp_replace(F.trim(F.regexp_extract("m", ACRONYM, 1)), r"^(?:The|An?)\s+", "").alias("expansion"))
     y = y.where(F.array_join(F.regexp_extract_all("expansion", F.lit("([A-Z])"), F.lit(1)), "") == F.col("acronym"))
     return y.groupBy("doc_id", "acronym").agg(F.min_by("expansion", F.struct("seq", "block_id", "expansion")).alias("expansion"))
 

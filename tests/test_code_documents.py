@@ -171,3 +171,15 @@ def test_links_and_outlines(spark):
     toc = spark.createDataFrame([(1, 1, "Scope!", "1"), (1, 2, "Old name", "2"), (1, 3, "None", "")], "doc_id long, entry long, text string, num string")
     h = spark.createDataFrame([(1, 10, "scope", "7"), (1, 11, "New name", "2")], "doc_id long, block_id long, text string, num string")
     assert {(r["entry"], r["block_id"], r["how"]) for r in re_.match_outline(toc, h).collect()} == {(1, 10, "text"), (2, 11, "number"), (3, None, "none")}
+
+
+def test_clauses_acronyms_and_findings(spark):
+    rows = [(1, 1, "1 Scope"), (1, 2, "see 2 apples."), (1, 3, "2.1 Use of it"), (1, 4, "9.9 Far away"), (1, 5, "3 Limits"), (2, 1, "12 Too high"), (2, 2, None)]
+    got = {(r["doc_id"], r["num"]) for r in do.clauses_of(spark.createDataFrame(rows, "doc_id long, seq int, text string")).collect()}
+    assert got == {(1, "1"), (1, "2.1"), (1, "3")}
+    b = spark.createDataFrame([(1, 1, 10, "The Global Control Unit (GCU) and Some Thing (XX)."), (1, 2, 11, "Good Chief Uncle (GCU)")], "doc_id long, seq int, block_id long, text string")
+    assert [tuple(r) for r in do.acronyms(b).collect()] == [(1, "GCU", "Global Control Unit")]
+    q = do.quantities(spark.createDataFrame([(1, "in 10 seconds and 1.50 mm"), (2, "in 12 seconds and 1,5 mm"), (3, None)], "block_id long, text string"))
+    assert {tuple(r) for r in q.collect()} == {(1, "seconds", "10"), (1, "mm", "1.5"), (2, "seconds", "12"), (2, "mm", "1.5")}
+    f = do.assess(spark.createDataFrame([(1, 2)], "a long, b long"), q, spark.createDataFrame([(1, 3), (2, 1)], "block_id long, strength int"))
+    assert {tuple(r) for r in f.collect()} == {(1, 2, "values"), (1, 2, "weaker")}

@@ -40,6 +40,7 @@ NEVER = set(
 MAYBE = set("etc usw u.s u.k u.n e.u a.m p.m inc ltd co corp bros jr sr. std град т.д т.п др usf ff et.al ll.c s.a gmbh".split())
 OPEN, CLOSE = "([{«“「『（【〈《‹„", ")]}»”」』）】〉》›“"
 PAIR = dict(zip(OPEN, CLOSE, strict=True))
+NEST = re.compile("[" + re.escape(OPEN + CLOSE) + '"]')
 CLOSE = CLOSE[:-1]  # “ closes „ only; elsewhere it opens
 STRONG = "。！？｡।॥۔"
 MARK = re.compile(r"[.!?؟…。！？｡।॥۔]+")
@@ -58,9 +59,16 @@ def _norm(w: str) -> str:
     return re.sub(r"\d+", "0", w.lower())[:16]
 
 
+UNSPACED = re.compile("[\u0e00-\u0eff\u1780-\u17ff\u1000-\u109f]")
+
+
 def _unspaced(c: str) -> bool:
     """Scripts that put spaces between phrases and have no full stop: Thai, Lao, Khmer, Myanmar."""
-    return "฀" <= c <= "໿" or "ក" <= c <= "៿" or "က" <= c <= "႟"
+    return UNSPACED.match(c) is not None
+
+
+def _mostly_unspaced(text: str, a: int, b: int) -> bool:
+    return UNSPACED.search(text, a, b) is not None and len(UNSPACED.findall(text, a, b)) * 4 > b - a
 
 
 def blocks(text: str) -> Iterator[tuple[int, int]]:
@@ -132,7 +140,7 @@ GLUED = re.compile(r"[\"“«(]?(?:[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ']*|[А-ЯЁ][а
 def candidates(text: str, a: int, b: int) -> list[tuple[int, int, str, str, str]]:
     """(end, next start, mark, word before, word after) for each place in the paragraph where a unit might end."""
     out = []
-    thai = sum(map(_unspaced, text[a:b])) * 4 > b - a
+    thai = _mostly_unspaced(text, a, b)
     depth_french = 0
     straight = 0
     last = a
@@ -159,7 +167,7 @@ def candidates(text: str, a: int, b: int) -> list[tuple[int, int, str, str, str]
             else:
                 break
         mark = m.group()
-        strong = any(c in STRONG for c in mark) or (thai and False)
+        strong = any(c in STRONG for c in mark)
         glued = e < b and not text[e].isspace() and not strong
         if glued and not (GLUED.match(text, e) and (text[m.start() - 1 : m.start()].islower() or e > m.end() or text[m.start() - 1 : m.start()].isalnum() and len(mark) == 1)):
             continue
@@ -192,7 +200,7 @@ def _phrase(text: str, a: int, e: int) -> str:
     while p > a and not text[p - 1].isspace():
         p -= 1
     for _ in range(4):
-        if p <= a or any(map(_unspaced, text[p:e])):
+        if p <= a or UNSPACED.search(text, p, e):
             break
         q = p
         while q > a and text[q - 1].isspace():
@@ -210,7 +218,7 @@ def _open_key(w: str) -> str:
 
 
 def _close_key(w: str) -> str:
-    if w and any(map(_unspaced, w)):
+    if w and UNSPACED.search(w):
         tail = re.search(r"\S*[\u0e00-\u109f\u1780-\u17ff](?=[^\u0e00-\u109f\u1780-\u17ff]*$)", w).group()
         return "t" + tail[-10:] + ("" if _unspaced(w[-1]) else " #")
     return _norm(w.lstrip("\"'“„«([{「『（").rstrip("\"'”’»)]}"))
@@ -232,7 +240,7 @@ def edge_counts(texts: pd.Series) -> Counter:
                 first = TOKEN.match(t, s, e)
                 c[_slot("o", _open_key(first.group())), 1] += 1
                 tail = re.search(r"(\S*?)\s*([.!?؟…。！？।]*)[\"'”’»)\]」』）\s]*$", t[s:e][-60:])
-                last = _phrase(t, s, s + len(t[s:e].rstrip())) if sum(map(_unspaced, t[s:e])) * 4 > e - s else tail.group(1)
+                last = _phrase(t, s, s + len(t[s:e].rstrip())) if _mostly_unspaced(t, s, e) else tail.group(1)
                 c[_slot("c" + ("" if tail.group(2) else " "), _close_key(last)), 1] += 1
                 for _, _, mark, before, after in cs:
                     c[_slot("o", _open_key(after)), 0] += 1
@@ -318,12 +326,11 @@ def cut(text: str, a: int, b: int, model: Model) -> list[tuple[int, int]]:
     if not cs:
         return [(a, b)]
     # nesting at every candidate
-    depth, stack, state = [], [], {}
+    depth, stack = [], []
     pos = a
     straight = 0
-    level = 0
     for e, *_ in [*cs, (b, b, "", "", "")]:
-        for c in text[pos:e]:
+        for c in NEST.findall(text, pos, e):
             if c == '"':
                 straight ^= 1
             elif c == "“" and stack and stack[-1] == "„":

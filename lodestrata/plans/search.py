@@ -56,7 +56,7 @@ TWO = {1: "torque value", 2: "status report calibrated", 3: "signal converter",
 TWO_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, v in TWO.items() for t in v.split()) + ") v(qid, term)"
 
 
-@query(_scores(TWO_SQL) + " SELECT qid, id AS block_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, id) AS rank FROM sc JOIN qn USING (qid) WHERE matched = n_terms QUALIFY rank <= 25")
+@query(_scores(TWO_SQL) + " SELECT qid, id AS block_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc JOIN qn USING (qid) WHERE matched = n_terms QUALIFY rank <= 25")
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
     b = passages(spark, d)
     s = se.top_k(se.bm25(_index(b), se.queries_df(spark, TWO), _weight(b)).withColumn("score", F.round("score", 9)), 25)

@@ -8,6 +8,8 @@
    at most log2(n) chains, so labels are carried from chain to chain in that many rounds, however deep the tree is.
 4. *Labels.* A path is the concatenation of chain segments. Visiting the heavy child first numbers each chain
    consecutively, so a node's descendants are exactly the interval [pre, pre + size) within its root.
+5. *Loops.* A loop is contracted to its smallest member, which makes its component an ordinary tree that is labelled with
+   the others; all members share pre 0. The places where chains enter the loop give the distances around it.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from ..session import Stages, join_hot
 
 SIBLING_BUCKET = 20_000  # light children of one parent per prefix-sum task
+BLOCK_BITS = 8  # intervals are joined in aligned blocks of at most 2^8 places, so no join key holds more nodes
 
 
 def clean_edges(df: DataFrame, id_col: str, parent_col: str, name_col: str, version_col: str | None = None) -> DataFrame:
@@ -112,15 +115,56 @@ def _chains(st: Stages, tree: DataFrame) -> DataFrame:
     return out
 
 
+def _contract(st: Stages, looped: DataFrame) -> DataFrame:
+    """Nodes of :func:`_loops` as trees: id, name, written (parent), low (smallest id of the loop), on_loop, parent (the
+    loop's members as ``low``), level (steps to the loop), size (of the tree below, a loop counting as one), turn (steps
+    around the loop from where it is entered to ``low``), loop_len."""
+    lo = _loops(st, looped).select(F.col("id").alias("o_id"), F.col("loop_min").alias("low"), "on_loop")
+    x = st.put(looped.join(lo, looped["id"] == lo["o_id"]).drop("o_id"))
+    up = x.select(F.col("id").alias("u_id"), F.col("on_loop").alias("u_on"))
+    first = F.col("id") == F.col("low")
+    x = join_hot(x, up, "parent", "u_id", "inner").select("id", "name", F.col("parent").alias("written"), "low", "on_loop", F.when(F.col("on_loop"), None).when(F.col("u_on"), F.col("low")).otherwise(F.col("parent")).alias("parent"))
+    x = st.put(x)
+    trees = _double(st, x.where(~F.col("on_loop") | first).select("id", "parent"))[1].select(F.col("id").alias("t_id"), F.col("depth").alias("level"), "size")
+    steps = _double(st, x.select("id", F.when(~first, F.col("written")).alias("parent")))[1].select(F.col("id").alias("s_id"), F.col("depth").alias("steps"))
+    lens = x.where("on_loop").groupBy(F.col("low").alias("l_low")).agg(F.count(F.lit(1)).alias("loop_len"))
+    x = x.join(trees, F.col("id") == F.col("t_id"), "left").join(steps, F.col("id") == F.col("s_id"))
+    x = join_hot(st.put(x), lens, "low", "l_low", "inner")
+    level = F.coalesce("level", F.lit(0).cast("long"))
+    return st.put(x.select("id", "name", "written", "low", "on_loop", "parent", level.alias("level"), "size", (F.col("steps") - level).alias("turn"), "loop_len"))
+
+
+def _looped(st: Stages, x: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Result rows of the nodes of :func:`_contract` from their labels; a path below a loop begins at the member it hangs on."""
+    label = nodes.select("n_id", F.col("pre").alias("n_pre"), F.col("path").alias("n_path"), F.get("path_ids", F.lit(1)).alias("entry"))
+    own = st.put(x.where("not on_loop").join(label, F.col("id") == F.col("n_id")))
+    up = x.select(F.col("id").alias("e_id"), F.col("written").alias("e_up"))
+    own = st.put(join_hot(own, up, "entry", "e_id", "inner").drop("e_id"))
+    name = lambda c: F.coalesce(c, F.lit(""))
+    members = x.where("on_loop").select(F.col("id").alias("m_id"), name(F.col("name")).alias("m_name"))
+    lows = x.where("on_loop and id = low").select(F.col("low").alias("w_low"), name(F.col("name")).alias("w_name"), F.col("size").alias("w_size"))
+    below = join_hot(join_hot(own, members, "e_up", "m_id", "inner"), lows, "low", "w_low", "inner")
+    tail = F.concat("m_name", F.expr("substring(n_path, length(w_name) + 1)"))
+    below = below.select("id", "name", F.lit("below").alias("state"), "low", "size", F.col("n_pre").alias("pre"), tail.alias("full_path"), "level", "turn", "loop_len")
+    on = join_hot(x.where("on_loop"), lows.select("w_low", "w_size"), "low", "w_low", "inner")
+    on = on.select("id", "name", F.lit("cycle").alias("state"), "low", (F.col("w_size") + F.col("loop_len") - 1).alias("size"), F.lit(0).cast("long").alias("pre"), name(F.col("name")).alias("full_path"), "level", "turn", "loop_len")
+    null = lambda t: F.lit(None).cast(t)
+    return below.unionByName(on).select("id", "name", "state", F.col("low").alias("root"), F.lit(-1).cast("long").alias("depth"), "size", "pre", null("string").alias("path"), null("array<bigint>").alias("path_ids"), "full_path", "level", "turn", "loop_len")
+
+
 def hierarchy(edges: DataFrame, sep: str = "/") -> DataFrame:
     """Full hierarchy of ``edges`` (id, parent, name; one row per id, see :func:`clean_edges`).
 
-    Result: id, parent, name, state, root, depth, size, pre, path, path_ids.
+    Result: id, parent, name, state, root, depth, size, pre, path, path_ids, full_path, level, turn, loop_len.
 
     * ``ok``: the chain of parents ends at a node without parent. ``broken``: at a node whose parent has no row.
     * ``cycle``: on a loop (also of one). ``below``: leads into one. Both: root = smallest id of the loop, depth -1,
-      size, pre, path and path_ids null.
-    * descendants of a node (itself included): same root, pre in [pre, pre + size).
+      path and path_ids null.
+    * full_path: the path; below a loop from the member that the tree hangs on; of a loop's member its own name.
+    * level: steps to the root or the loop. turn, loop_len: steps around the loop from where the chain enters it to the
+      smallest id, and the loop's length; null for ``ok`` and ``broken``.
+    * descendants of a node (itself included): same root, pre in [pre, pre + size). Of a loop's member they are the other
+      members, which all have pre 0, and all that hangs below the loop.
 
     Null names count as empty path parts; an empty table gives an empty result.
     """
@@ -132,7 +176,12 @@ def hierarchy(edges: DataFrame, sep: str = "/") -> DataFrame:
     state, resolved, open_ = _double(st, e)
     torn = e.where("torn").select(F.col("id").alias("t_id"), F.lit(True).alias("t"))
     r = resolved.withColumnRenamed("id", "r_id")
-    tree = st.put(e.join(r, e["id"] == r["r_id"]).select("id", "parent", "name", "depth", "root", "size"))
+    tree = e.join(r, e["id"] == r["r_id"]).select("id", "parent", "name", "depth", "root", "size")
+    if open_:
+        looped = st.put(e.join(state.where("jump is not null").select(F.col("id").alias("s_id")), F.col("id") == F.col("s_id"), "left_semi").select("id", "parent", "name"))
+        looped = _contract(st, looped)
+        tree = tree.unionByName(looped.where("size is not null").select("id", "parent", "name", F.col("level").alias("depth"), F.col("low").alias("root"), "size"))
+    tree = st.put(tree)
     ch = _chains(st, tree)
     # one row per chain: its segment, and where it hangs
     hd = ch.where("id = head").select(F.col("id").alias("h"), F.col("parent").alias("h_parent"), "offset", F.col("depth").alias("h_depth"))
@@ -168,20 +217,40 @@ def hierarchy(edges: DataFrame, sep: str = "/") -> DataFrame:
         F.concat("ids", F.transform(F.slice("seg", F.lit(1), F.col("pos") + 1), lambda x: x["id"])).alias("path_ids"),
         F.array_join(F.concat("names", F.transform(F.slice("seg", F.lit(1), F.col("pos") + 1), lambda x: x["name"])), sep).alias("path"),
     )
+    if open_:
+        nodes = st.put(nodes)
+        tree = tree.join(looped.select(F.col("id").alias("x_id")), F.col("id") == F.col("x_id"), "left_anti")
     ok = tree.join(nodes, tree["id"] == nodes["n_id"])
-    ok = join_hot(ok, torn, "root", "t_id", "left").select("id", "name", F.when(F.col("t"), "broken").otherwise("ok").alias("state"), "root", "depth", "size", "pre", "path", "path_ids")
+    null = F.lit(None).cast("long")
+    ok = join_hot(ok, torn, "root", "t_id", "left").select("id", "name", F.when(F.col("t"), "broken").otherwise("ok").alias("state"), "root", "depth", "size", "pre", "path", "path_ids", F.col("path").alias("full_path"), F.col("depth").alias("level"), null.alias("turn"), null.alias("loop_len"))
     if open_:
-        looped = e.join(state.where("jump is not null").select(F.col("id").alias("s_id")), F.col("id") == F.col("s_id"), "left_semi")
-        lo = _loops(st, st.put(looped))
-        lo = lo.join(e.select(F.col("id").alias("e_id"), "name"), F.col("id") == F.col("e_id"))
-        null = lambda t: F.lit(None).cast(t)
-        lo = lo.select("id", "name", F.when(F.col("on_loop"), "cycle").otherwise("below").alias("state"), F.col("loop_min").alias("root"), F.lit(-1).cast("long").alias("depth"), null("long").alias("size"), null("long").alias("pre"), null("string").alias("path"), null("array<bigint>").alias("path_ids"))
-        ok = ok.unionByName(lo)
+        ok = ok.unionByName(_looped(st, looped, nodes))
     w = e.select(F.col("id").alias("w_id"), F.col("written").alias("parent"))
     return ok.join(w, ok["id"] == w["w_id"]).drop("w_id")
 
 
 def descendants(h: DataFrame) -> DataFrame:
-    """(id, descendant, distance) for every node and each node below it, itself excluded, read from the path labels."""
-    x = h.where("path_ids is not null").select(F.col("id").alias("descendant"), "depth", F.posexplode("path_ids").alias("pos", "id"))
-    return x.where(F.col("id") != F.col("descendant")).select("id", "descendant", (F.col("depth") - F.col("pos")).alias("distance"))
+    """(id, descendant, distance) for every node and each node below it, itself excluded; a loop's members are below each other.
+
+    The interval [pre, pre + size) is cut into aligned blocks of 2^k places, k up to ``BLOCK_BITS``, at most two of each
+    smaller size; a node lies in one block of each size. So the range join is an equality join on root, k and block that
+    yields result rows only.
+    """
+    on = F.col("state") == "cycle"
+    end = F.col("pre") + F.col("size")
+    start = F.col("pre") + F.when(on, 0).otherwise(1)
+    blocks = []
+    for k in range(BLOCK_BITS + 1):
+        a, b = F.ceil(start / F.lit(2**k)).cast("long"), F.floor(end / F.lit(2**k)).cast("long")
+        if k == BLOCK_BITS:
+            cut = F.when(a < b, F.sequence(a, b - 1))
+        else:
+            cut = F.when(a < b, F.filter(F.array(F.when(a % 2 == 1, a), F.when(b % 2 == 1, b - 1)), lambda v: v.isNotNull()))
+        cut = F.coalesce(cut, F.expr("cast(array() as array<bigint>)"))
+        blocks.append(F.arrays_zip(F.array_repeat(F.lit(k), F.size(cut)).alias("k"), cut.alias("v")))
+    above = h.where("size > 1").select("id", F.col("root").alias("a_root"), on.alias("a_on"), F.col("level").alias("a_level"), F.col("turn").alias("a_turn"), "loop_len", F.explode(F.flatten(F.array(*blocks))).alias("a"))
+    places = F.transform(F.sequence(F.lit(0), F.lit(BLOCK_BITS)), lambda k: F.struct(k.alias("k"), F.floor(F.col("pre") / F.pow(F.lit(2.0), k)).cast("long").alias("v")))
+    below = h.select(F.col("id").alias("descendant"), "root", "level", "turn", F.explode(places).alias("b"))
+    x = above.join(below, (F.col("a_root") == F.col("root")) & (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v"))).where("id <> descendant")
+    around = F.when(F.col("a_on"), F.pmod(F.col("turn") - F.col("a_turn"), F.col("loop_len"))).otherwise(0)
+    return x.select("id", "descendant", (F.col("level") - F.col("a_level") + around).alias("distance"))

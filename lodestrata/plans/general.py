@@ -50,8 +50,8 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
  u AS (SELECT a.id, a.id AS up, 0 AS k FROM n a JOIN t ON a.id = t.id UNION ALL SELECT u.id, n.parent, 1 FROM u JOIN n ON n.id = u.up JOIN n p ON p.id = n.parent)
  SELECT t.id AS symbol_id, t.path AS full_path, c.k AS n_descendants FROM t JOIN (SELECT up, count(*) - 1 AS k FROM u GROUP BY 1) c ON c.up = t.id""")
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    h = _symbols(spark, d).where("path is not null")
-    return h.select(F.col("id").alias("symbol_id"), F.col("path").alias("full_path"), (F.col("size") - 1).alias("n_descendants"))
+    """Every symbol; the SQL leaves out loops and what is below them."""
+    return _symbols(spark, d).select(F.col("id").alias("symbol_id"), "full_path", (F.col("size") - 1).alias("n_descendants"))
 
 
 @query("""WITH RECURSIVE n AS (SELECT symbol_id AS id, any_value(parent_id) AS parent FROM code_symbols GROUP BY 1),
@@ -60,6 +60,7 @@ def p2_paths(spark: SparkSession, d: str) -> DataFrame:
        UNION ALL SELECT u.id, n.parent, u.k + 1 FROM u JOIN n ON n.id = u.up WHERE n.parent IN (SELECT id FROM n))
  SELECT up AS symbol_id, id AS descendant_id, k AS distance FROM u""")
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
+    """Every symbol; the SQL leaves out loops and what is below them."""
     return hi.descendants(_symbols(spark, d)).select(F.col("id").alias("symbol_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 

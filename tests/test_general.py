@@ -62,6 +62,36 @@ def test_hierarchy_chain_loop_and_intervals(spark):
         assert len(inside) == a["size"] - 1
 
 
+def test_descendants_of_loops_and_below(spark):
+    rng = random.Random(8)
+    ids = rng.sample(range(1, 2000), 700)
+    up = {i: ids[(k + 1) % 5] if k < 5 else ids[5] if k == 5 else rng.choice([*ids[:k], None] if k < 300 else ids[max(0, k - 3):k]) for k, i in enumerate(ids)}
+    want, paths = set(), {}
+    for i in ids:
+        seen, x, k = {i}, up[i], 1
+        while x is not None and x not in seen:
+            want.add((x, i, k))
+            seen.add(x)
+            x, k = up[x], k + 1
+    members = {x for x in ids[:6]}
+    for i in ids:
+        p, x = [f"n{i}"], i
+        while x not in members and up[x] is not None:
+            x = up[x]
+            p.append(f"n{x}")
+        paths[i] = "/".join(p[::-1])
+    h = hi.hierarchy(spark.createDataFrame([(i, up[i], f"n{i}") for i in ids], EDGE)).cache()
+    rows = [tuple(r) for r in hi.descendants(h).select("id", "descendant", "distance").collect()]
+    assert len(rows) == len(set(rows)) and set(rows) == want
+    assert {r["id"]: r["full_path"] for r in h.collect()} == paths
+    counts = {i: 0 for i in ids}
+    for a, _, _ in want:
+        counts[a] += 1
+    assert {r["id"]: r["size"] - 1 for r in h.collect()} == counts
+    assert {r["state"] for r in h.collect()} == {"ok", "cycle", "below"}
+    h.unpersist()
+
+
 def test_hierarchy_empty_and_repeated(spark):
     assert hi.hierarchy(spark.createDataFrame([], EDGE)).count() == 0
     t = dt.datetime(2024, 1, 1)

@@ -144,8 +144,9 @@ def ident_catalogue(spark: SparkSession, d: str) -> DataFrame:
 @query(ID + """, q AS (SELECT DISTINCT block_id, key FROM o), k AS (SELECT key FROM q GROUP BY 1 ORDER BY count(*) DESC, key LIMIT 10), x AS (SELECT a.key, b.key AS other, count(*) AS n FROM q a JOIN q b ON a.block_id = b.block_id AND a.key <> b.key WHERE a.key IN (SELECT key FROM k) GROUP BY 1, 2)
  SELECT key, other, n FROM x QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, other) <= 15""")
 def ident_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
+    """Related identifiers of every identifier. The SQL has the 10 most used ones only."""
     o = _occ(spark, d)
-    k = o.select("block_id", "key").distinct().groupBy("key").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "key").limit(10).select("key")
+    k = o.select("key").distinct()
     return do.related_identifiers(o, k)
 
 
@@ -164,13 +165,13 @@ def parent_prefix(spark: SparkSession, d: str) -> DataFrame:
 @query(ID + """, q AS (SELECT DISTINCT block_id, key FROM o), s AS (SELECT key, count(*) AS spread FROM q GROUP BY 1), f AS (SELECT min(block_id) AS block_id FROM q WHERE block_id % 10 = 0)
  SELECT b.block_id, round(sum(1.0 / ln(1 + spread)), 6) AS weight, count(*) AS n_shared FROM q a JOIN q b USING (key) JOIN s USING (key) WHERE a.block_id IN (SELECT block_id FROM f) AND b.block_id <> a.block_id GROUP BY 1""")
 def shared_identifiers(spark: SparkSession, d: str) -> DataFrame:
-    """Passages sharing identifiers with one passage, rare ones weighing more; spread is counted over the whole library."""
+    """Passages sharing identifiers with each passage whose id is divisible by 100, rare ones weighing more; spread is
+    counted over the whole library. The SQL has one passage only, and no column for it."""
     q = _occ(spark, d).select("block_id", "key").distinct()
-    focus = q.where("block_id % 10 = 0").agg(F.min("block_id").alias("focus"))
-    mine = q.join(F.broadcast(focus), F.col("block_id") == F.col("focus")).select("key", "focus")
+    mine = q.where("block_id % 100 = 0").select("key", F.col("block_id").alias("query_id"))
     s = q.join(mine.select("key"), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("spread"))
-    x = q.join(mine, "key").where("block_id <> focus").join(s, "key")
-    return x.groupBy("block_id").agg(F.round(F.sum(1.0 / F.log(1.0 + F.col("spread"))), 6).alias("weight"), F.count(F.lit(1)).alias("n_shared"))
+    x = q.join(mine.join(s, "key"), "key").where("block_id <> query_id")
+    return x.groupBy("query_id", "block_id").agg(F.round(F.sum(1.0 / F.log(1.0 + F.col("spread"))), 6).alias("weight"), F.count(F.lit(1)).alias("n_shared"))
 
 
 @query(ID + ", r AS (SELECT o.key, CASE WHEN b.kind = 'heading' THEN 'defined' WHEN b.kind = 'table' THEN 'table' WHEN coalesce(b.provision, '') IN ('requirement', 'recommendation') THEN 'rule' ELSE 'mention' END AS grp FROM o JOIN b USING (block_id)) SELECT key, grp, count(*) AS n FROM r GROUP BY 1, 2")

@@ -68,10 +68,10 @@ HUNDRED = "SELECT c.block_id AS qid, unnest(list_distinct(list_filter(regexp_spl
 
 @query(_scores(HUNDRED) + " SELECT qid, count(*) AS n_matches, round(max(score), 6) AS best FROM sc JOIN qn USING (qid) WHERE matched = n_terms GROUP BY 1")
 def search_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Every heading whose id is divisible by 100 as a query against all passages, in one job."""
+    """Every block whose id is divisible by 100 as a query against all passages, in one job. The SQL has headings only."""
     b = passages(spark, d)
-    q = b.where("kind = 'heading' and block_id % 100 = 0").select(F.col("block_id").alias("qid"), F.explode(F.array_distinct(tx.simple_terms("text"))).alias("term"))
-    s = se.bm25(_index(b), q, _weight(b))
+    q = b.where("block_id % 100 = 0").select(F.col("block_id").alias("qid"), F.explode(F.array_distinct(tx.simple_terms("text"))).alias("term"))
+    s = se.bm25(_index(b), q, _weight(b), rare_first=True)
     return s.groupBy("qid").agg(F.count(F.lit(1)).alias("n_matches"), F.round(F.max("score"), 6).alias("best"))
 
 
@@ -168,17 +168,17 @@ LIKE_SQL = f"""WITH {BASE}, dfa AS (SELECT term, count(*) AS n FROM tf GROUP BY
 
 @query(LIKE_SQL)
 def more_like_this(spark: SparkSession, d: str) -> DataFrame:
-    """Passages sharing two or more of a passage's 16 longest uncommon words."""
+    """Passages sharing two or more of the 16 longest uncommon words of each passage whose id is divisible by 100. The SQL
+    has one passage only, and no column for it."""
     b = passages(spark, d)
     ix = _index(b)
     total = F.broadcast(ix.lengths.agg(F.count(F.lit(1)).alias("total")))
-    texts = b.where("kind = 'text'").select(F.col("block_id").alias("id")).join(ix.lengths.where("len > 30"), "id")
-    focus = F.broadcast(texts.agg(F.min("id").alias("focus")))
     dfs = ix.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    own = ix.postings.join(focus, F.col("id") == F.col("focus")).join(dfs, "term").join(total, F.lit(True)).where("n * 5 < total")
-    w = own.orderBy(F.desc(F.length("term")), "term").limit(16).select("term")
-    x = ix.postings.join(F.broadcast(w), "term", "left_semi").join(focus, F.col("id") != F.col("focus"))
-    return x.groupBy(F.col("id").alias("block_id")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+    own = ix.postings.where("id % 100 = 0").select(F.col("id").alias("query_id"), "term").join(dfs, "term").join(total, F.lit(True)).where("n * 5 < total")
+    longest = Window.partitionBy("query_id").orderBy(F.desc(F.length("term")), "term")
+    w = own.withColumn("rk", F.row_number().over(longest)).where("rk <= 16").select("query_id", "term")
+    x = ix.postings.select("id", "term").join(w, "term").where("id <> query_id")
+    return x.groupBy("query_id", F.col("id").alias("block_id")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
 
 
 # ---- vectors

@@ -136,6 +136,14 @@ def related_identifiers(occ: DataFrame, keys: DataFrame, k: int = 15) -> DataFra
     return x.withColumn("rk", F.row_number().over(w)).where(F.col("rk") <= k).drop("rk")
 
 
+def next_ids(ids: DataFrame, col: str) -> DataFrame:
+    """(col, next): each id with the next larger one; the last id of a range looks up the first of the next filled one."""
+    x = ids.withColumn("bk", F.floor(F.col(col) / 100_000))
+    heads = x.groupBy("bk").agg(F.min(col).alias("first")).withColumn("after", F.lead("first").over(Window.orderBy("bk")))  # one row per 100,000 ids
+    nx = F.lead(col).over(Window.partitionBy("bk").orderBy(col))
+    return x.withColumn("nx", nx).join(heads.select("bk", "after"), "bk").select(col, F.coalesce("nx", "after").alias("next")).where("next is not null")
+
+
 def parent_keys(keys: DataFrame) -> DataFrame:
     """(key, parent): the longest other key that is a prefix, not cutting a run of digits. Prefixes are joined by
     equality."""

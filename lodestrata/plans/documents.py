@@ -183,9 +183,14 @@ def ident_groups(spark: SparkSession, d: str) -> DataFrame:
 
 @query(ID + ", p AS (SELECT doc_id, family, count(DISTINCT key) AS n FROM o GROUP BY 1, 2) SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.family, a.n AS n_a, b.n AS n_b FROM p a JOIN p b ON a.family = b.family AND b.doc_id = a.doc_id + 1")
 def family_differences(spark: SparkSession, d: str) -> DataFrame:
-    p = _occ(spark, d).groupBy("doc_id", "family").agg(F.count_distinct("key").alias("n"))
-    b = p.select((F.col("doc_id") - 1).alias("doc_a"), F.col("doc_id").alias("doc_b"), "family", F.col("n").alias("n_b"))
-    return p.select(F.col("doc_id").alias("doc_a"), "family", F.col("n").alias("n_a")).join(b, ["doc_a", "family"]).select("doc_a", "doc_b", "family", "n_a", "n_b")
+    """Per family that a document and the next one by id both have: how many identifiers each has, and which the other has
+    not. The SQL pairs a document with id + 1 only, and has the numbers alone."""
+    p = _occ(spark, d).groupBy("doc_id", "family").agg(F.collect_set("key").alias("keys"))
+    n = do.next_ids(p.select("doc_id").distinct(), "doc_id")
+    a = p.join(n, "doc_id").select(F.col("doc_id").alias("doc_a"), F.col("next").alias("doc_b"), "family", F.col("keys").alias("ka"))
+    x = a.join(p.select(F.col("doc_id").alias("doc_b"), "family", F.col("keys").alias("kb")), ["doc_b", "family"])
+    only = lambda u, v: F.array_sort(F.array_except(u, v))
+    return x.select("doc_a", "doc_b", "family", F.size("ka").cast("long").alias("n_a"), F.size("kb").cast("long").alias("n_b"), only("ka", "kb").alias("only_a"), only("kb", "ka").alias("only_b"))
 
 
 

@@ -1,21 +1,27 @@
 """Noise in text read from scanned pages: furniture, broken, misread and run-together words, and split paragraphs.
 
-1. *Furniture.* Lines at the edges of a block are furniture if they consist of page numbers, dates and the document's
-   own title and designation, or if the same line (misreadings folded together) stands on many pages of the document.
-2. *Statistics.* Words and neighbouring pairs of all remaining text are counted, apart for pages that show no sign of a
-   scan, and skip-gram vectors with negative sampling are learned from all of it. Vectors live in a hashed table of
-   fixed size; partitions train copies that are averaged, slice by slice, without meeting in one place.
-3. *Linking.* A word that clean pages hardly have is linked to the frequent words and pairs that plausible glyph edits,
-   a healed line end or a split make of it; the links are an equality join, so no word list is broadcast.
-4. *Context.* Of several links the one wins whose frequency, edit cost and skip-gram score with the words around it is
-   best.
+1. *Furniture.* From a block's first and last line inwards, a line is furniture if it consists of page numbers, dates and
+   the document's own title and designation, or if the same line (misreadings folded together) recurs on ``PAGES`` pages
+   and a third of the document's pages.
+2. *Vectors.* Skip-gram vectors with negative sampling are learned from all remaining text. They live in a hashed table
+   whose size follows the number of frequent words (``slots_for``); partitions train copies, which are averaged slot by
+   slot with the slot's words as weights, in a tree of ``FAN`` copies a task.
+3. *Linking.* The vector of a rare word is the mean of its contexts. Its neighbours are the frequent words that are closer
+   to it than frequent words are on average (``closeness`` above 0, in standard deviations). A rare word is linked to the
+   neighbours that one or two plausible glyph edits, a healed line end or a split make of it. Both conditions must hold;
+   the glyph edits are looked up first because they are an equality join. Two edits meet in the middle: one edit of the
+   rare word against one inverse edit of the frequent word.
+4. *Context.* Of several links the one wins whose frequency, edit cost and closeness to this place's context is best.
 5. *Reflow.* A block that ends within a sentence is carried on by the next one, over furniture, notes and page ends.
 
-Null texts, tables and repeated rows are left out; documents without a scanned page give no rows.
+Null texts, tables and repeated rows are left out; documents without a scanned page give no rows. A word without any
+context has no vector and is linked by its glyphs alone. Words of more than ``longest`` characters are not corrected, by
+default 200; None corrects words of any length.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 import zlib
@@ -24,14 +30,24 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import Stages, join_hot
 
 STRIP = ".,;:!?()[]\"'“”«»„"
-SLOTS, DIM, WINDOW, NEGATIVE = 1 << 14, 24, 2, 2
+SLOTS, MOST_SLOTS = 1 << 16, 1 << 18  # of the vector table: four per frequent word, within these bounds
+DIM, WINDOW, NEGATIVE, EPOCHS = 24, 3, 2, 2
+RATE, STEPS = 0.2, 32  # of AdaGrad; steps taken at least over the pairs held, however few
 SLICES = 32
+FAN = 64  # copies of a slice that one task averages
+PAIRS = 1 << 22  # pairs that a training task holds before it learns from them
+CONTEXT = 1.0  # weight of a place's closeness against a link's log frequency
+NEAR = 0.0  # closeness above which a frequent word is a neighbour
+BITS = 1 << 23  # of the maps of entries that spare rows which can join nothing
+PAGES, PAGE_SHARE = 3, 3  # a recurring line stands on so many pages, and on one in so many
+LONGEST_WORD = 200
 CHUNK = 2048  # blocks of one document per window task
 CLEAN_SHARE = 0.2  # of a word's uses that clean pages hold, below which the word is suspicious
 RATIO = 6  # how much more frequent than a suspicious word its correction is
@@ -42,14 +58,11 @@ GLYPHS = [
     ("0", "o"), ("0", "O"), ("0", "ó"), ("0", "ö"), ("O", "o"), ("5", "s"), ("5", "S"), ("6", "é"), ("6", "b"), ("6", "ó"), ("6", "G"), ("8", "B"), ("9", "g"), ("4", "A"), ("2", "z"), ("2", "Z"), ("3", "S"),
     ("c", "e"), ("e", "c"), ("o", "a"), ("a", "o"), ("f", "t"), ("t", "f"), ("q", "g"), ("g", "q"), ("b", "h"), ("h", "b"), ("y", "v"), ("v", "y"), ("o", "e"), ("e", "o"), ("u", "n"), ("n", "u"), ("B", "ß"), ("ß", "B"), ("s", "a"), ("a", "s"), ("r", "n"), ("n", "r"), ("u", "v"), ("v", "u"), ("u", "ü"), ("o", "ö"), ("a", "ä"), ("e", "é"), ("c", "o"), ("o", "c"), ("e", "è"), ("o", "ó"), ("a", "á"), ("a", "à"), ("n", "ñ"), ("e", "ê"), ("i", "î"), ("u", "ú"), ("é", "e"), ("é", "6"), ("h", "k"), ("k", "h"), ("D", "O"), ("O", "D"), ("E", "F"), ("F", "E"), ("P", "F"), ("F", "P"), ("C", "G"), ("G", "C"), ("S", "5"), ("Z", "2"),
 ]
-FROM: dict[str, list[str]] = {}
-for _a, _b in GLYPHS:
-    FROM.setdefault(_a, []).append(_b)
-LONGEST = max(map(len, FROM))
 NOTE = re.compile(r"^(?:NOTE|CAUTION|WARNING|DANGER|ATTENTION|HINWEIS|ACHTUNG|WARNUNG|REMARQUE|AVERTISSEMENT|NOTA|ADVERTENCIA|PRECAUCIÓN)\b")
 N = r"[0-9lIOo|Si]"
 NUMBER = re.compile(rf"^[\s–—-]*(?:(?:page|seite|página|pagina|p\.)\s*)?(?:{N}{{1,4}}|(?:[A-Z]-)?{N}{{1,3}}\s?[-–]\s?{N}{{1,3}}|[ivxlIVXL1|]{{1,7}})(?:\s*(?:of|/|von|de|sur)\s*{N}{{1,4}})?[\s–—-]*$", re.I)
 DATE = re.compile(r"[\dlIOoS|]{1,2}\.?\s+(?:\w{3,10})\s+[\dlIOoS|]{4}|[\dlIOo]{4}-[\dlIOo]{2}(?:-[\dlIOo]{2})?|(?:\w{3,10})\s+[\dlIOoS|]{4}")
+BREAK = re.compile(r"[.!?,;:][\"'”’»)“]*\s")  # punctuation within a line
 TERMINAL = re.compile(r"[.!?…:][\"'”’»)\]“]*$")
 SHORT_NUMBER = re.compile(r"(?:^|[\s(\"“«'’])(?:no|nos|fig|figs|sec|para|rev|art|l'art|abs|abb|nr|núm|ca|approx|aprox|env|d'env|max|min|ok|рис|табл|п)\.$", re.I)  # a number follows
 SHORT_WORD = re.compile(r"(?:^|[\s(\"“«'’])(?:cf|vgl|see|vs|dr|mr|mrs|ms|mme|st|sra?|esp|incl|e\.\s?g|i\.\s?e|z\.\s?b|d\.\s?h|p\.\s?ex|p\.\s?ej|u\.s|(?<!\d\s)[zdpei])\.$", re.I)  # a word follows
@@ -69,8 +82,6 @@ def fold(s: str) -> str:
 def is_header(line: str, title: str | None, filename: str | None, series: str | None) -> bool:
     """Nothing but the document's title and designation, dates, page numbers and what separates them; not all of it a
     number alone, which :data:`NUMBER` judges."""
-    if len(line) > 160:
-        return False
     s = unicodedata.normalize("NFKC", line)
     hit = False
     stem = (filename or "").rsplit("/", 1)[-1].rsplit(".", 1)[0].rsplit("_", 1)[0]
@@ -80,20 +91,40 @@ def is_header(line: str, title: str | None, filename: str | None, series: str |
         if len(k) >= 4 and k in s2:
             s2 = s2.replace(k, " ", 1)
             hit = True
-    return hit and len(re.sub(r"[\W_]+|(?<!\w)\w(?!\w)|[ios]{1,3}|\d+", "", re.sub(r"(?<!\w)(?:pogc|oct|of|ot|rcy|issuc|cditioio|cd)(?!\w)", "", s2))) <= 1
-
-
-def edges(lines: list[str]) -> list[int]:
-    n = len(lines)
-    return sorted({i for i in (0, 1, n - 2, n - 1) if 0 <= i < n})
+    return hit and len(re.sub(r"[\W_]+|(?<!\w)\w(?!\w)|[ios]{1,3}|\d+", "", s2)) <= 1
+
+
+def edge_line(line: str, title: str | None, filename: str | None, series: str | None) -> tuple[bool, str] | None:
+    """(furniture by itself, the key under which it may recur) of a trimmed line, or None if it is text for sure."""
+    if line[-1] in ".?!:;,":
+        return None
+    direct = bool(NUMBER.match(line)) or is_header(line, title, filename, series)
+    if not direct and (TERMINAL.search(line) or NOTE.match(line) or BREAK.search(line)):
+        return None
+    return direct, re.sub(r"[\dios]+", "#", fold(line))
+
+
+def edges(lines: list[str], judge) -> list[tuple[int, bool, str]]:
+    """(line, direct, key) of all lines that only possible furniture parts from the block's first or last line."""
+    out: dict[int, tuple[bool, str]] = {}
+    for way in (range(len(lines)), range(len(lines) - 1, -1, -1)):
+        for i in way:
+            line = lines[i].strip()
+            if i in out or not line:
+                continue
+            got = judge(line)
+            if got is None:
+                break
+            out[i] = got
+    return [(i, *x) for i, x in sorted(out.items())]
 
 
 def repair_lines(lines: list[str], flagged: set[int]) -> tuple[int, int]:
     """The range of lines that are text: furniture only goes from the edges inwards."""
     a, b = 0, len(lines)
-    while a < b and a in flagged:
+    while a < b and (a in flagged or not lines[a].strip()):
         a += 1
-    while b > a and b - 1 in flagged:
+    while b > a and (b - 1 in flagged or not lines[b - 1].strip()):
         b -= 1
     return a, b
 
@@ -124,26 +155,32 @@ def tokens(lines: list[str]) -> list[tuple[str, str]]:
     return out
 
 
-def variants(form: str, twice: bool = False) -> dict[str, float]:
-    """What one glyph edit, or two, make of a word, with their cost."""
-    first: dict[str, float] = {}
-
-    def edit(w: str, cost: float, into: dict[str, float]) -> None:
-        for i in range(len(w)):
-            for n in range(1, LONGEST + 1):
-                for to in FROM.get(w[i : i + n], ()):
-                    if i + n <= len(w):
-                        x = w[:i] + to + w[i + n :]
-                        odd = any(c in "0123456789|!" for c in w[i : i + n]) and w[i : i + n] != to
-                        c = cost + (0.5 if odd else 1.0 if n > 1 else 1.2)
-                        if c < into.get(x, 9e9):
-                            into[x] = c
-
-    edit(form, 0.0, first)
-    out = dict(first)
-    if twice and 4 <= len(form) <= 24:
-        for w, c in first.items():
-            edit(w, c + 1.0, out)
+def _cost(a: str) -> float:
+    return 0.5 if any(c in "0123456789|!" for c in a) else 1.0 if len(a) > 1 else 1.2
+
+
+FROM: dict[str, list[tuple[str, float]]] = {}  # glyphs as read -> (as meant, cost); BACK the other way round
+BACK: dict[str, list[tuple[str, float]]] = {}
+for _a, _b in GLYPHS:
+    FROM.setdefault(_a, []).append((_b, _cost(_a)))
+    BACK.setdefault(_b, []).append((_a, _cost(_a)))
+LONGEST = max(map(len, FROM | BACK))
+
+
+def _edit(w: str, table: dict[str, list[tuple[str, float]]]) -> dict[str, float]:
+    out: dict[str, float] = {}
+    for i in range(len(w)):
+        for n in range(1, min(LONGEST, len(w) - i) + 1):
+            for to, c in table.get(w[i : i + n], ()):
+                x = w[:i] + to + w[i + n :]
+                if c < out.get(x, 9e9):
+                    out[x] = c
+    return out
+
+
+def variants(form: str) -> dict[str, float]:
+    """What one glyph edit makes of a word, with its cost."""
+    out = _edit(form, FROM)
     n = unicodedata.normalize("NFKC", form)
     if n != form:
         out[n] = 0.2
@@ -151,8 +188,15 @@ def variants(form: str, twice: bool = False) -> dict[str, float]:
     return out
 
 
-def lookups(form: str, kind: str, twice: bool = False) -> list[tuple[str, str, float]]:
-    """(entry to look up, text it would repair to, cost) for a suspicious form; ``twice`` for what no single edit links."""
+def wholes(form: str) -> list[str]:
+    """What a word broken at a line end may be without the hyphen."""
+    cuts = [m.start() for m in re.finditer("-", form)]
+    last = form.rfind("-", 0, -1)
+    return [form[:k] + form[k + 1 :] for k in cuts if k == last or len(cuts) == 1]
+
+
+def lookups(form: str, kind: str) -> list[tuple[str, str, float]]:
+    """(entry to look up, text it would repair to, cost) for a suspicious form, by one glyph edit, joining or splitting."""
     out: dict[tuple[str, str], float] = {}
 
     def add(entry: str, text: str, cost: float) -> None:
@@ -163,23 +207,16 @@ def lookups(form: str, kind: str, twice: bool = False) -> list[tuple[str, str, f
             out[low, text] = cost + 0.3
 
     if kind:  # broken: without the hyphen, or with it, perhaps misread besides
-        i = form.rfind("-", 0, -1)
-        for k in [m.start() for m in re.finditer("-", form)]:
-            whole = form[:k] + form[k + 1 :]
-            if k == i or form.count("-") == 1:
-                add(whole, whole, 0.0)
-                if len(whole) <= 24:
-                    for v, c in variants(whole, twice).items():
-                        add(v, v, 1.0 + c)
-        add(form, form, 0.0)
-        for v, c in variants(form, twice).items():
-            if c < 2:
+        for whole in wholes(form):
+            add(whole, whole, 0.0)
+            for v, c in variants(whole).items():
                 add(v, v, 1.0 + c)
+        add(form, form, 0.0)
+        for v, c in variants(form).items():
+            add(v, v, 1.0 + c)
     else:
-        for v, c in variants(form, twice).items():
+        for v, c in variants(form).items():
             add(v, v, c)
-        if twice:
-            return [(e, t, c) for (e, t), c in out.items()]
         for k in range(1, len(form)):
             if form[k - 1] != "-" and form[k] != "-":
                 a, b = form[:k].rstrip(STRIP), form[k:].lstrip(STRIP)
@@ -188,95 +225,173 @@ def lookups(form: str, kind: str, twice: bool = False) -> list[tuple[str, str, f
     return [(e, t, c) for (e, t), c in out.items()]
 
 
-def _slot(w: str) -> int:
-    return zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) & (SLOTS - 1)
+def halfway(form: str, kind: str) -> dict[str, float]:
+    """The words one edit away from a suspicious form, from where a second edit may lead to a frequent word."""
+    if not kind:
+        return _edit(form, FROM)
+    out: dict[str, float] = {}
+    for whole in wholes(form):
+        for m, c in _edit(whole, FROM).items():
+            out[m] = min(out.get(m, 9e9), 1.0 + c)
+    return out
+
+
+def sources(entry: str) -> list[tuple[str, str, float]]:
+    """(word, text, cost): the words from which one edit leads to a frequent word, or to it with a capital."""
+    out = [(m, entry, c) for m, c in _edit(entry, BACK).items()]
+    if entry[:1].islower() and len(entry[:1].upper()) == 1:
+        big = entry[:1].upper() + entry[1:]
+        out += [(m, big, c + 0.3) for m, c in _edit(big, BACK).items()]
+    return out
+
+
+def _slot(w: str, slots: int = SLOTS) -> int:
+    return zlib.crc32(w.lower().encode("utf-8", "surrogatepass")) & (slots - 1)
+
+
+def slots_for(words: int) -> int:
+    """Slots of the vector table for so many frequent words: a power of two, four per word within the bounds."""
+    return max(SLOTS, min(MOST_SLOTS, 1 << max(0, math.ceil(math.log2(max(1, 4 * words))))))
 
 
-def start_tables() -> tuple[np.ndarray, np.ndarray]:
-    return np.random.default_rng(1).uniform(-0.5 / DIM, 0.5 / DIM, (SLOTS, DIM)).astype(np.float32), np.zeros((SLOTS, DIM), np.float32)
+def start_tables(slots: int = SLOTS) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(1)
+    return rng.uniform(-0.1, 0.1, (slots, DIM)).astype(np.float32), rng.uniform(-0.1, 0.1, (slots, DIM)).astype(np.float32)
 
 
-def train_skipgram(sentences: Iterator[np.ndarray], v: np.ndarray, u: np.ndarray, freq: np.ndarray, rate: float = 0.05, batch: int = 8192, seed: int = 0) -> int:
-    """Skip-gram with negative sampling over arrays of slots, in place. Returns the words seen."""
-    rng = np.random.default_rng(seed)
+def train_skipgram(sentences: Iterator[np.ndarray], v: np.ndarray, u: np.ndarray, freq: np.ndarray, rate: float = RATE, batch: int = 8192, seed: int = 0) -> np.ndarray:
+    """Skip-gram with negative sampling over arrays of slots, in place, with steps by AdaGrad. A pair that occurs often is
+    one step with that weight. Returns the words seen per slot."""
+    rng, slots = np.random.default_rng(seed), len(v)
     noise = np.cumsum(freq**0.75)
     noise /= noise[-1] if noise[-1] else 1
     keep = np.minimum(1.0, np.sqrt(1e-3 * max(freq.sum(), 1) / np.maximum(freq, 1)))
-    cs, os_, n, seen = [], [], 0, 0
+    acc_v, acc_u, seen = np.full(slots, 0.1, np.float32), np.full(slots, 0.1, np.float32), np.zeros(slots)
+
+    def move(table: np.ndarray, acc: np.ndarray, at: np.ndarray, grad: np.ndarray) -> None:
+        order = np.argsort(at, kind="stable")
+        s = at[order]
+        first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
+        g, r = np.add.reduceat(grad[order], first, axis=0), s[first]
+        acc[r] += (g * g).mean(1)
+        table[r] += rate * g / np.sqrt(acc[r])[:, None]
 
     def step(c: np.ndarray, o: np.ndarray, times: np.ndarray) -> None:
-        neg = np.searchsorted(noise, rng.random((len(c), NEGATIVE))).clip(0, SLOTS - 1)
+        neg = np.searchsorted(noise, rng.random((len(c), NEGATIVE))).clip(0, slots - 1)
         tgt = np.concatenate([o[:, None], neg], 1)
         vc, ut = v[c], u[tgt]
         g = -1 / (1 + np.exp(-np.clip(np.einsum("nd,nkd->nk", vc, ut), -8, 8)))
         g[:, 0] += 1
-        g *= (rate * times)[:, None]
-        gv = np.einsum("nk,nkd->nd", g, ut)
-        gu = (g[:, :, None] * vc[:, None, :]).reshape(-1, DIM)
-        for table, at, grad, w in ((v, c, gv, times), (u, tgt.ravel(), gu, np.repeat(times, NEGATIVE + 1))):
-            order = np.argsort(at, kind="stable")  # sums per slot, with bounded steps for frequent ones
-            s = at[order]
-            first = np.flatnonzero(np.r_[True, s[1:] != s[:-1]])
-            table[s[first]] += np.add.reduceat(grad[order], first, axis=0) / np.maximum(1.0, np.add.reduceat(w[order], first) / 16.0)[:, None]
-
-    def flush() -> None:
-        """A pair that occurs often is one step with that weight."""
-        pair, times = np.unique(np.concatenate(cs).astype(np.int64) * SLOTS + np.concatenate(os_), return_counts=True)
-        order = rng.permutation(len(pair))
-        for i in range(0, len(order), batch):
-            at = order[i : i + batch]
-            step(pair[at] // SLOTS, pair[at] % SLOTS, times[at].astype(np.float32))
-
+        g *= times[:, None]
+        move(v, acc_v, c, np.einsum("nk,nkd->nd", g, ut))
+        move(u, acc_u, tgt.ravel(), (g[:, :, None] * vc[:, None, :]).reshape(-1, DIM))
+
+    def flush(held: list[np.ndarray]) -> None:
+        pair, times = np.unique(np.concatenate(held), return_counts=True)
+        size = min(batch, max(64, len(pair) // STEPS))
+        for _ in range(math.ceil(STEPS / math.ceil(len(pair) / size))):
+            order = rng.permutation(len(pair))
+            for i in range(0, len(order), size):
+                at = order[i : i + size]
+                step(pair[at] // slots, pair[at] % slots, times[at].astype(np.float32))
+
+    held: list[np.ndarray] = []
+    n = 0
     for a in sentences:
-        seen += len(a)
+        np.add.at(seen, a, 1)
         a = a[rng.random(len(a)) < keep[a]]
         for d in range(1, WINDOW + 1):
             if len(a) > d:
-                cs += [a[:-d], a[d:]]
-                os_ += [a[d:], a[:-d]]
+                held += [a[:-d] * slots + a[d:], a[d:] * slots + a[:-d]]
                 n += 2 * (len(a) - d)
-        if n >= 64 * batch:
-            flush()
-            cs, os_, n = [], [], 0
+        if n >= PAIRS:
+            flush(held)
+            held, n = [], 0
     if n:
-        flush()
+        flush(held)
     return seen
 
 
-def learn_vectors(spark, text: DataFrame, freq: np.ndarray, epochs: int = 2) -> tuple[np.ndarray, np.ndarray]:
-    """Skip-gram tables from all blocks (slots array<int>): partitions train copies; slices of the copies are averaged."""
-    v, u = start_tables()
-    per = SLOTS // SLICES
+def learn_vectors(spark, text: DataFrame, freq: np.ndarray, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray]:
+    """Skip-gram tables from all blocks (slots array<int>). Partitions train copies; a slot's copies are averaged with
+    the words seen in that slot as weights, ``FAN`` copies a task, level by level."""
+    slots = len(freq)
+    v, u = start_tables(slots)
+    per = slots // SLICES
+    schema = "slice int, lane int, n binary, v binary, u binary"
+    lanes = text.rdd.getNumPartitions()
+
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        tot = lambda c: sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf[c]).astype(np.float32).tobytes()
+        return pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "lane": [int(pdf["lane"].iloc[0])], "n": [tot("n")], "v": [tot("v")], "u": [tot("u")]})
+
     for ep in range(epochs):
         shared = spark.sparkContext.broadcast((v, u, freq))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared, ep=ep) -> Iterator[pd.DataFrame]:
             v0, u0, f = shared.value
             a, b = v0.copy(), u0.copy()
-
-            def sents():
-                for pdf in batches:
-                    yield from (np.asarray(x, np.int64) for x in pdf["slots"])
-
-            seen = train_skipgram(sents(), a, b, f, rate=0.05 if ep == 0 else 0.025, seed=ep)
-            if seen:
+            lane = TaskContext.get().partitionId()
+            sents = (np.asarray(x, np.int64) for pdf in batches for x in pdf["slots"])
+            n = train_skipgram(sents, a, b, f, seed=ep * 1_000_003 + lane).astype(np.float32)
+            if n.any():
                 for s in range(SLICES):
                     sl = slice(s * per, (s + 1) * per)
-                    yield pd.DataFrame({"slice": [s], "w": [float(seen)], "v": [(a[sl] * seen).astype(np.float32).tobytes()], "u": [(b[sl] * seen).astype(np.float32).tobytes()]})
-
-        def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-            w = pdf["w"].sum()
-            tot = lambda c: sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf[c])
-            return pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "v": [(tot("v") / w).astype(np.float32).tobytes()], "u": [(tot("u") / w).astype(np.float32).tobytes()]})
-
-        parts = text.select("slots").mapInPandas(run, "slice int, w double, v binary, u binary")
-        for r in parts.groupBy("slice").applyInPandas(mean, "slice int, v binary, u binary").collect():
+                    w = n[sl, None]
+                    yield pd.DataFrame({"slice": [s], "lane": [lane // FAN], "n": [n[sl].tobytes()], "v": [(a[sl] * w).tobytes()], "u": [(b[sl] * w).tobytes()]})
+
+        parts, left = text.select("slots").mapInPandas(run, schema), lanes
+        while True:
+            parts = parts.groupBy("slice", "lane").applyInPandas(add, schema)
+            left = math.ceil(left / FAN)
+            if left <= 1:
+                break
+            parts = parts.withColumn("lane", F.floor(F.col("lane") / FAN).cast("int"))
+        for r in parts.collect():
             sl = slice(r["slice"] * per, (r["slice"] + 1) * per)
-            v[sl] = np.frombuffer(r["v"], np.float32).reshape(per, DIM)
-            u[sl] = np.frombuffer(r["u"], np.float32).reshape(per, DIM)
+            n = np.frombuffer(r["n"], np.float32)[:, None]
+            for t, c in ((v, "v"), (u, "u")):
+                t[sl] = np.where(n > 0, np.frombuffer(r[c], np.float32).reshape(per, DIM) / np.maximum(n, 1), t[sl])
+        shared.unpersist()
     return v, u
 
 
+class Space:
+    """The learned vectors, and how close frequent words are to a context on average."""
+
+    def __init__(self, v: np.ndarray, u: np.ndarray, freq: np.ndarray):
+        often = v[np.flatnonzero(freq >= 5)] if (freq >= 5).any() else v
+        self.u, self.w = u, v - often.mean(0)
+        self.cov = np.atleast_2d(np.cov(often.T)) if len(often) > 1 else np.zeros((DIM, DIM))
+
+    def closeness(self, context: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Of each context (the sum or mean of its words' u) to the vector of a text, in standard deviations over frequent
+        words; 0 where nothing is learned. The closest of a text's words counts."""
+        spread = np.sqrt(np.maximum(np.einsum("nd,de,ne->n", context, self.cov, context), 0))
+        got = np.zeros(len(texts))
+        for i, t in enumerate(texts):
+            ws = [x for x in (w.strip(STRIP) for w in t.split()) if x]
+            if ws and spread[i] > 1e-9:
+                got[i] = max(float(context[i] @ self.w[_slot(w, len(self.w))]) for w in ws) / spread[i]
+        return got
+
+
+def entry_map(df: DataFrame, c: str) -> np.ndarray:
+    """A bit map of fixed size of a string column's values: what is not in it joins nothing."""
+    h = F.crc32(F.col(c).cast("binary")).bitwiseAND(F.lit(BITS - 1))
+    out = np.zeros(BITS // 8, np.uint8)
+    per = 32_768
+    for r in df.select(h.alias("h")).groupBy(F.floor(F.col("h") / per).alias("b")).agg(F.bitmap_construct_agg(F.col("h") % per).alias("m")).collect():
+        bits = np.frombuffer(bytes(r["m"]), np.uint8)
+        out[r["b"] * per // 8 : r["b"] * per // 8 + len(bits)] = bits
+    return out
+
+
+def in_map(bits: np.ndarray, w: str) -> bool:
+    h = zlib.crc32(w.encode("utf-8", "surrogatepass")) & (BITS - 1)
+    return bool(bits[h >> 3] >> (h & 7) & 1)
+
+
 def _lead(df: DataFrame, order: str, cols: list[str], keep: Column) -> DataFrame:
     """Adds next_<c>: the values of ``cols`` in the document's next row with ``keep``, by ``order``. Windows run over
     chunks of a document; a chunk's last rows look up the first such row of the chunks after it."""
@@ -292,7 +407,7 @@ def _lead(df: DataFrame, order: str, cols: list[str], keep: Column) -> DataFrame
     return x.select(*[c for c in df.columns if c not in ("_chunk", "_keep")], *[F.col("_next")[c].alias("next_" + c) for c in cols])
 
 
-def repair(blocks: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
+def repair(blocks: DataFrame, documents: DataFrame, longest: int | None = LONGEST_WORD) -> dict[str, DataFrame]:
     """All repairs of the blocks' text. Keys of the result:
 
     ``found``: (block_id, kind, damaged, repaired) as TESTDATA.md states them for problem 1. ``clean``: (block_id, doc_id,
@@ -309,27 +424,17 @@ def repair(blocks: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
         for pdf in batches:
             rows = []
             for r in pdf.itertuples(index=False):
-                if r.kind != "text":
-                    continue
-                lines = r.text.split("\n")
-                for i in edges(lines):
-                    line = lines[i].strip()
-                    if not line or len(line) > 160:
-                        continue
-                    if line[-1] in ".?!:;,":
-                        continue
-                    direct = (len(line) < 40 and bool(NUMBER.match(line))) or is_header(line, r.title, r.filename, r.series)
-                    loose = not direct and len(line) < 100 and not TERMINAL.search(line) and not NOTE.match(line) and not re.search(r"[.!?,;:][\"'”’»)“]*\s", line)
-                    if direct or loose:
-                        rows.append((r.block_id, r.doc_id, r.page, i, direct, re.sub(r"[\dios]+", "#", fold(line))))
+                if r.kind == "text":
+                    for i, direct, key in edges(r.text.split("\n"), lambda line, r=r: edge_line(line, r.title, r.filename, r.series)):
+                        rows.append((r.block_id, r.doc_id, r.page, i, direct, key))
             yield pd.DataFrame(rows, columns=["block_id", "doc_id", "page", "line_no", "direct", "key"])
 
     e = st.put(b.mapInPandas(edge_rows, "block_id long, doc_id long, page int, line_no int, direct boolean, key string"))
-    seen = e.where(~F.col("direct")).select("doc_id", "key", "page").distinct().groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    seen = e.where(~F.col("direct")).select("doc_id", "key", "page").distinct().groupBy("doc_id", "key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= PAGES)
     pages = b.select("doc_id", "page").distinct().groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_pages"))
-    often = seen.join(pages, "doc_id").where("n * 3 >= n_pages").select("doc_id", "key", F.lit(True).alias("often"))
+    often = seen.join(pages, "doc_id").where(F.col("n") * PAGE_SHARE >= F.col("n_pages")).select("doc_id", "key", F.lit(True).alias("often"))
     flagged = e.join(often, ["doc_id", "key"], "left").where(F.col("direct") | F.coalesce("often", F.lit(False)))
-    flagged = flagged.groupBy("block_id").agg(F.collect_set("line_no").alias("flagged")).withColumnRenamed("block_id", "f_id")  # four lines at most
+    flagged = flagged.groupBy("block_id").agg(F.collect_set("line_no").alias("flagged")).withColumnRenamed("block_id", "f_id")  # lines of one block
     c = b.join(flagged, F.col("block_id") == F.col("f_id"), "left")
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -364,12 +469,14 @@ def repair(blocks: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
                 short = SHORT_WORD.search(t) or (SHORT_NUMBER.search(t) and first.isdigit()) or (SHORT_NAME.search(t) and first.isalnum() and not first.islower())
                 open_end = not TERMINAL.search(t) or bool(short) or breaks
                 if open_end or (first.islower() and not h.startswith(("i.e.", "e.g."))):
-                    raw = t.split()[-1] + h.split()[0] if breaks else ""
-                    rows.append((int(r.next_block_id), int(r.block_id), raw.strip(STRIP), raw))
-            yield pd.DataFrame(rows, columns=["block_id", "earlier", "word", "raw"])
+                    before, after = t.split(), h.split()
+                    raw = before[-1] + after[0] if breaks else ""
+                    around = [w for w in (x.strip(STRIP) for x in before[-1 - WINDOW : -1] + after[1 : 1 + WINDOW]) if w] if breaks else []
+                    rows.append((int(r.next_block_id), int(r.block_id), raw.strip(STRIP), raw, around))
+            yield pd.DataFrame(rows, columns=["block_id", "earlier", "word", "raw", "around"])
 
     cand = seqd.where("kind = 'text' and not note and next_kind = 'text' and next_block_id is not null and scanned and next_page > page")
-    joins = st.put(cand.select("block_id", "tail", "next_block_id", "next_head").mapInPandas(carries, "block_id long, earlier long, word string, raw string"))
+    joins = st.put(cand.select("block_id", "tail", "next_block_id", "next_head").mapInPandas(carries, "block_id long, earlier long, word string, raw string, around array<string>"))
     # words: counts of forms and pairs, apart for clean pages
     crossed = joins.where("word <> ''").select(F.col("earlier").alias("x_id"), F.lit(True).alias("cut_end"))
     entered = joins.where("word <> ''").select(F.col("block_id").alias("y_id"), F.lit(True).alias("cut_start"))
@@ -388,68 +495,102 @@ def repair(blocks: DataFrame, documents: DataFrame) -> dict[str, DataFrame]:
     n1 = words1.groupBy("w").agg(F.count_if(~F.col("scanned")).alias("n_clean"), F.count(F.lit(1)).alias("n"))
     n2 = pairs.groupBy(F.concat_ws(" ", "a", "b").alias("w")).agg(F.count(F.lit(1)).alias("n_clean")).withColumn("n", F.col("n_clean"))
     lex = st.put(n1.unionByName(n2))
-    hashed = lambda w: F.crc32(F.lower(w).cast("binary")).bitwiseAND(F.lit(SLOTS - 1)).cast("int")
-    freq = np.zeros(SLOTS)
+    sure = lex.where((F.col("n_clean") >= 2) & (F.col("n_clean") >= CLEAN_SHARE * F.col("n")))
+    slots = slots_for(sure.where(~F.col("w").contains(" ")).count())
+    hashed = lambda w: F.crc32(F.lower(w).cast("binary")).bitwiseAND(F.lit(slots - 1)).cast("int")
+    freq = np.zeros(slots)
     for r in lex.where(~F.col("w").contains(" ")).groupBy(hashed(F.col("w")).alias("s")).agg(F.sum("n").alias("n")).collect():
         freq[r["s"]] = r["n"]
-    v, u = learn_vectors(spark, tok.select(F.transform("forms", hashed).alias("slots")), freq)
-    vectors = spark.sparkContext.broadcast((v, u))
-    sure = lex.where((F.col("n_clean") >= 2) & (F.col("n_clean") >= CLEAN_SHARE * F.col("n")))
+    tok = tok.withColumn("slots", F.transform("forms", hashed))
+    v, u = learn_vectors(spark, tok, freq)
+    space = spark.sparkContext.broadcast(Space(v, u, freq))
+    # doubtful words of scanned pages, with the slots of the words around them
     common = [r["w"] for r in sure.where(~F.col("w").contains(" ")).orderBy(F.desc("n"), "w").limit(2000).select("w").collect()]
     p = F.col("p")
-    near = F.concat(F.slice("forms", F.greatest(F.lit(1), p - 2), F.least(p, F.lit(3))), F.slice("forms", p + 2, F.lit(3)))
-    occ = tok.where("scanned").select("block_id", "forms", F.posexplode(F.arrays_zip("forms", "kinds")).alias("p", "t")).select("block_id", F.col("t.forms").alias("form"), F.col("t.kinds").alias("broken"), "forms", "p")
-    occ = occ.where("broken <> '-'").where((F.col("broken") == "b") | (~F.col("form").isin(common) & F.col("form").rlike(r"\p{L}.*\p{L}") & (F.length("form") <= 60)))
+    near = F.concat(F.slice("slots", F.greatest(F.lit(1), p + 1 - WINDOW), F.least(p, F.lit(WINDOW))), F.slice("slots", p + 2, F.lit(WINDOW)))
+    short = F.length("form") <= longest if longest else F.lit(True)
+    occ = tok.where("scanned").select("block_id", "slots", F.posexplode(F.arrays_zip("forms", "kinds")).alias("p", "t")).select("block_id", F.col("t.forms").alias("form"), F.col("t.kinds").alias("broken"), "slots", "p")
+    occ = occ.where("broken <> '-'").where((F.col("broken") == "b") | (~F.col("form").isin(common) & F.col("form").rlike(r"\p{L}.*\p{L}")))
     occ = occ.select("block_id", "form", "broken", near.alias("around"))
     whole = lex.where(~F.col("w").contains(" ")).select(F.col("w").alias("l_w"), F.col("n").alias("l_n"), F.col("n_clean").alias("l_clean"))
-    cross = joins.where("word <> ''").select(F.col("earlier").alias("block_id"), F.col("word").alias("form"), F.lit("b").alias("broken"), F.array().cast("array<string>").alias("around"))
+    cross = joins.where("word <> ''").select(F.col("earlier").alias("block_id"), F.col("word").alias("form"), F.lit("b").alias("broken"), F.transform("around", hashed).alias("around"))
     occ = occ.unionByName(cross).join(whole, F.col("form") == F.col("l_w"), "left")
     doubtful = (F.col("broken") == "b") | ~((F.coalesce("l_clean", F.lit(0)) >= 2) & (F.col("l_clean") >= CLEAN_SHARE * F.col("l_n")))
     occ = st.put(occ.where(doubtful).select("block_id", "form", "broken", "around", F.coalesce("l_n", F.lit(0)).alias("form_n")))
 
-    def looker(twice: bool):
-        def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                rows: list = []
-                for f, k, n in zip(pdf["form"], pdf["broken"], pdf["form_n"], strict=True):
-                    rows += [(f, k, n, *x) for x in lookups(f, k, twice)]
-                    if len(rows) > 50_000:
-                        yield pd.DataFrame(rows, columns=["form", "broken", "form_n", "entry", "text", "cost"])
-                        rows = []
-                yield pd.DataFrame(rows, columns=["form", "broken", "form_n", "entry", "text", "cost"])
-
-        return look
-
-    def link(forms: DataFrame, twice: bool) -> DataFrame:
-        x = forms.repartition(max(12, spark.sparkContext.defaultParallelism)).mapInPandas(looker(twice), "form string, broken string, form_n long, entry string, text string, cost double")
+    # a rare word's vector: the sum of its contexts, over all its places
+    dims = [f"c{i}" for i in range(DIM)]
+
+    def contexts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ut = space.value.u
+        for pdf in batches:
+            got = np.array([ut[x].sum(0) if len(x) else np.zeros(DIM, np.float32) for x in pdf["around"]], np.float32).reshape(-1, DIM)
+            out = pd.DataFrame(got, columns=dims)
+            for c_ in ("form", "broken", "form_n"):
+                out[c_] = pdf[c_].to_numpy()
+            out["k"] = [len(x) for x in pdf["around"]]
+            yield out.groupby(["form", "broken", "form_n"], as_index=False).sum()
+
+    ctx = occ.where(short).mapInPandas(contexts, ", ".join(f"{x} float" for x in dims) + ", form string, broken string, form_n long, k long")
+    forms = st.put(ctx.groupBy("form", "broken", "form_n").agg(F.sum("k").alias("k"), *[F.sum(x).cast("float").alias(x) for x in dims]))
+    width = max(spark.sparkContext.defaultParallelism, forms.count() // 20_000)
+    single = sure.where(~F.col("w").contains(" ") & (F.col("n_clean") >= 3)).select("w")
+    entries = spark.sparkContext.broadcast(entry_map(sure, "w"))
+
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows: list = []
+            for f, k, n in zip(pdf["form"], pdf["broken"], pdf["form_n"], strict=True):
+                rows += [(f, k, n, *x) for x in lookups(f, k) if in_map(entries.value, x[0])]
+            yield pd.DataFrame(rows, columns=["form", "broken", "form_n", "entry", "text", "cost"])
+
+    def half(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(f, k, n, m, c_) for f, k, n in zip(pdf["form"], pdf["broken"], pdf["form_n"], strict=True) for m, c_ in halfway(f, k).items()]
+            yield pd.DataFrame(rows, columns=["form", "broken", "form_n", "mid", "cost"])
+
+    def neighbours(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            z = space.value.closeness(pdf[dims].to_numpy(np.float64), list(pdf["entry"]))
+            yield pdf.loc[(z > NEAR) | (pdf["k"] == 0).to_numpy(), ["form", "broken", "text", "score"]]
+
+    def nominate(x: DataFrame) -> DataFrame:
+        """Of glyph links (form, broken, form_n, entry, text, cost) those to frequent neighbours of the form."""
         x = x.join(sure.select(F.col("w").alias("entry"), F.col("n_clean").alias("c_n")).hint("merge"), "entry")
         x = x.where((F.col("broken") == "b") | (F.col("c_n") >= RATIO * F.col("form_n")) & ((F.col("c_n") >= 3) | F.col("entry").contains(" ")))
         # a pair's count is of two words standing together, so it weighs more than a single word's
         x = x.withColumn("score", F.log(F.col("c_n") + 1.0) - 2.0 * F.col("cost") + F.when(F.col("entry").contains(" "), 2.0).otherwise(0.0))
+        x = x.select("form", "broken", "text", "entry", "score").join(forms.drop("form_n"), ["form", "broken"])
+        x = x.mapInPandas(neighbours, "form string, broken string, text string, score double")
         return st.put(x.groupBy("form", "broken", "text").agg(F.max("score").alias("score")))
 
-    forms = st.put(occ.select("form", "broken", "form_n").distinct())
-    one = link(forms, False)
-    two = link(forms.join(one.select("form", "broken").distinct(), ["form", "broken"], "left_anti"), True)
-    wl = Window.partitionBy("form", "broken").orderBy(F.desc("score"), "text")
-    links = st.put(one.unionByName(two).withColumn("rk", F.row_number().over(wl)).where("rk <= 12").groupBy("form", "broken").agg(F.collect_list(F.struct("text", "score")).alias("links")))
+    key = "form string, broken string, form_n long"
+    one = nominate(forms.select("form", "broken", "form_n").repartition(width).mapInPandas(look, key + ", entry string, text string, cost double"))
+    mids = st.put(forms.select("form", "broken", "form_n").join(one.select("form", "broken").distinct(), ["form", "broken"], "left_anti").repartition(width).mapInPandas(half, key + ", mid string, cost double"))
+    wanted = spark.sparkContext.broadcast(entry_map(mids, "mid"))
+
+    def back(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(w, *x) for w in pdf["w"] for x in sources(w) if in_map(wanted.value, x[0])]
+            yield pd.DataFrame(rows, columns=["entry", "b_mid", "text", "b_cost"])
+
+    ends = (single if longest is None else single.where(F.length("w") <= longest + 2)).repartition(width).mapInPandas(back, "entry string, b_mid string, text string, b_cost double")
+    two = mids.join(ends, F.col("mid") == F.col("b_mid")).where(F.col("text") != F.col("form"))
+    two = nominate(two.groupBy("form", "broken", "form_n", "entry", "text").agg(F.min(F.col("cost") + F.col("b_cost") + 1.0).alias("cost")))
+    links = st.put(one.unionByName(two).groupBy("form", "broken").agg(F.sort_array(F.collect_list(F.struct("text", "score"))).alias("links")))
     linked = occ.join(links, ["form", "broken"], "left")
 
     def choose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vt, ut = vectors.value
         for pdf in batches:
             rows = []
             for i, f, k, around, ls in zip(pdf["block_id"], pdf["form"], pdf["broken"], pdf["around"], pdf["links"], strict=True):
-                best, text = None, None
+                text = None
                 if ls is not None:
-                    ctx = ut[[_slot(w) for w in around]] if len(around) else None
-                    for x in ls:
-                        s = x["score"]
-                        if ctx is not None:
-                            ws = x["text"].split()
-                            s += float(np.mean([(ctx @ vt[_slot(w.strip(STRIP))]).mean() for w in ws])) if ws else 0.0
-                        if best is None or (s, x["text"]) > (best, text):
-                            best, text = s, x["text"]
+                    texts, score = [x["text"] for x in ls], np.array([x["score"] for x in ls])
+                    if len(texts) > 1 and len(around):
+                        here = space.value.u[around].mean(0, dtype=np.float64)
+                        score = score + CONTEXT * space.value.closeness(np.repeat(here[None], len(texts), 0), texts)
+                    text = texts[len(texts) - 1 - int(np.argmax(score[::-1]))]
                 if text is None and k == "b":
                     j = f.rfind("-", 0, -1)
                     text = f if j < 0 else f[:j] + f[j + 1 :]

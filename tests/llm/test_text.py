@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,8 +131,10 @@ def test_mixture_empty_and_long(spark):
 
 
 def scan_tables(spark):
-    clean = "The message router shall be verified within ten seconds of a change in the timing module."
+    clean = "The message router shall be verified within ten seconds of the change in the timing module."
     blocks = [(1000 + i, 50 + i % 7, i, i % 3 + 1, "text", clean, 14, "") for i in range(60)]
+    other = "Store every unit of a dry lot, call your operator and close both valves before another service begins."
+    blocks += [(2000 + i, 60 + i % 7, i, i % 3 + 1, "text", other, 17, "") for i in range(60)]
     blocks += [
         (1, 1, 0, 1, "text", "QS-3017F  Timing rules\nThe rnessage router shall be veri-\nfied within ten sec0nds ofthe change in", 9, ""),
         (2, 1, 1, 1, "text", "NOTE Keep this page with the unit.", 7, ""),
@@ -157,9 +160,9 @@ def test_scan_repairs(spark):
         (1, "word", "rnessage", "message"), (1, "word", "veri-fied", "verified"), (1, "word", "sec0nds", "seconds"), (1, "word", "ofthe", "of the"), (7, "word", "rou-ter", "router"),
         (4, "join", "1", ""), (8, "join", "7", ""),
     }
-    assert got == want - {(1, "word", "ofthe", "of the")} | (got & {(1, "word", "ofthe", "of the")})
+    assert got == want
     paras = {r["paragraph"]: r["text"] for r in scans.paragraphs(res).where("doc_id = 1").collect()}
-    assert re.match(r"The message router shall be verified within ten seconds of ?the change in the timing module\.$", paras[1])
+    assert re.match(r"The message router shall be verified within ten seconds of the change in the timing module\.$", paras[1])
     assert paras[7] == "The message router shall be verified." and set(paras) == {1, 2, 7}
 
 
@@ -180,16 +183,83 @@ def test_line_rules():
     assert "message" in scans.variants("rnessage") and "module" in scans.variants("modiile")
 
 
-def test_skipgram_tells_contexts_apart():
-    import numpy as np
+CONTEXTS = ["Close the {} of the bottle before storage and tighten it well", "Drive the {} to the garage after dark and park it well"]
+
+
+def context_tables(spark, word):
+    """'lemp' (120 times) and 'lamp' (40 times) on clean pages, each with its own surroundings; ``word`` on a scanned page
+    where the second one stands."""
+    rows = [(1000 + i, 50 + i % 9, i, i % 5 + 1, "text", CONTEXTS[0].format("lemp") + ".") for i in range(120)]
+    rows += [(3000 + i, 70 + i % 9, i, i % 5 + 1, "text", CONTEXTS[1].format("lamp") + ".") for i in range(40)]
+    rows += [(1, 1, 0, 1, "text", CONTEXTS[1].format(word) + "\n- 4 -")]
+    b = spark.createDataFrame(rows, "block_id long, doc_id long, seq int, page int, kind string, text string")
+    return b, spark.createDataFrame([(1, None, None, None)], "doc_id long, title string, filename string, series string")
+
+
+def repaired(res):
+    return {(r["damaged"], r["repaired"]) for r in res["found"].where("kind = 'word'").collect()}
+
+
+def test_context_beats_frequency(spark):
+    """'lomp' is one edit of the same cost from both words; the more frequent one is wrong here."""
+    got = repaired(scans.repair(*context_tables(spark, "lomp")))
+    assert got == {("lomp", "lamp")}
+
+
+def test_without_vectors_nothing_is_linked(spark, monkeypatch):
+    """Neighbours in the vector space nominate links: with zero vectors there are none, with untrained ones far fewer."""
+    whole = repaired(scans.repair(*scan_tables(spark)))
+    monkeypatch.setattr(scans, "learn_vectors", lambda spark, text, freq, epochs=0: (np.zeros((len(freq), scans.DIM), np.float32),) * 2)
+    none = repaired(scans.repair(*scan_tables(spark)))
+    assert ("rnessage", "message") in whole and ("ofthe", "of the") in whole
+    assert not any(d in ("rnessage", "sec0nds", "ofthe") for d, _ in none)
+
 
+def test_two_edits_meet_in_the_middle():
+    """Every word two edits away is found over a word in between, at the cost of both."""
+
+    def brute(form):
+        out = {}
+        for m, c in scans._edit(form, scans.FROM).items():
+            for w, d in scans._edit(m, scans.FROM).items():
+                out[w] = min(out.get(w, 9), c + d)
+        return out
+
+    for form, entry in (("rnessagc", "message"), ("niodu1e", "module"), ("x" * 300 + "rn1", "x" * 300 + "ml")):
+        back = {m: c for m, t, c in scans.sources(entry) if t == entry}
+        met = [c + back[m] for m, c in scans.halfway(form, "").items() if m in back]
+        assert min(met) == pytest.approx(brute(form)[entry])
+    assert scans.sources("message")[-1][1] == "Message"
+
+
+def test_furniture_at_any_depth(spark):
+    """Five lines of furniture above the text, none of them named, each recurring on every page."""
+    head = ["Confidential copy", "Workshop seven", "Printed for the archive", "Volume B", "Sheet of the owner", "x" * 300 + " margin"]
+    rows = [(i, 1, i, i, "text", "\n".join([*head, f"The valve number {i} shall be closed.", "It stays closed until the end."])) for i in range(1, 6)]
+    b = spark.createDataFrame(rows, "block_id long, doc_id long, seq int, page int, kind string, text string")
+    d = spark.createDataFrame([(1, None, None, None)], "doc_id long, title string, filename string, series string")
+    got = {(r["block_id"], r["damaged"]) for r in scans.repair(b, d)["found"].where("kind = 'line'").collect()}
+    assert got == {(i, h) for i in range(1, 6) for h in head}
+
+
+def test_long_words(spark):
+    """A word of 400 characters is corrected with ``longest=None`` and left alone by default."""
+    long = "ab" * 200
+    rows = [(1000 + i, 50 + i % 7, i, i % 3 + 1, "text", f"The code {long} opens the gate of the yard.") for i in range(30)]
+    rows += [(1, 1, 0, 1, "text", f"The code {long[:-1]}h opens the gate of the yard.\n- 4 -")]
+    b = spark.createDataFrame(rows, "block_id long, doc_id long, seq int, page int, kind string, text string")
+    d = spark.createDataFrame([(1, None, None, None)], "doc_id long, title string, filename string, series string")
+    assert repaired(scans.repair(b, d, longest=None)) == {(long[:-1] + "h", long)} and repaired(scans.repair(b, d)) == set()
+
+
+def test_skipgram_tells_contexts_apart():
     rng = np.random.default_rng(0)
     v, u = scans.start_tables()
     freq = np.zeros(scans.SLOTS)
     sents = [np.array([10, 11, 12, 13] if rng.random() < 0.5 else [20, 21, 22, 23]) for _ in range(4000)]
     for s in sents:
         freq[s] += 1
-    freq[:100] += 0
-    scans.train_skipgram(iter(sents), v, u, freq, batch=512)
-    assert v[11] @ u[12] > v[11] @ u[22]
-    assert F.lit(1) is not None
+    for ep in range(2):
+        seen = scans.train_skipgram(iter(sents), v, u, freq, batch=512, seed=ep)
+    assert seen.sum() == freq.sum()
+    assert v[11] @ u[12] > v[11] @ u[22] + 1

@@ -24,8 +24,8 @@ def query(sql: str | None = None):
     return add
 
 
-def _symbols(spark: SparkSession, d: str) -> DataFrame:
-    return hi.hierarchy(hi.clean_edges(table(spark, d, "code_symbols"), "symbol_id", "parent_id", "name", "loaded_at"))
+def _edges(spark: SparkSession, d: str) -> DataFrame:
+    return hi.clean_edges(table(spark, d, "code_symbols"), "symbol_id", "parent_id", "name", "loaded_at")
 
 
 _TREE = """WITH RECURSIVE n AS (SELECT symbol_id AS id, any_value(parent_id) AS parent FROM code_symbols GROUP BY 1),
@@ -41,27 +41,31 @@ _TREE = """WITH RECURSIVE n AS (SELECT symbol_id AS id, any_value(parent_id) AS
 @query(_TREE + """ SELECT id AS symbol_id, root AS root_id, depth AS node_depth, CASE WHEN torn THEN 'broken' ELSE 'ok' END AS node_state FROM t
  UNION ALL SELECT f.id, f.root, -1, CASE WHEN lo.id IS NULL THEN 'below' ELSE 'cycle' END FROM f LEFT JOIN lo ON lo.id = f.id""")
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
-    return _symbols(spark, d).select(F.col("id").alias("symbol_id"), F.col("root").alias("root_id"), F.col("depth").alias("node_depth"), F.col("state").alias("node_state"))
-
-
-@query("""WITH RECURSIVE n AS (SELECT symbol_id AS id, any_value(parent_id) AS parent, any_value(name) AS name FROM code_symbols GROUP BY 1),
- t AS (SELECT a.id, coalesce(a.name, '') AS path FROM n a LEFT JOIN n b ON a.parent = b.id WHERE b.id IS NULL
-       UNION ALL SELECT n.id, t.path || '/' || coalesce(n.name, '') FROM n JOIN t ON n.parent = t.id),
- u AS (SELECT a.id, a.id AS up, 0 AS k FROM n a JOIN t ON a.id = t.id UNION ALL SELECT u.id, n.parent, 1 FROM u JOIN n ON n.id = u.up JOIN n p ON p.id = n.parent)
- SELECT t.id AS symbol_id, t.path AS full_path, c.k AS n_descendants FROM t JOIN (SELECT up, count(*) - 1 AS k FROM u GROUP BY 1) c ON c.up = t.id""")
+    return hi.hierarchy(_edges(spark, d)).select(F.col("id").alias("symbol_id"), F.col("root").alias("root_id"), F.col("depth").alias("node_depth"), F.col("state").alias("node_state"))
+
+
+@query(_TREE + """, nm AS (SELECT symbol_id AS id, coalesce(any_value(name), '') AS name FROM code_symbols GROUP BY 1),
+ up AS (SELECT c.id, c.parent, lo.id IS NOT NULL AS on_loop FROM c LEFT JOIN lo ON lo.id = c.id),
+ p AS (SELECT a.id, nm.name AS path FROM m a JOIN nm ON nm.id = a.id WHERE a.parent IS NULL
+       UNION ALL SELECT m.id, p.path || '/' || nm.name FROM m JOIN p ON m.parent = p.id JOIN nm ON nm.id = m.id),
+ b AS (SELECT up.id, nm.name AS path FROM up JOIN nm ON nm.id = up.id WHERE on_loop
+       UNION ALL SELECT up.id, b.path || '/' || nm.name FROM up JOIN b ON up.parent = b.id JOIN nm ON nm.id = up.id WHERE NOT up.on_loop),
+ d AS (SELECT id, parent AS up FROM m WHERE parent IS NOT NULL UNION SELECT d.id, m.parent FROM d JOIN m ON m.id = d.up WHERE m.parent IS NOT NULL)
+ SELECT q.id AS symbol_id, path AS full_path, coalesce(k, 0) AS n_descendants FROM (SELECT * FROM p UNION ALL SELECT * FROM b) q
+ LEFT JOIN (SELECT up, count(*) AS k FROM d WHERE id <> up GROUP BY 1) k ON k.up = q.id""")
 def p2_paths(spark: SparkSession, d: str) -> DataFrame:
-    """Every symbol; the SQL leaves out loops and what is below them."""
-    return _symbols(spark, d).select(F.col("id").alias("symbol_id"), "full_path", (F.col("size") - 1).alias("n_descendants"))
+    """Every symbol; below a loop the path begins at the loop's member."""
+    h = hi.hierarchy(_edges(spark, d))
+    p = hi.paths(h).select(F.col("id").alias("symbol_id"), F.col("path").alias("full_path"))
+    return p.join(h.select(F.col("id").alias("symbol_id"), (F.col("size") - 1).alias("n_descendants")), "symbol_id")
 
 
-@query("""WITH RECURSIVE n AS (SELECT symbol_id AS id, any_value(parent_id) AS parent FROM code_symbols GROUP BY 1),
- t AS (SELECT a.id FROM n a LEFT JOIN n b ON a.parent = b.id WHERE b.id IS NULL UNION ALL SELECT n.id FROM n JOIN t ON n.parent = t.id),
- u AS (SELECT n.id, n.parent AS up, 1::BIGINT AS k FROM n JOIN t ON n.id = t.id WHERE n.parent IN (SELECT id FROM n)
-       UNION ALL SELECT u.id, n.parent, u.k + 1 FROM u JOIN n ON n.id = u.up WHERE n.parent IN (SELECT id FROM n))
- SELECT up AS symbol_id, id AS descendant_id, k AS distance FROM u""")
+@query(_TREE + """, d AS (SELECT id, parent AS up, 1::BIGINT AS k FROM m WHERE parent IS NOT NULL
+       UNION SELECT d.id, m.parent, d.k + 1 FROM d JOIN m ON m.id = d.up WHERE m.parent IS NOT NULL AND m.parent <> d.id AND d.up <> d.id AND d.k <= (SELECT count(*) FROM lo) + (SELECT max(depth) FROM t) + 64)
+ SELECT up AS symbol_id, id AS descendant_id, min(k) AS distance FROM d WHERE up <> id GROUP BY 1, 2""")
 def p2_descendants(spark: SparkSession, d: str) -> DataFrame:
-    """Every symbol; the SQL leaves out loops and what is below them."""
-    return hi.descendants(_symbols(spark, d)).select(F.col("id").alias("symbol_id"), F.col("descendant").alias("descendant_id"), "distance")
+    """Every symbol; a loop's members are below each other."""
+    return hi.descendants(hi.hierarchy(_edges(spark, d))).select(F.col("id").alias("symbol_id"), F.col("descendant").alias("descendant_id"), "distance")
 
 
 @query(r"""WITH s AS (SELECT codebase_id, snapshot_id, min(taken_at) AS taken_at FROM code_snapshots GROUP BY 1, 2),

@@ -39,7 +39,9 @@ def brute(edges):
 
 
 def run(spark, edges):
-    return {r["id"]: (r["state"], r["root"], r["depth"], r["path"]) for r in hi.hierarchy(spark.createDataFrame(edges, EDGE)).collect()}
+    h = hi.hierarchy(spark.createDataFrame(edges, EDGE))
+    path = {r["id"]: r["path"] for r in hi.paths(h).collect()}
+    return {r["id"]: (r["state"], r["root"], r["depth"], path[r["id"]] if r["depth"] >= 0 else None) for r in h.collect()}
 
 
 def test_hierarchy_random(spark):
@@ -54,7 +56,7 @@ def test_hierarchy_chain_loop_and_intervals(spark):
     edges += [(400 + i, 35, f"leaf{i}") for i in range(5)]
     assert run(spark, edges) == brute(edges)
     h = hi.hierarchy(spark.createDataFrame(edges, EDGE))
-    rows = {r["id"]: r for r in h.where("size is not null").collect()}
+    rows = {r["id"]: r for r in h.where("state <> 'cycle'").collect()}
     below = {(r["id"], r["descendant"]) for r in hi.descendants(h).collect()}
     for a in rows.values():
         inside = {b["id"] for b in rows.values() if b["root"] == a["root"] and a["pre"] <= b["pre"] < a["pre"] + a["size"]} - {a["id"]}
@@ -83,7 +85,7 @@ def test_descendants_of_loops_and_below(spark):
     h = hi.hierarchy(spark.createDataFrame([(i, up[i], f"n{i}") for i in ids], EDGE)).cache()
     rows = [tuple(r) for r in hi.descendants(h).select("id", "descendant", "distance").collect()]
     assert len(rows) == len(set(rows)) and set(rows) == want
-    assert {r["id"]: r["full_path"] for r in h.collect()} == paths
+    assert {r["id"]: r["path"] for r in hi.paths(h).collect()} == paths
     counts = {i: 0 for i in ids}
     for a, _, _ in want:
         counts[a] += 1
@@ -96,8 +98,20 @@ def test_hierarchy_empty_and_repeated(spark):
     assert hi.hierarchy(spark.createDataFrame([], EDGE)).count() == 0
     t = dt.datetime(2024, 1, 1)
     raw = spark.createDataFrame([(1, None, "a", t, "x"), (1, None, "a", t, "x"), (2, 9, "old", t, "x"), (2, 1, "new", t + dt.timedelta(days=1), "x"), (None, 1, "z", t, "x")], "k long, up long, nm string, at timestamp, state string")
-    got = {r["id"]: (r["state"], r["path"]) for r in hi.hierarchy(hi.clean_edges(raw, "k", "up", "nm", "at")).collect()}
-    assert got == {1: ("ok", "a"), 2: ("ok", "a/new")}
+    h = hi.hierarchy(hi.clean_edges(raw, "k", "up", "nm", "at"))
+    assert {r["id"]: r["state"] for r in h.collect()} == {1: "ok", 2: "ok"}
+    assert {r["id"]: r["path"] for r in hi.paths(h).collect()} == {1: "a", 2: "a/new"}
+    assert hi.paths(hi.hierarchy(spark.createDataFrame([], EDGE))).count() == 0
+
+
+def test_hierarchy_of_a_long_chain_and_a_broad_parent(spark):
+    """200,000 nodes in one chain and 50,000 children of one node; the chain's labels need no array."""
+    n, m = 200_000, 50_000
+    e = spark.range(n).select("id", F.when(F.col("id") > 0, F.col("id") - 1).alias("parent"), F.lit("a").alias("name"))
+    e = e.unionByName(spark.range(n, n + m).select("id", F.lit(777).cast("long").alias("parent"), F.lit("b").alias("name")))
+    h = hi.hierarchy(e)
+    bad = h.where((F.col("root") != 0) | (F.col("depth") != F.when(F.col("id") < n, F.col("id")).otherwise(778)) | (F.col("size") != F.when(F.col("id") >= n, 1).otherwise(n - F.col("id") + F.when(F.col("id") <= 777, m).otherwise(0))))
+    assert h.count() == n + m and bad.count() == 0 and h.select("pre").distinct().count() == n + m
 
 
 def test_join_hot_equals_join(spark):

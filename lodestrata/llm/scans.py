@@ -39,6 +39,7 @@ from ..session import Stages, join_hot
 STRIP = ".,;:!?()[]\"'“”«»„"
 SLOTS, MOST_SLOTS = 1 << 16, 1 << 18  # of the vector table: four per frequent word, within these bounds
 DIM, WINDOW, NEGATIVE, EPOCHS = 24, 3, 2, 2
+DRAWN = 32  # words drawn from the noise per step, weighing NEGATIVE words a pair
 RATE, STEPS = 0.2, 32  # of AdaGrad; steps taken at least over the pairs held, however few
 SLICES = 32
 FAN = 64  # copies of a slice that one task averages
@@ -277,14 +278,13 @@ def train_skipgram(sentences: Iterator[np.ndarray], v: np.ndarray, u: np.ndarray
         table[r] += rate * g / np.sqrt(acc[r])[:, None]
 
     def step(c: np.ndarray, o: np.ndarray, times: np.ndarray) -> None:
-        neg = np.searchsorted(noise, rng.random((len(c), NEGATIVE))).clip(0, slots - 1)
-        tgt = np.concatenate([o[:, None], neg], 1)
-        vc, ut = v[c], u[tgt]
-        g = -1 / (1 + np.exp(-np.clip(np.einsum("nd,nkd->nk", vc, ut), -8, 8)))
-        g[:, 0] += 1
-        g *= times[:, None]
-        move(v, acc_v, c, np.einsum("nk,nkd->nd", g, ut))
-        move(u, acc_u, tgt.ravel(), (g[:, :, None] * vc[:, None, :]).reshape(-1, DIM))
+        """Pairs against each other, and all of them against the same few words drawn from the noise."""
+        neg = np.searchsorted(noise, rng.random(DRAWN)).clip(0, slots - 1)
+        vc, uo, un = v[c], u[o], u[neg]
+        near = times / (1 + np.exp(np.clip(np.einsum("nd,nd->n", vc, uo), -8, 8)))
+        far = -(times * np.float32(NEGATIVE / DRAWN))[:, None] / (1 + np.exp(np.clip(-(vc @ un.T), -8, 8)))
+        move(v, acc_v, c, near[:, None] * uo + far @ un)
+        move(u, acc_u, np.concatenate([o, neg]), np.concatenate([near[:, None] * vc, far.T @ vc]))
 
     def flush(held: list[np.ndarray]) -> None:
         pair, times = np.unique(np.concatenate(held), return_counts=True)
@@ -295,19 +295,34 @@ def train_skipgram(sentences: Iterator[np.ndarray], v: np.ndarray, u: np.ndarray
                 at = order[i : i + size]
                 step(pair[at] // slots, pair[at] % slots, times[at].astype(np.float32))
 
+    def pairs(chunk: list[np.ndarray]) -> Iterator[np.ndarray]:
+        """Pairs of words at most WINDOW apart in the same block, frequent words thinned out first."""
+        a = np.concatenate(chunk)
+        block = np.repeat(np.arange(len(chunk)), [len(x) for x in chunk])
+        seen[:] += np.bincount(a, minlength=slots)
+        kept = rng.random(len(a)) < keep[a]
+        a, block = a[kept], block[kept]
+        for d in range(1, WINDOW + 1):
+            same = block[d:] == block[:-d]
+            x, y = a[:-d][same], a[d:][same]
+            yield x * slots + y
+            yield y * slots + x
+
     held: list[np.ndarray] = []
-    n = 0
+    chunk: list[np.ndarray] = []
+    n = words = 0
     for a in sentences:
-        np.add.at(seen, a, 1)
-        a = a[rng.random(len(a)) < keep[a]]
-        for d in range(1, WINDOW + 1):
-            if len(a) > d:
-                held += [a[:-d] * slots + a[d:], a[d:] * slots + a[:-d]]
-                n += 2 * (len(a) - d)
-        if n >= PAIRS:
-            flush(held)
-            held, n = [], 0
-    if n:
+        chunk.append(a)
+        words += len(a)
+        if words >= PAIRS // 16:
+            held += pairs(chunk)
+            chunk, words, n = [], 0, sum(map(len, held))
+            if n >= PAIRS:
+                flush(held)
+                held, n = [], 0
+    if words:
+        held += pairs(chunk)
+    if sum(map(len, held)):
         flush(held)
     return seen
 
@@ -318,27 +333,34 @@ def learn_vectors(spark, text: DataFrame, freq: np.ndarray, epochs: int = EPOCHS
     slots = len(freq)
     v, u = start_tables(slots)
     per = slots // SLICES
-    schema = "slice int, lane int, n binary, v binary, u binary"
+    schema = "slice int, lane int, at binary, n binary, v binary, u binary"
     lanes = text.rdd.getNumPartitions()
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        tot = lambda c: sum(np.frombuffer(x, np.float32).astype(np.float64) for x in pdf[c]).astype(np.float32).tobytes()
-        return pd.DataFrame({"slice": [int(pdf["slice"].iloc[0])], "lane": [int(pdf["lane"].iloc[0])], "n": [tot("n")], "v": [tot("v")], "u": [tot("u")]})
+        """Sums of copies; each holds the slots that its words touched."""
+        n, a, b = np.zeros(per), np.zeros((per, DIM)), np.zeros((per, DIM))
+        for x in pdf.itertuples(index=False):
+            at = np.frombuffer(x.at, np.int32)
+            n[at] += np.frombuffer(x.n, np.float32)
+            a[at] += np.frombuffer(x.v, np.float32).reshape(-1, DIM)
+            b[at] += np.frombuffer(x.u, np.float32).reshape(-1, DIM)
+        return pd.DataFrame([(int(pdf["slice"].iloc[0]), int(pdf["lane"].iloc[0]), *pack(n, a, b))], columns=["slice", "lane", "at", "n", "v", "u"])
+
+    def pack(n: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[bytes, ...]:
+        at = np.flatnonzero(n)
+        return (at.astype(np.int32).tobytes(), *(x[at].astype(np.float32).tobytes() for x in (n, a, b)))
 
     for ep in range(epochs):
-        shared = spark.sparkContext.broadcast((v, u, freq))
+        shared = spark.sparkContext.broadcast((v, u, freq.astype(np.float32)))
 
         def run(batches: Iterator[pd.DataFrame], shared=shared, ep=ep) -> Iterator[pd.DataFrame]:
             v0, u0, f = shared.value
             a, b = v0.copy(), u0.copy()
             lane = TaskContext.get().partitionId()
             sents = (np.asarray(x, np.int64) for pdf in batches for x in pdf["slots"])
-            n = train_skipgram(sents, a, b, f, seed=ep * 1_000_003 + lane).astype(np.float32)
-            if n.any():
-                for s in range(SLICES):
-                    sl = slice(s * per, (s + 1) * per)
-                    w = n[sl, None]
-                    yield pd.DataFrame({"slice": [s], "lane": [lane // FAN], "n": [n[sl].tobytes()], "v": [(a[sl] * w).tobytes()], "u": [(b[sl] * w).tobytes()]})
+            n = train_skipgram(sents, a, b, f.astype(np.float64), seed=ep * 1_000_003 + lane)
+            rows = [(s, lane // FAN, *pack(n[sl], a[sl] * n[sl, None], b[sl] * n[sl, None])) for s in range(SLICES) for sl in (slice(s * per, (s + 1) * per),) if n[sl].any()]
+            yield pd.DataFrame(rows, columns=["slice", "lane", "at", "n", "v", "u"])
 
         parts, left = text.select("slots").mapInPandas(run, schema), lanes
         while True:
@@ -348,10 +370,10 @@ def learn_vectors(spark, text: DataFrame, freq: np.ndarray, epochs: int = EPOCHS
                 break
             parts = parts.withColumn("lane", F.floor(F.col("lane") / FAN).cast("int"))
         for r in parts.collect():
-            sl = slice(r["slice"] * per, (r["slice"] + 1) * per)
+            at = r["slice"] * per + np.frombuffer(r["at"], np.int32)
             n = np.frombuffer(r["n"], np.float32)[:, None]
-            for t, c in ((v, "v"), (u, "u")):
-                t[sl] = np.where(n > 0, np.frombuffer(r[c], np.float32).reshape(per, DIM) / np.maximum(n, 1), t[sl])
+            v[at] = np.frombuffer(r["v"], np.float32).reshape(-1, DIM) / n
+            u[at] = np.frombuffer(r["u"], np.float32).reshape(-1, DIM) / n
         shared.unpersist()
     return v, u
 
@@ -451,8 +473,11 @@ def repair(blocks: DataFrame, documents: DataFrame, longest: int | None = LONGES
 
     schema = "block_id long, doc_id long, seq int, page int, kind string, lines array<string>, furniture array<string>, broke boolean, note boolean"
     c = st.put(c.select("block_id", "doc_id", "seq", "page", "kind", "text", "flagged").mapInPandas(split, schema))
+    st.drop(b, e)
+    split_ = c
     scan = c.groupBy("doc_id", "page").agg(F.max(F.col("broke") | (F.size("furniture") > 0)).alias("scanned"))
     c = st.put(c.join(scan, ["doc_id", "page"]))
+    st.drop(split_)
     # the next block of the text flow
     body = c.where(F.size("lines") > 0)
     flow = F.col("kind").isin("text", "heading") & ~F.col("note")
@@ -489,6 +514,7 @@ def repair(blocks: DataFrame, documents: DataFrame, longest: int | None = LONGES
             yield pd.DataFrame({"block_id": pdf["block_id"], "scanned": pdf["scanned"], "forms": [[w for w, _ in ts] for ts in got], "kinds": [[k for _, k in ts] for ts in got]})
 
     tok = st.put(body.mapInPandas(tokenise, "block_id long, scanned boolean, forms array<string>, kinds array<string>"))
+    st.drop(body)
     words1 = tok.select("scanned", F.explode(F.arrays_zip("forms", "kinds")).alias("t")).where("t.kinds = ''").select("scanned", F.col("t.forms").alias("w"))
     both = F.arrays_zip(F.slice("forms", F.lit(1), F.size("forms") - 1).alias("a"), F.slice("forms", F.lit(2), F.size("forms") - 1).alias("b"), F.slice("kinds", F.lit(1), F.size("forms") - 1).alias("x"), F.slice("kinds", F.lit(2), F.size("forms") - 1).alias("y"))
     pairs = tok.where(~F.col("scanned") & (F.size("forms") > 1)).select(F.explode(both).alias("t")).select("t.*").where("x = '' and y = ''")
@@ -501,6 +527,7 @@ def repair(blocks: DataFrame, documents: DataFrame, longest: int | None = LONGES
     freq = np.zeros(slots)
     for r in lex.where(~F.col("w").contains(" ")).groupBy(hashed(F.col("w")).alias("s")).agg(F.sum("n").alias("n")).collect():
         freq[r["s"]] = r["n"]
+    plain = tok
     tok = tok.withColumn("slots", F.transform("forms", hashed))
     v, u = learn_vectors(spark, tok, freq)
     space = spark.sparkContext.broadcast(Space(v, u, freq))
@@ -518,6 +545,7 @@ def repair(blocks: DataFrame, documents: DataFrame, longest: int | None = LONGES
     doubtful = (F.col("broken") == "b") | ~((F.coalesce("l_clean", F.lit(0)) >= 2) & (F.col("l_clean") >= CLEAN_SHARE * F.col("l_n")))
     occ = st.put(occ.where(doubtful).select("block_id", "form", "broken", "around", F.coalesce("l_n", F.lit(0)).alias("form_n")))
 
+    st.drop(plain)
     # a rare word's vector: the sum of its contexts, over all its places
     dims = [f"c{i}" for i in range(DIM)]
 

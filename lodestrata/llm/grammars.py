@@ -4,6 +4,9 @@ Notation: alternatives are tried in order; ``* + ?`` repeat; ``!x`` and ``&x`` l
 the next token; ``EOS`` is a semicolon or a place where one is inserted; ``CALL`` holds where the token before ends a
 call or a creation. ID is a name, NAME any word. Each choice becomes a table from the next token's type to the
 alternatives that can begin with it, so most are taken without trying; rules marked @ keep their results per position.
+
+A grammar is compiled into one table of instructions, which :meth:`Parser.parse` runs with stacks of its own for open
+rules and for places to go back to. Nesting is bounded by memory only.
 """
 
 from __future__ import annotations
@@ -108,6 +111,7 @@ Unit: Stmt* EOF ;
 @Block: '{' Stmt* '}' ;
 Stmt: Block | ';'
  | ('var' | 'const' !'enum' | 'let' &(ID | '[' | '{')) VarDecls EOS
+ | 'await'? 'using' ~ &(ID ('=' | ':')) VarDecls EOS
  | 'function' &ANY FuncDecl
  | 'async' ~ 'function' FuncDecl
  | Decorator+ ('export' 'default'?)? TS_ABSTRACT 'class' ClassTail
@@ -133,7 +137,7 @@ VarDecl: Binding TS_DEFINITE TS_ANN ('=' Assign)? ;
 ObjPat: '{' (PatProp (',' PatProp)*)? ','? '}' ;
 PatProp: '...' Binding | PropName ':' Binding ('=' Assign)? | ID ('=' Assign)? ;
 ArrPat: '[' (','* ('...' Binding | Binding ('=' Assign)?) )* ','* ']' ;
-ForHead: ('var' | 'const' | 'let' &(ID | '[' | '{')) Binding TS_ANN ('of' Assign | 'in' Expr) | ('var' | 'const' | 'let' &(ID | '[' | '{')) VarDecls ';' Expr? ';' Expr?
+ForHead: 'await'? 'using' ~ !'of' ID TS_ANN 'of' Assign | ('var' | 'const' | 'let' &(ID | '[' | '{')) Binding TS_ANN ('of' Assign | 'in' Expr) | ('var' | 'const' | 'let' &(ID | '[' | '{')) VarDecls ';' Expr? ';' Expr?
  | LHS ('of' Assign | 'in' Expr) | Expr? ';' Expr? ';' Expr? ;
 FuncDecl: '*'? ID? FuncTail ;
 FuncTail: TS_TPARAMS Params TS_RET (Block | TS_NOBODY) ;
@@ -306,13 +310,15 @@ def _read(text: str) -> tuple[dict, set]:
     return rules, memo
 
 
+ONE, SET, CALL, RET, ALT, COMMIT, SKIP, TRY, LOOP, NOT, NOTEND, AND, ANDEND, EOS, EOF, ANY, NEWLINE, CALLED, SAME, KEEP, KEPT, ACCEPT = range(22)
+
+
 class Parser:
     """Tables of one grammar. ``parse`` gives the index of the first token that no derivation can take, or -1."""
 
     def __init__(self, text: str, context: frozenset[str], reserved: frozenset[str]):
         self.rules, self.memo = _read(text)
         self.sets = {"ID": frozenset(context | {"ID"}), "NAME": frozenset(context | {x for x in reserved if WORD.match(x)} | {"ID"})}
-        self.compiled: dict = {}
         self.first: dict = {r: frozenset() for r in self.rules}
         self.empty: dict = dict.fromkeys(self.rules, False)
         changed = True
@@ -324,9 +330,23 @@ class Parser:
                     self.first[r] |= f
                     self.empty[r] = self.empty[r] or e
                     changed = True
-        for r in self.rules:
-            self._rule(r)
-        self.start = self.compiled["Unit"]
+        self.op: list[int] = []
+        self.arg: list = []
+        self.at: dict[str, int] = {}
+        self._put(CALL, "Unit")
+        self._put(ACCEPT, None)
+        for r, t in self.rules.items():
+            self.at[r] = len(self.op)
+            if r in self.memo:
+                self._put(KEEP, r)
+            self._compile(t)
+            self._put(KEPT if r in self.memo else RET, None)
+        self.arg = [self.at[a] if o == CALL else a for o, a in zip(self.op, self.arg, strict=True)]
+
+    def _put(self, op: int, arg) -> int:
+        self.op.append(op)
+        self.arg.append(arg)
+        return len(self.op) - 1
 
     def _accepts(self, v: str) -> frozenset[str]:
         return frozenset({">", ">~"}) if v == ">" else frozenset({"~"}) if v == "~T" else frozenset({v})
@@ -364,163 +384,193 @@ class Parser:
         f, e = self._first(t[1])
         return f, e or k != "some"
 
-    def _rule(self, name: str):
-        cell = []
-        keep = name in self.memo
-
-        def call(T, i):
-            return cell[0](T, i)
-
-        def call_memo(T, i):
-            m = T.memo
-            key = (name, i)
-            j = m.get(key)
-            if j is None:
-                j = m[key] = cell[0](T, i)
-            return j
-
-        self.compiled[name] = call_memo if keep else call
-        cell.append(self._compile(self.rules[name]))
-        if not keep:
-            pass
-        return self.compiled[name]
-
-    def _compile(self, t):
+    def _compile(self, t) -> None:
         k = t[0]
         if k == "term" or (k == "ref" and t[1] in self.sets):
             acc = self._accepts(t[1]) if k == "term" else self.sets[t[1]]
-            if len(acc) == 1:
-                (one,) = acc
-
-                def term1(T, i):
-                    if T[i] == one:
-                        return i + 1
-                    if i > T.far:
-                        T.far = i
-                    return -1
-
-                return term1
-
-            def term(T, i):
-                if T[i] in acc:
-                    return i + 1
-                if i > T.far:
-                    T.far = i
-                return -1
-
-            return term
-        if k == "ref":
-            v = t[1]
-            if v == "EOF":
-                return lambda T, i: i if T[i] == "EOF" else self._fail(T, i)
-            if v == "ANY":
-                return lambda T, i: i + 1 if T[i] != "EOF" else -1
-            if v == "EOS":
-
-                def eos(T, i):
-                    x = T[i]
-                    if x == ";":
-                        return i + 1
-                    if x == "}" or x == "EOF" or T.nl[i]:
-                        return i
-                    if i > T.far:
-                        T.far = i
-                    return -1
-
-                return eos
-            if v == "NEWLINE":
-                return lambda T, i: i if T.nl[i] else self._fail(T, i)
-            if v == "CALL":
-                return lambda T, i: i if T[i - 1] in (")", "}", "++", "--") else self._fail(T, i)
-            if v not in self.compiled:
-                comp = self.compiled
-
-                def late(T, i):
-                    return comp[v](T, i)
-
-                return late
-            return self.compiled[v]
-        if k == "same":
-            return lambda T, i: -1 if T.nl[i] else i
-        if k in ("not", "and"):
-            f, want = self._compile(t[1]), k == "and"
-
-            def look(T, i):
-                far = T.far
-                ok = f(T, i) >= 0
-                T.far = far
-                return i if ok == want else -1
-
-            return look
-        if k == "seq":
-            fs = [self._compile(x) for x in t[1]]
-            if len(fs) == 1:
-                return fs[0]
-            if not fs:
-                return lambda T, i: i
-            fs = tuple(fs)
-
-            def seq(T, i):
-                for f in fs:
-                    i = f(T, i)
-                    if i < 0:
-                        return -1
-                return i
-
-            return seq
-        if k == "alt":
-            table: dict = {}
-            anyway = []
-            infos = [(self._compile(x), *self._first(x)) for x in t[1]]
+            self._put(*((ONE, next(iter(acc))) if len(acc) == 1 else (SET, acc)))
+        elif k == "ref":
+            special = {"EOF": EOF, "ANY": ANY, "EOS": EOS, "NEWLINE": NEWLINE, "CALL": CALLED}
+            self._put(special.get(t[1], CALL), t[1])
+        elif k == "same":
+            self._put(SAME, None)
+        elif k in ("not", "and"):
+            start = self._put(NOT if k == "not" else AND, None)
+            self._compile(t[1])
+            self._put(NOTEND if k == "not" else ANDEND, None)
+            self.arg[start] = len(self.op)
+        elif k == "seq":
+            for x in t[1]:
+                self._compile(x)
+        elif k == "alt":
+            start = self._put(ALT, None)
+            infos, ends = [], []
+            for x in t[1]:
+                infos.append((len(self.op), *self._first(x)))
+                self._compile(x)
+                ends.append(self._put(COMMIT, None))
+            for e in ends:
+                self.arg[e] = len(self.op)
             types = frozenset().union(*[f for _, f, _ in infos])
-            for c in types:
-                table[c] = tuple(f for f, fs, e in infos if c in fs or e or "\0any" in fs)
-            anyway = tuple(f for f, fs, e in infos if e or "\0any" in fs)
+            table = {c: tuple(pc for pc, fs, e in infos if c in fs or e or "\0any" in fs) for c in types}
+            self.arg[start] = (table, tuple(pc for pc, fs, e in infos if e or "\0any" in fs))
+        else:
+            if k == "some":
+                self._compile(t[1])
+            fs, e = self._first(t[1])
+            test = None if e or "\0any" in fs else self._put(SKIP, None)
+            start = self._put(TRY, None)
+            self._compile(t[1])
+            end = self._put(COMMIT if k == "opt" else LOOP, None)
+            after = len(self.op)
+            self.arg[start] = after
+            self.arg[end] = after if k == "opt" else (start if test is None else test, after)
+            if test is not None:
+                self.arg[test] = (fs, after)
 
-            def alt(T, i):
-                for f in table.get(T[i], anyway):
-                    j = f(T, i)
-                    if j >= 0:
-                        return j
-                if i > T.far:
-                    T.far = i
+    def parse(self, tokens: L.Tokens) -> int:
+        op, arg, T, nl = self.op, self.arg, tokens, tokens.nl
+        calls: list = []  # where open rules go on
+        backs: list = []  # [position, open rules, what to do on failure, its state]
+        memo: dict = {}
+        pc = i = far = 0
+        while True:
+            o = op[pc]
+            ok = True
+            if o == ONE:
+                if T[i] == arg[pc]:
+                    i += 1
+                    pc += 1
+                    continue
+                ok = False
+            elif o == SKIP:
+                fs, after = arg[pc]
+                pc = pc + 1 if T[i] in fs else after
+                continue
+            elif o == CALL:
+                calls.append(pc + 1)
+                pc = arg[pc]
+                continue
+            elif o == RET:
+                pc = calls.pop()
+                continue
+            elif o == ALT:
+                table, anyway = arg[pc]
+                ways = table.get(T[i], anyway)
+                if ways:
+                    backs.append((i, len(calls), ALT, ways, 1))
+                    pc = ways[0]
+                    continue
+                ok = False
+            elif o == COMMIT:
+                backs.pop()
+                pc = arg[pc]
+                continue
+            elif o == KEEP:
+                key = (pc, i)
+                j = memo.get(key)
+                if j is None:
+                    backs.append((i, len(calls), KEEP, key, 0))
+                    pc += 1
+                    continue
+                if j >= 0:
+                    i = j
+                    pc = calls.pop()
+                    continue
+                ok = None  # known to fail here
+            elif o == KEPT:
+                memo[backs.pop()[3]] = i
+                pc = calls.pop()
+                continue
+            elif o == SET:
+                if T[i] in arg[pc]:
+                    i += 1
+                    pc += 1
+                    continue
+                ok = False
+            elif o == TRY:
+                backs.append((i, len(calls), TRY, arg[pc], 0))
+                pc += 1
+                continue
+            elif o == LOOP:
+                again, after = arg[pc]
+                pc = after if backs.pop()[0] == i else again
+                continue
+            elif o == NOT or o == AND:
+                backs.append((i, len(calls), o, arg[pc], far))
+                pc += 1
+                continue
+            elif o == ANDEND:
+                i, _, _, _, far = backs.pop()
+                pc += 1
+                continue
+            elif o == NOTEND:
+                far = backs.pop()[4]
+                ok = None
+            elif o == SAME:
+                if not nl[i]:
+                    pc += 1
+                    continue
+                ok = None
+            elif o == EOS:
+                x = T[i]
+                if x == ";":
+                    i += 1
+                    pc += 1
+                    continue
+                if x == "}" or x == "EOF" or nl[i]:
+                    pc += 1
+                    continue
+                ok = False
+            elif o == EOF:
+                if T[i] == "EOF":
+                    pc += 1
+                    continue
+                ok = False
+            elif o == ANY:
+                if T[i] != "EOF":
+                    i += 1
+                    pc += 1
+                    continue
+                ok = None
+            elif o == NEWLINE:
+                if nl[i]:
+                    pc += 1
+                    continue
+                ok = False
+            elif o == CALLED:
+                if T[i - 1] in (")", "}", "++", "--"):
+                    pc += 1
+                    continue
+                ok = False
+            elif o == ACCEPT:
                 return -1
-
-            return alt
-        f, (fs, e) = self._compile(t[1]), self._first(t[1])
-        free = e or "\0any" in fs
-        if k == "opt":
-
-            def opt(T, i):
-                if free or T[i] in fs:
-                    j = f(T, i)
-                    if j >= 0:
-                        return j
-                return i
-
-            return opt
-
-        def many(T, i, n=0):
-            while free or T[i] in fs:
-                j = f(T, i)
-                if j < 0 or j == i:
+            # failure: back to the last place with another way
+            if ok is False and i > far:
+                far = i
+            while True:
+                if not backs:
+                    return far
+                i, depth, what, state, n = backs.pop()
+                if what == ALT:
+                    if n < len(state):
+                        backs.append((i, depth, ALT, state, n + 1))
+                        pc = state[n]
+                        break
+                    if i > far:
+                        far = i
+                elif what == TRY:
+                    pc = state
                     break
-                i, n = j, n + 1
-            return i if k == "many" or n else -1
-
-        return many
-
-    @staticmethod
-    def _fail(T, i):
-        if i > T.far:
-            T.far = i
-        return -1
-
-    def parse(self, tokens: L.Tokens) -> int:
-        tokens.memo = {}
-        tokens.far = 0
-        end = self.start(tokens, 0)
-        return -1 if end >= 0 else tokens.far
+                elif what == KEEP:
+                    memo[state] = -1
+                elif what == NOT:
+                    far = n
+                    pc = state
+                    break
+                else:
+                    far = n
+            del calls[depth:]
 
 
 @lru_cache(maxsize=None)

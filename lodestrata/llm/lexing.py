@@ -14,7 +14,7 @@ EXTENSIONS = {"java": "java", "js": "jsx", "jsx": "jsx", "mjs": "jsx", "cjs": "j
 JAVA_RESERVED = frozenset("abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while true false null _".split())
 JAVA_CONTEXT = frozenset("var record sealed permits non yield when module open exports opens requires uses provides to with".split())
 JS_RESERVED = frozenset("break case catch class const continue debugger default delete do else export extends finally for function if import in instanceof new return super switch this throw try typeof var void while with null true false enum".split())
-JS_CONTEXT = frozenset("let static async await yield of get set as from accessor".split())
+JS_CONTEXT = frozenset("let static async await yield of get set as from accessor using".split())
 TS_CONTEXT = JS_CONTEXT | frozenset("type interface namespace module declare abstract readonly public private protected override implements keyof unique infer is asserts global satisfies out require any unknown never object string number boolean symbol bigint undefined".split())
 
 

@@ -1,15 +1,20 @@
 """Files that nobody of the project wrote by hand: generated, minified, vendored, or data saved as code.
 
-Every file is lexed and its tokens are set again in one canonical layout. The original is compared with it: a file that
-grows many times over is *minified*; one whose units repeat few shapes in perfectly even layout, without a comment or a
-blank line between them, is *generated*, as is one whose head says so; one that consists of literals is *data*. A file
-is *vendored* if its licence head, package or folder names somebody else than the project's owner, or if most of its
-units are token for token those of such files, however they are laid out and wherever they lie.
+Every file is lexed and its tokens are emitted again in one canonical layout (:func:`emit`). The original is compared with
+that text gap by gap (:func:`layout`): wrapping, spacing, indentation and blank lines.
+
+* *minified*: the canonical text has many times the lines of the original.
+* *generated*: the original deviates from the canonical text in one and the same way wherever the same kinds of tokens
+  meet (``UNEVEN`` of the gaps at most do not), and its units repeat a few shapes. A tool's head says so too.
+* *data*: literals dominate the code.
+* *vendored*: the licence head, package or folder names somebody else than the project's owner, or most of the units are
+  token for token those of such files, however they are laid out and wherever they lie.
+
+The lexer is that of the path's extension, or else of ``language``; damaged files are cut by a loose pattern.
 """
 
 from __future__ import annotations
 
-import bisect
 import re
 import zlib
 from collections.abc import Iterator
@@ -23,8 +28,13 @@ from . import lexing
 from .syntax import kind_of
 
 OWNER = "Ostmark"
+LANGUAGES = {"java": "java", "javascript": "jsx", "js": "jsx", "typescript": "ts", "ts": "ts"}
 HOLDER = re.compile(r"(?i)\b\d{4}(?:\s*-\s*\d{4})?,?\s+(?:the\s+)?([a-z][\w-]{3,})")
 MARKED = re.compile(r"@(?:\w+\.)*Generated\s*(?:\(|$)", re.M)
+UNEVEN = 0.004  # share of gaps that differ from their kind's usual layout, up to which a layout is uniform
+TIGHT_AFTER = frozenset("( [ . ! ~ @ :: ... ?. ++ -- #".split())  # the canonical layout has no space after these
+TIGHT_BEFORE = frozenset(") ] ; , . ( [ :: ++ -- : ?.".split())  # nor before these
+COMMENT = re.compile(r"//[^\n]*|/\*[\s\S]*?\*/")
 EXPANSION = 4.0  # canonical lines per line of code from which a file is minified
 LITERALS = 0.25  # share of literals in the code's characters from which many of them make it data
 UNIT = 20  # tokens from which a unit tells where it comes from
@@ -92,6 +102,63 @@ def canonical_lines(toks) -> list[tuple[int, int]]:
     return out
 
 
+def emit(toks) -> tuple[str, list[str]]:
+    """The tokens in canonical layout: one statement or brace a line, four spaces a level, one space between words and
+    operators; and the white space before each token."""
+    starts = {a for a, _ in canonical_lines(toks)}
+    gaps, depth = [], 0
+    for i, (k, *_) in enumerate(toks):
+        if k == "}":
+            depth = max(0, depth - 1)
+        if i == 0:
+            gaps.append("")
+        elif i in starts:
+            gaps.append("\n" + "    " * depth)
+        else:
+            gaps.append("" if toks[i - 1][0] in TIGHT_AFTER or k in TIGHT_BEFORE else " ")
+        if k == "{":
+            depth += 1
+    return "".join(g + t[1] for g, t in zip(gaps, toks, strict=True)), gaps
+
+
+def layout(src: str, toks) -> dict:
+    """How the original differs from the canonical text.
+
+    ``uneven``: share of gaps whose deviation (joined, spaced, wrapped, blank lines, indent) is not the usual one between
+    such tokens. ``blanks``: different numbers of blank lines between canonical lines. ``tight``: share of canonical
+    spaces that the original leaves out. ``expansion``: canonical lines per line of code.
+    """
+    text, gaps = emit(toks)
+    seen: dict = {}
+    indents: dict = {}
+    blanks, missing, spaces, lines = set(), 0, 0, set()
+    kind = lambda k: k if not k.isalnum() or k in WORDS else "w" if k == "ID" else "l"
+    line = src.count("\n", 0, toks[0][2]) if toks else 0
+    lines.add(line)
+    for i in range(1, len(toks)):
+        raw = src[toks[i - 1][3] : toks[i][2]]
+        line += src.count("\n", toks[i - 1][2], toks[i][2])
+        lines.add(line)
+        gap = COMMENT.sub("", raw) if "/" in raw else raw
+        n, want = gap.count("\n"), gaps[i]
+        wrapped = want[:1] == "\n"
+        deviation = ("n", min(n, 3)) if n else ("s", 0) if gap else ("", 0)
+        ctx = seen.setdefault((kind(toks[i - 1][0]), kind(toks[i][0]), wrapped), {})
+        ctx[deviation] = ctx.get(deviation, 0) + 1
+        if wrapped and n:
+            width = len(gap[gap.rindex("\n") + 1 :].expandtabs(4))
+            d = indents.setdefault(len(want), {})
+            d[width] = d.get(width, 0) + 1
+            blanks.add(n - 1)
+        elif want == " ":
+            spaces += 1
+            missing += not gap
+    groups = [*seen.values(), *indents.values()]
+    total = sum(sum(g.values()) for g in groups)
+    uneven = sum(sum(g.values()) - max(g.values()) for g in groups)
+    return {"uneven": uneven / max(1, len(toks) - 1) if total else 1.0, "blanks": len(blanks), "tight": missing / max(1, spaces), "expansion": (text.count("\n") + 1) / max(1, len(lines)), "canonical": text}
+
+
 def units(toks) -> list[tuple[int, int]]:
     """Token ranges of the members of a file: top-level statements, and the members of types and modules in them."""
     out, a, depth, round_ = [], 0, 0, 0
@@ -126,19 +193,15 @@ def units(toks) -> list[tuple[int, int]]:
     return out
 
 
-def features(path: str, content: str, owner: str = OWNER) -> dict:
+def features(path: str, content: str, owner: str = OWNER, language: str | None = None) -> dict:
     """What the layout, the literals, the head and the path of one file say."""
     src = content.removeprefix("﻿").replace("\r\n", "\n").replace("\r", "\n")
-    toks, com, _parsed = _tokens(src, kind_of(path))
+    toks, com, _parsed = _tokens(src, kind_of(path) or LANGUAGES.get((language or "").strip().lower()))
     code = sum(t[3] - t[2] for t in toks)
     lit = sum(t[3] - t[2] for t in toks if t[0] in ("STR", "NUM", "CHAR", "TEMPLATE", "TEXT"))
     n_lit = sum(t[0] in ("STR", "NUM", "CHAR", "TEMPLATE") for t in toks)
     longest = max((t[3] - t[2] for t in toks if t[0] in ("STR", "TEMPLATE")), default=0)
-    lines = set()
-    nl = [m.start() for m in re.finditer("\n", src)]
-    for _, _, a, b in toks:
-        lines.add(bisect.bisect_left(nl, a))
-    canon = canonical_lines(toks)
+    look = layout(src, toks)
     names = [t[1] for t in toks if t[0] == "ID"]
     short = sum(len(x) <= 2 for x in names) / max(1, len(names))
     us = units(toks)
@@ -168,7 +231,7 @@ def features(path: str, content: str, owner: str = OWNER) -> dict:
     grams = [(x << 31) ^ y for x, y in zip(marks, marks[1:], strict=False)] or ([zlib.crc32(" ".join(t[1] for t in toks).encode("utf-8", "surrogatepass")) << 31 | 1] if len(toks) >= UNIT else [])
     odd = sum(not (c.isprintable() or c in "\n\t\x0c") or "\x80" <= c <= "\xff" for c in src) / max(1, len(src))
     return {
-        "tokens": len(toks), "expansion": len(canon) / max(1, len(lines)), "literal": lit / max(1, code), "n_lit": n_lit, "longest": longest, "short": short,
+        "tokens": len(toks), "expansion": look["expansion"], "uneven": look["uneven"], "blanks": look["blanks"], "tight": look["tight"], "literal": lit / max(1, code), "n_lit": n_lit, "longest": longest, "short": short,
         "period": period, "cycles": cycles, "unit_size": size / max(1, len(seq)), "bodies": bodies / max(1, len(seq)), "inner_com": inner_com, "blank": blank, "odd": odd, "parsed": _parsed,
         "tool": (bool(TOOL.search(heads)) and not BY_HAND.search(heads)) or bool(MARKED.search(src[: toks[body[0][1] - 1][3]] if body else "")),
         "foreign": bool(lic) and not has_own, "own": has_own, "package": bool(pkg) and "." in pkg.group(1) and own not in pkg.group(1).lower(), "lib": lib_dir, "named": bool(TOOL_NAME.search(path)), "grams": grams,
@@ -202,7 +265,9 @@ def reasons(x: dict) -> list[str]:
     if x["odd"] > 0.1 and not x["tool"]:
         return out  # bytes of another format
     bare = x["blank"] == 0 and x["inner_com"] == 0
-    even = x["cycles"] >= 3 and (x["bodies"] >= 0.9 and x["unit_size"] >= 10 and bare if x["period"] == 1 else x["unit_size"] >= 7)
+    # perfect uniformity: of the layout throughout, and of the units' shapes; blank lines that vary need more repetition
+    even = x["uneven"] <= UNEVEN and x["cycles"] >= 2 and x["blanks"] <= 1 and x["unit_size"] >= 7
+    even = even or (x["uneven"] <= 5 * UNEVEN and x["cycles"] >= 3 and (x["bodies"] >= 0.9 and x["unit_size"] >= 10 and bare if x["period"] == 1 else x["unit_size"] >= 7))
     if x["tool"] or even or (x["named"] and x["cycles"] >= 2):
         out.append("generated")
     if x["expansion"] >= EXPANSION and x["tokens"] >= 100:
@@ -225,12 +290,14 @@ def origins(files: DataFrame, id_col: str = "file_id", owner: str = OWNER) -> Da
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = []
-            for i, p, c in zip(pdf["id"], pdf["path"], pdf["content"], strict=True):
-                x = features(p, c, owner)
+            for i, p, c, lang in zip(pdf["id"], pdf["path"], pdf["content"], pdf["language"], strict=True):
+                x = features(p, c, owner, lang)
                 rows.append((i, reasons(x), sorted(set(x["grams"])), x["own"], x["names"], x["parts"]))
             yield pd.DataFrame(rows, columns=["id", "reasons", "grams", "own", "names", "parts"])
 
-    f = files.select(F.col(id_col).alias("id"), "path", "content").where("path is not null and content is not null").distinct()
+    lang = F.col("language") if "language" in files.columns else F.lit(None).cast("string")
+    f = files.select(F.col(id_col).alias("id"), "path", "content", lang.alias("language")).where("path is not null and content is not null")
+    f = f.groupBy("id", "path", "content").agg(F.min("language").alias("language"))
     x = st.put(f.mapInPandas(run, f"id {dict(files.dtypes)[id_col]}, reasons array<string>, grams array<bigint>, own boolean, names array<string>, parts array<string>"))
     known = x.where(F.array_contains("reasons", "vendored")).select(F.explode("grams").alias("g")).distinct()
     rest = x.where(~F.array_contains("reasons", "vendored") & ~F.col("own")).select("id", F.explode("grams").alias("gram"), F.size("grams").alias("n"))

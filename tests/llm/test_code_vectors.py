@@ -1,6 +1,7 @@
 """Syntax, origin and neighbours on stated cases and against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
@@ -199,3 +200,64 @@ def test_random_junk_never_crashes():
         for p in ("A.java", "a.js", "a.ts", "a.tsx"):
             syntax.first_error(p, t)
             origin.reasons(origin.features(p, t))
+
+
+def test_deep_nesting_is_no_error():
+    """200,000 open brackets: the parser's stacks are its own, so depth is no limit and an error is still found."""
+    n = 200_000
+    assert syntax.first_error("a.js", "let x = " + "(" * n + "1" + ")" * n + ";") is None
+    assert syntax.first_error("a.js", "let x = " + "(" * n + "1" + ")" * (n - 1) + ";") == (1, "unexpected ;")
+
+
+def test_using_declarations():
+    for t in ("using y = f();", "await using y = f();", "for (using x of xs) { g(x); }", "let using = 1; using = 2; using.x();"):
+        assert syntax.first_error("a.ts", t) is None, t
+    assert syntax.first_error("a.ts", "using y f();") is not None
+
+
+ROW = "export const {0} = Object.freeze({{ id: {1}, name: \"{0}\" }});"
+HAND = """import { load } from "./io";
+
+// Loads what the caller asked for.
+export function fetchAll(ids: number[]): string[] {
+  const out: string[] = [];
+  for (const id of ids) {
+    if (id > 0) out.push(load(id));
+    else { continue; }
+  }
+
+  return out;
+}
+
+
+export class Cache {
+  private kept = new Map<number, string>();
+  get(id: number) { return this.kept.get(id) }
+  put(id: number, v: string) {
+    this.kept.set(id, v); // last one wins
+  }
+}
+"""
+
+
+def test_layout_alone_tells_the_kinds(monkeypatch):
+    """With no head, licence or folder pattern, the canonical text still tells generated, minified and data files."""
+    monkeypatch.setattr(origin, "TOOL", re.compile(r"(?!)"))
+    monkeypatch.setattr(origin, "TOOL_NAME", re.compile(r"(?!)"))
+    kinds = lambda p, t: origin.reasons(origin.features(p, t))
+    java = "package com.ostmark.a;\n\npublic class Codes {\n" + "\n".join(f"    public String get{n}() {{\n        return this.{n.lower()};\n    }}\n    public void set{n}(String v) {{\n        this.{n.lower()} = v;\n    }}" for n in ("Alpha", "Beta", "Gamma", "Delta")) + "\n}\n"
+    assert kinds("src/Codes.java", java) == ["generated"]
+    mini = re.sub(r"\s+", " ", re.sub(r"//[^\n]*|: (?:number\[\]|string\[\]|number|string)|private |<number, string>", "", HAND)) * 6
+    assert "minified" in kinds("src/a.js", mini.replace(' import { load } from "./io";', "").replace(" = ", "=").replace("{ ", "{"))
+    assert kinds("src/d.js", "module.exports = [\n" + ",\n".join(f'  "{i * 7919 % 100003:05d}abcdefgh"' for i in range(90)) + "\n];\n") == ["data"]
+    assert kinds("src/cache.ts", HAND) == []
+
+
+def test_canonical_text_keeps_the_tokens():
+    for p, t in (("a.ts", HAND), ("B.java", "class B{int f(){return a[1]+ -b;}}")):
+        kind = syntax.kind_of(p)
+        toks, _, ok = origin._tokens(t, kind)
+        text, gaps = origin.emit(toks)
+        assert ok and [x[1] for x in origin._tokens(text, kind)[0]] == [x[1] for x in toks] and len(gaps) == len(toks)
+        again = origin.layout(text, origin._tokens(text, kind)[0])
+        assert again["uneven"] == 0 and again["tight"] == 0 and again["canonical"] == text

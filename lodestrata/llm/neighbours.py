@@ -1,16 +1,19 @@
 """The k most similar vectors of every vector, through learned partitions.
 
-Fitting, on a bounded sample (``SAMPLE`` rows with the smallest hashes): the sample's exact neighbour graph is cut into
-balanced parts by size-constrained label propagation, and a small network learns to tell from a vector which parts its
-neighbours lie in. Indexing routes *every* row: it is stored in its most probable part and asks the most probable parts
-for its neighbours, which are ranked by exact cosine. The number of parts grows with the rows, so that a part keeps its
-size; a part that holds more rows than planned is cut into blocks, against which its queries are run one by one.
-Exact copies are searched once and expanded afterwards.
+A cell of vectors is cut into parts by a router that is fitted on a bounded sample (``SAMPLE`` rows, by hash): the sample's
+exact neighbour graph is cut into balanced parts by size-constrained label propagation, and a small network learns to tell
+from a vector which parts its neighbours lie in. *Every* row is routed: it is stored in its most probable part and asks the
+most probable parts for its neighbours. All vectors are the first cell; a part that holds more than ``SPLIT`` times
+``PART_ROWS`` rows is a cell again with a router of its own, so that parts keep their size however many rows there are.
+Candidates are ranked by exact cosine in blocks. Exact copies are searched once and expanded afterwards.
+
+``most`` and ``mass`` bound what is asked; ``most=None`` asks every part of every cell, which is exact.
 """
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,11 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import Stages, join_hot
+from ..session import Stages
 
 SAMPLE = 16_384  # rows the router is fitted on, at most
 PART_ROWS = 1_500  # aimed at per part
-MAX_PARTS = 1_024
+FAN = 256  # parts a cell is cut into, at most; larger cells take more levels
+SPLIT = 4  # times PART_ROWS from which a part is a cell again
+LEVELS = 8  # of cells; FAN**LEVELS parts are more than can be stored
+LANE = 50_000  # rows of a cell that one task routes
 BLOCK = 4_096  # rows of a part, and queries, in one task's block
 GRAPH_K = 10
 HIDDEN = 192
@@ -98,6 +104,12 @@ class Router:
         rng = np.random.default_rng(seed)
         self.w = [rng.normal(0, (2 / dim) ** 0.5, (dim, HIDDEN)).astype(np.float32), np.zeros(HIDDEN, np.float32), rng.normal(0, (1 / HIDDEN) ** 0.5, (HIDDEN, parts)).astype(np.float32), np.zeros(parts, np.float32)]
 
+    @staticmethod
+    def of(w: list[np.ndarray]) -> Router:
+        net = Router.__new__(Router)
+        net.w = w
+        return net
+
     def probs(self, x: np.ndarray) -> np.ndarray:
         a, b, c, d = self.w
         z = np.maximum((x * 8) @ a + b, 0) @ c + d
@@ -139,14 +151,74 @@ def fit_router(x: np.ndarray, parts: int) -> Router | None:
     return Router(x.shape[1], parts).fit(x, y)
 
 
-def probes(p: np.ndarray, most: int, mass: float) -> tuple[np.ndarray, np.ndarray]:
+def probes(p: np.ndarray, most: int | None, mass: float) -> tuple[np.ndarray, np.ndarray]:
     """Ranked parts per row and how many of them to ask."""
+    if most is None:
+        return np.argsort(-p, axis=1), np.full(len(p), p.shape[1])
     most = min(most, p.shape[1])
     top = np.argsort(-p, axis=1)[:, :most]
     cum = np.cumsum(np.take_along_axis(p, top, 1), axis=1)
     return top, 1 + (cum[:, :-1] < mass).sum(1)
 
 
+def _routed(pdf: pd.DataFrame, net: Router, most: int | None, mass: float) -> pd.DataFrame:
+    """Rows (vid, u, cell, role) in the parts of their cell: role 0, the stored row, in the most probable one; role 1, the
+    query, in all it asks."""
+    top, cnt = probes(net.probs(np.stack(pdf["u"].to_numpy()).astype(np.float32)), most, mass)
+    cnt = np.where(pdf["role"].to_numpy() == 0, 1, cnt)
+    at = np.repeat(np.arange(len(pdf)), cnt)
+    part = np.concatenate([t[:c] for t, c in zip(top, cnt, strict=True)]) if len(pdf) else np.zeros(0, np.int64)
+    out = pdf.iloc[at].copy()
+    out["cell"] = out["cell"].to_numpy() * (FAN + 1) + part + 1
+    return out
+
+
+def _cells(st: Stages, rows: DataFrame, part_rows: int, fan: int, sample: int, most: int | None, mass: float) -> DataFrame:
+    """(vid, u, cell, role) of all rows (vid, u, cell 0, role), routed level by level into cells of the planned size."""
+    schema = "vid long, u array<float>, cell long, role int"
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        net = fit_router(np.stack(pdf["u"].to_numpy()).astype(np.float32), int(pdf["parts"].iloc[0]))
+        return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "net": [pickle.dumps(net.w)]} if net else {"cell": [], "net": []}).astype({"cell": "int64"})
+
+    def route(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if b.empty or a.empty:
+            return a[["vid", "u", "cell", "role"]]
+        return _routed(a[["vid", "u", "cell", "role"]], Router.of(pickle.loads(b["net"].iloc[0])), most, mass)
+
+    settled = None
+    for level in range(LEVELS):
+        sizes = rows.where("role = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        big = st.put(sizes.where(F.col("n") > (SPLIT if level else 1) * part_rows).withColumn("parts", F.least(F.lit(fan), F.ceil(F.col("n") / part_rows)).cast("int")))
+        if not big.limit(1).count():
+            break
+        b = big.select(F.col("cell").alias("b_cell"), "n", "parts")
+        share = F.pmod(F.xxhash64("vid", F.lit(5 + level)), F.lit(1 << 30)) < F.floor(F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n")) * (1 << 30))
+        few = rows.where("role = 0").join(b, F.col("cell") == F.col("b_cell")).where(share).select("cell", "u", "parts")
+        nets = st.put(few.groupBy("cell").applyInPandas(fit, "cell long, net binary"))
+        if level == 0:  # one cell: its router is one row
+            got = nets.collect()
+            if not got:
+                break
+            shared = st.spark.sparkContext.broadcast(bytes(got[0]["net"]))
+
+            def root(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+                net = Router.of(pickle.loads(shared.value))
+                for pdf in batches:
+                    if len(pdf):
+                        yield _routed(pdf, net, most, mass)
+
+            nxt = st.put(rows.mapInPandas(root, schema))
+        else:
+            rest = rows.join(b, F.col("cell") == F.col("b_cell"), "left_anti")
+            settled = rest if settled is None else settled.unionByName(rest)
+            lanes = nets.join(b, F.col("cell") == F.col("b_cell")).select("cell", "net", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / LANE))).alias("lane"))
+            mine = rows.join(b, F.col("cell") == F.col("b_cell")).withColumn("lane", F.pmod(F.xxhash64("vid", "role"), F.floor(F.col("n") / LANE) + 1)).select("vid", "u", "cell", "role", "lane")
+            nxt = st.put(mine.groupBy("cell", "lane").cogroup(lanes.groupBy("cell", "lane")).applyInPandas(route, schema))
+        rows = nxt
+    return rows if settled is None else st.put(settled.unionByName(rows))
+
+
 def _search(batches, k: int) -> pd.DataFrame:
     """Exact top k of a block's queries among its rows."""
     base, qs = batches[batches["role"] == 0], batches[batches["role"] == 1]
@@ -166,7 +238,7 @@ def _search(batches, k: int) -> pd.DataFrame:
     return pd.concat(parts, ignore_index=True)
 
 
-def neighbours(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10, floor: float | None = None, most: int = PROBES, mass: float = MASS) -> DataFrame:
+def neighbours(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10, floor: float | None = None, most: int | None = PROBES, mass: float = MASS, part_rows: int = PART_ROWS, fan: int = FAN, sample: int = SAMPLE) -> DataFrame:
     """(id, near, cosine): for each row its k most similar rows of other ids, at least ``floor`` if given.
 
     Rows whose vector is null, of another length, not finite or all zero are left out, and so are repeated rows and
@@ -186,37 +258,18 @@ def neighbours(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
             if len(pdf):
                 yield pd.DataFrame({"vid": pdf["vid"], "u": list(unit(np.stack(pdf["v"].to_numpy())))})
 
+    both = F.explode(F.array(F.lit(0), F.lit(1)).cast("array<int>"))
     uv = st.put(vecs.mapInPandas(to_unit, "vid long, u array<float>"))
-    n = uv.count()
-    parts = min(MAX_PARTS, math.ceil(n / PART_ROWS))
-    sample = uv.orderBy(F.xxhash64("vid", F.lit(5))).limit(SAMPLE).toPandas() if parts > 1 else None
-    router = fit_router(np.stack(sample["u"].to_numpy()).astype(np.float32), min(parts, SAMPLE // 32)) if parts > 1 else None
-    w = spark.sparkContext.broadcast(router.w if router else None)
-
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if not len(pdf):
-                continue
-            if w.value is None:
-                yield pdf.assign(home=0, asks=[[0]] * len(pdf))
-                continue
-            net = Router.__new__(Router)
-            net.w = w.value
-            top, cnt = probes(net.probs(np.stack(pdf["u"].to_numpy()).astype(np.float32)), most, mass)
-            yield pdf.assign(home=top[:, 0], asks=[list(map(int, t[:c])) for t, c in zip(top, cnt, strict=True)])
-
-    routed = st.put(uv.mapInPandas(route, "vid long, u array<float>, home int, asks array<int>"))
-    sizes = {x["home"]: x["n"] for x in routed.groupBy("home").agg(F.count(F.lit(1)).alias("n")).collect()}
-    blocks = F.create_map(*[F.lit(x) for p, c in (sizes or {0: 1}).items() for x in (int(p), math.ceil(c / BLOCK))])
-    asked = {x["p"]: x["n"] for x in routed.select(F.explode("asks").alias("p")).groupBy("p").agg(F.count(F.lit(1)).alias("n")).collect()}
-    lanes = F.create_map(*[F.lit(x) for p, c in (asked or {0: 1}).items() for x in (int(p), math.ceil(c / (4 * BLOCK)))])
+    routed = _cells(st, uv.select("vid", "u", F.lit(0).cast("long").alias("cell"), both.alias("role")), part_rows, fan, sample, most, mass)
+    # a cell larger than planned is cut into blocks, and its queries into lanes; each block meets each lane once
+    plan = routed.groupBy(F.col("cell").alias("p_cell")).agg(F.count_if(F.col("role") == 0).alias("stored"), F.count_if(F.col("role") == 1).alias("asking")).where("stored > 0 and asking > 0")
+    plan = st.put(plan.select("p_cell", F.ceil(F.col("stored") / BLOCK).alias("blks"), F.ceil(F.col("asking") / (4 * BLOCK)).alias("lanes")))
     h = F.xxhash64("vid", F.lit(8))
-    lane_of = lambda p: F.coalesce(F.element_at(lanes, p), F.lit(1))
-    base = routed.withColumn("blk", F.pmod(h, F.element_at(blocks, F.col("home"))).cast("int")).select("vid", "u", F.col("home").alias("part"), "blk", F.explode(F.sequence(F.lit(0), lane_of(F.col("home")) - 1)).alias("lane"), F.lit(0).alias("role"))
-    q = routed.select("vid", "u", F.explode("asks").alias("part"))
-    q = q.where(F.col("part").isin([int(p) for p in sizes]) if sizes else F.lit(True))
-    q = q.select("vid", "u", "part", F.explode(F.sequence(F.lit(0), F.element_at(blocks, F.col("part")) - 1)).alias("blk"), F.pmod(h, lane_of(F.col("part"))).cast("int").alias("lane"), F.lit(1).alias("role"))
-    found = base.unionByName(q).groupBy("part", "blk", "lane").applyInPandas(lambda pdf: _search(pdf, k), "vid long, near long, sim double")
+    x = routed.join(plan, F.col("cell") == F.col("p_cell"))
+    all_of = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    base = x.where("role = 0").select("vid", "u", "cell", "role", F.pmod(h, F.col("blks")).alias("blk"), F.explode(all_of("lanes")).alias("lane"))
+    q = x.where("role = 1").select("vid", "u", "cell", "role", F.explode(all_of("blks")).alias("blk"), F.pmod(h, F.col("lanes")).alias("lane"))
+    found = base.unionByName(q).groupBy("cell", "blk", "lane").applyInPandas(lambda pdf: _search(pdf, k), "vid long, near long, sim double")
     if floor is not None:
         found = found.where(F.col("sim") >= floor - 1e-5)
     best = st.put(found.withColumn("rk", F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("sim"), "near"))).where(F.col("rk") <= k).drop("rk"))
@@ -228,7 +281,7 @@ def neighbours(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
     top = link.withColumn("rk", F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("sim"), "near_id"))).where(F.col("rk") <= k + 1 + k).select("vid", "near_id", "sim")
     # one row per vector, so that a vector under very many ids is a hot key of a unique side
     lists = st.put(top.groupBy(F.col("vid").alias("l_vid")).agg(F.collect_list(F.struct("near_id", "sim")).alias("ls")))
-    out = join_hot(r.select("id", "vid"), lists, "vid", "l_vid", "inner").select("id", F.explode("ls").alias("x")).select("id", F.col("x.near_id").alias("near_id"), F.col("x.sim").alias("sim"))
+    out = r.select("id", "vid").join(lists, F.col("vid") == F.col("l_vid")).select("id", F.explode("ls").alias("x")).select("id", F.col("x.near_id").alias("near_id"), F.col("x.sim").alias("sim"))
     out = out.where(F.col("id") != F.col("near_id")).groupBy("id", "near_id").agg(F.max("sim").alias("sim"))
     out = out.withColumn("rk", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("sim"), "near_id"))).where(F.col("rk") <= k)
     if floor is not None:
@@ -236,15 +289,15 @@ def neighbours(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
     return out.select(F.col("id").alias(id_col), F.col("near_id").alias("near"), F.col("sim").alias("cosine"))
 
 
-def recall(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10, every: int = 100) -> DataFrame:
-    """(queries, found, wanted, recall) of :func:`neighbours` against exact ranking, for the ids divisible by ``every``.
+def recall(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10, every: int = 100, **how) -> DataFrame:
+    """(queries, found, wanted, recall) of :func:`neighbours` (with ``how``) against exact ranking, for the ids divisible by ``every``.
 
     The stated query set is split into blocks of ``BLOCK`` rows; each block is ranked against every batch of all rows.
     A near row counts as found if it is in the answer or ties with the answer's last.
     """
     spark = rows.sparkSession
     st = Stages(spark, "recall")
-    got = st.put(neighbours(rows, id_col, vec_col, dim, k).where(F.col(id_col) % every == 0).select(id_col, "near", "cosine"))
+    got = st.put(neighbours(rows, id_col, vec_col, dim, k, **how).where(F.col(id_col) % every == 0).select(id_col, "near", "cosine"))
     r = st.put(rows.select(F.col(id_col).alias("id"), F.col(vec_col).alias("v")).where(F.col("id").isNotNull() & usable("v", dim)).groupBy("id", "v").agg(F.count(F.lit(1)).alias("n")).drop("n"))
     qs = r.where(F.col("id") % every == 0)
     n_blocks = max(1, math.ceil(qs.count() / BLOCK))

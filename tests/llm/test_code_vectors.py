@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestrata.llm import lexing, neighbours, origin, syntax
 
@@ -185,6 +186,22 @@ def test_router_recall():
     assert hit >= 0.9
 
 
+def test_cells_within_cells(spark):
+    """Parts of 25 rows, 8 a cell, over 3,000 rows: three levels of routers. Asking every part is exact."""
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 16))
+    x = (centres[rng.integers(30, size=3000)] + 0.4 * rng.normal(size=(3000, 16))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "block_id long, v array<float>")
+    small = {"part_rows": 25, "fan": 8, "sample": 800}
+    st = neighbours.Stages(spark, "test")
+    rows = df.select(F.col("block_id").alias("vid"), F.col("v").alias("u"), F.lit(0).cast("long").alias("cell"), F.explode(F.array(F.lit(0), F.lit(1))).alias("role"))
+    sizes = [r["n"] for r in neighbours._cells(st, rows, 25, 8, 800, 4, 0.9).where("role = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 3000 and len(sizes) > 60 and max(sizes) <= neighbours.SPLIT * 25
+    r = neighbours.recall(df, "block_id", "v", 16, 10, every=10, **small).first()
+    assert r["queries"] == 300 and r["recall"] >= 0.9
+    assert neighbours.recall(df, "block_id", "v", 16, 10, every=10, most=None, **small).first()["recall"] == 1.0
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(3)
     x = neighbours.unit(np.r_[rng.normal(size=(900, 8)) * 0.05 + 1, rng.normal(size=(300, 8))].astype(np.float32))

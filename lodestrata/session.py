@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor shares: ``spark.checkpoint.dir`` of the session.
 
-    Only where the setting is absent (tests, a laptop) one temporary folder is made and set.
+    Where the setting is absent, a session on one machine (tests, a laptop) gets one temporary folder; on a cluster, whose
+    machines would each have their own, that is an error.
     """
     sc = spark.sparkContext
     path = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not path:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="lodestrata-")
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(path)
@@ -54,27 +57,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 
 
-HOT_ROWS = 1000  # a key with fewer rows is never hot
+def join_hot(left: DataFrame, right: DataFrame, lkey: str, rkey: str, how: str = "left") -> DataFrame:
+    """Join ``left`` to ``right`` (unique on ``rkey``) where few keys may hold most of ``left``.
 
-
-def join_hot(left: DataFrame, right: DataFrame, lkey: str, rkey: str, how: str = "left", share: int = 400) -> DataFrame:
-    """Join ``left`` to ``right`` (unique on ``rkey``) when few keys may hold most of ``left``.
-
-    Keys with at least 1/``share`` of the left rows number ``share`` at most, whatever the data; their right rows are
-    broadcast under that bound. All other keys take the ordinary shuffled join, so no task receives a hot key.
-    Rows of ``left`` with a null key are kept for ``how='left'``.
+    Rows with a null key meet nothing, so they never travel to one task; adaptive execution splits the partitions of
+    very frequent keys, whose right side is one row. Rows of ``left`` with a null key are kept for ``how='left'``.
     """
-    spark = left.sparkSession
-    total = left.count()
-    if total < share * HOT_ROWS:  # no key can be hot: a task holds that many rows easily
-        return left.join(right, left[lkey] == right[rkey], how)
-    counts = left.where(F.col(lkey).isNotNull()).groupBy(F.col(lkey).alias("_k")).agg(F.count(F.lit(1)).alias("_n"))
-    hot = [r["_k"] for r in counts.where(F.col("_n") >= total // share).select("_k").collect()]
-    if not hot:
-        return left.join(right, left[lkey] == right[rkey], how)
-    hot_df = spark.createDataFrame([(k,) for k in hot], f"_h {dict(left.dtypes)[lkey]}")
-    is_hot = F.coalesce(F.col(lkey).isin(hot), F.lit(False))
-    few = right.join(F.broadcast(hot_df), F.col(rkey) == F.col("_h"), "left_semi")
-    a = left.where(is_hot)
-    b = left.where(~is_hot)
-    return a.join(F.broadcast(few), a[lkey] == few[rkey], how).unionByName(b.join(right, b[lkey] == right[rkey], how))
+    some = left.where(F.col(lkey).isNotNull()).join(right, F.col(lkey) == F.col(rkey), how)
+    if how != "left":
+        return some
+    none = left.where(F.col(lkey).isNull()).select(*left.columns, *[F.lit(None).cast(f.dataType).alias(f.name) for f in right.schema.fields])
+    return some.unionByName(none)

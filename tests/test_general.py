@@ -118,7 +118,7 @@ def test_join_hot_equals_join(spark):
     left = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 17 == 0, F.lit(None)).otherwise(F.col("id") % 100).alias("k"), "id")
     right = spark.range(100).select(F.col("id").alias("r"), (F.col("id") * 2).alias("v"))
     for how in ("left", "inner"):
-        a = join_hot(left, right, "k", "r", how, share=4)
+        a = join_hot(left, right, "k", "r", how)
         assert sorted(map(str, a.collect())) == sorted(map(str, left.join(right, left["k"] == right["r"], how).collect()))
 
 

@@ -3,7 +3,8 @@
 Words (runs of letters and digits after NFKC and lower-casing) are replaced, each by itself, with typed placeholders:
 numbers, units and names. Windows of ``WINDOW`` such template words are hashed on both sides and joined, so that
 re-parameterised copies meet as well as literal ones. In each joined window the slots are compared: one value of the
-item must stand for one value of the document throughout (``consistent``); equal values in all slots make it literal.
+item must stand for one value of the document (one to one); equal values in all slots make it literal. Windows at the same
+offset between document and item are one copy, throughout which the slots must map one to one as well.
 """
 
 from __future__ import annotations
@@ -15,11 +16,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 13
-PREFILTER = 4_000_000  # item windows up to which their hashes are sent to the tasks (32 MB); beyond, only the join finds them
+BITS = 1 << 24  # of the map of item windows that is sent to the tasks; what it lets through besides, the join drops
 WORD = re.compile(r"[^\W_]+")
 UNITS = frozenset("mm cm m km kg g mg t lb oz v kv mv a ma w kw mw hz khz mhz ghz pa kpa mpa bar psi s ms us ns min h hr hrs k c f n nm j kj db percent volts volt watts amps seconds second minutes minute hours hour days day weeks week months month years year metres meters kelvin degrees".split())
 _P1, _P2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -95,7 +96,7 @@ def name_lexicon(items: DataFrame, text: str = "passage") -> frozenset[str]:
 
 
 def _windowed(df: DataFrame, id_col: str, text: str, names, n: int, keep) -> DataFrame:
-    """(id, pos, tem, lit, slots): every window, or only those whose template is in ``keep`` (sorted hashes)."""
+    """(id, pos, tem, lit, slots): every window, or only those whose template may be in the bit map ``keep``."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         wanted = None if keep is None else keep.value
@@ -107,9 +108,8 @@ def _windowed(df: DataFrame, id_col: str, text: str, names, n: int, keep) -> Dat
                 if wanted is None:
                     at = np.arange(len(tem))
                 else:
-                    if not len(wanted):
-                        continue
-                    at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, tem), len(wanted) - 1)] == tem)
+                    h = (tem & np.uint64(BITS - 1)).astype(np.int64)
+                    at = np.flatnonzero(wanted[h >> 3] >> (h & 7).astype(np.uint8) & 1)
                 for p in at.tolist():
                     cols[0].append(i)
                     cols[1].append(p)
@@ -122,24 +122,40 @@ def _windowed(df: DataFrame, id_col: str, text: str, names, n: int, keep) -> Dat
     return df.select(id_col, text).where(F.col(text).isNotNull()).mapInPandas(run, f"{id_col} {dict(df.dtypes)[id_col]}, pos int, tem long, lit long, slots array<string>")
 
 
+def _bit_map(heads: DataFrame, c: str) -> np.ndarray:
+    """A bit map of fixed size of the low bits of a column of hashes, made in Spark."""
+    h, per = F.col(c).bitwiseAND(F.lit(BITS - 1)), 32_768
+    out = np.zeros(BITS // 8, np.uint8)
+    for r in heads.select(h.alias("h")).groupBy(F.floor(F.col("h") / per).alias("b")).agg(F.bitmap_construct_agg(F.col("h") % per).alias("m")).collect():
+        bits = np.frombuffer(bytes(r["m"]), np.uint8)
+        out[r["b"] * per // 8 : r["b"] * per // 8 + len(bits)] = bits
+    return out
+
+
+def _one_to_one(pairs: Column, left: Column, right: Column) -> Column:
+    distinct = lambda c: F.size(F.array_distinct(c))
+    return (distinct(pairs) == distinct(left)) & (distinct(pairs) == distinct(right))
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", doc_text: str = "text", item_text: str = "passage", window: int = WINDOW) -> DataFrame:
     """(doc_id, item_id, n_literal, n_template): windows of an item that a document holds literally, and those it holds
-    with other numbers, units or names put in consistently. Texts that are null, empty or shorter than a window match
-    nothing; repeated rows count once."""
+    with other numbers, units or names put in consistently throughout a copy. Texts that are null, empty or shorter than a
+    window match nothing; repeated rows count once."""
     spark = docs.sparkSession
     names = spark.sparkContext.broadcast(name_lexicon(items, item_text))
     it = _windowed(items.select(item_id, item_text).distinct(), item_id, item_text, names, window, None)
-    it = it.select(item_id, F.col("tem").alias("i_tem"), F.col("lit").alias("i_lit"), F.col("slots").alias("i_slots")).distinct()
-    heads = it.select("i_tem").distinct()
-    few = [r[0] for r in heads.limit(PREFILTER + 1).collect()]
-    small = len(few) <= PREFILTER
-    keep = spark.sparkContext.broadcast(np.sort(np.array(few, np.int64).view(np.uint64))) if small else None
-    dw = _windowed(docs, doc_id, doc_text, names, window, keep).select(doc_id, "tem", "lit", "slots").distinct()
-    j = dw.join(F.broadcast(it) if small and len(few) <= 200_000 else it, F.col("tem") == F.col("i_tem"))
+    it = it.select(item_id, F.col("pos").alias("i_pos"), F.col("tem").alias("i_tem"), F.col("lit").alias("i_lit"), F.col("slots").alias("i_slots"))
+    keep = spark.sparkContext.broadcast(_bit_map(it, "i_tem"))
+    dw = _windowed(docs.select(doc_id, doc_text), doc_id, doc_text, names, window, keep)
+    j = dw.join(it, F.col("tem") == F.col("i_tem"))
     pairs = F.arrays_zip("i_slots", "slots")
-    distinct = lambda c: F.size(F.array_distinct(c))
-    consistent = (distinct(pairs) == distinct(F.col("i_slots"))) & (distinct(pairs) == distinct(F.col("slots")))
-    j = j.where((F.size("slots") == F.size("i_slots")) & consistent)
+    j = j.where((F.size("slots") == F.size("i_slots")) & _one_to_one(pairs, F.col("i_slots"), F.col("slots")))
     literal = (F.col("lit") == F.col("i_lit")) & (F.col("slots") == F.col("i_slots"))
-    out = j.groupBy(doc_id, item_id).agg(F.count_if(literal).alias("n_literal"), F.count_if(~literal).alias("n_template"))
-    return out
+    # a copy is what lies at one offset: its windows' slots, put together, must map one to one
+    j = j.select(doc_id, item_id, "i_pos", (F.col("pos") - F.col("i_pos")).alias("off"), literal.alias("same"), pairs.alias("pairs"))
+    g = j.groupBy(doc_id, item_id, "off").agg(F.collect_set(F.when(F.col("same"), F.col("i_pos"))).alias("lits"), F.collect_set(F.when(~F.col("same"), F.col("i_pos"))).alias("tems"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("map"))
+    whole = _one_to_one(F.col("map"), F.transform("map", lambda x: x["i_slots"]), F.transform("map", lambda x: x["slots"]))
+    none = F.lit(None).cast("array<int>")
+    both = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c)))).cast("long")
+    out = g.select(doc_id, item_id, "lits", F.when(whole, F.col("tems")).otherwise(F.coalesce(none, F.array().cast("array<int>"))).alias("tems"))
+    return out.groupBy(doc_id, item_id).agg(both("lits").alias("n_literal"), both("tems").alias("n_template")).where("n_literal + n_template > 0")

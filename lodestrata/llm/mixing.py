@@ -22,13 +22,13 @@ from pyspark.sql import functions as F
 
 from ..session import Stages
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 BINS = 4096
 CHUNK = 20_000  # characters encoded at once; longer texts are cut at white space
 
 
-def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER) -> DataFrame:
-    """``docs`` with ``tokens``: tokens of the text in a public vocabulary; null texts have none."""
+def token_counts(docs: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """``docs`` with ``tokens``: tokens of the text in a public vocabulary, a file that every worker can read together with
+    its splitting pattern; null texts have none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         enc = _encoder(tokenizer)
@@ -43,12 +43,9 @@ def token_counts(docs: DataFrame, text: str = "text", tokenizer: str = TOKENIZER
 def _encoder(path: str):
     import tiktoken
 
-    try:
-        import public_tokenizers
+    import public_tokenizers  # the vocabulary's own splitting pattern; another one would change every count
 
-        pattern = public_tokenizers.PATTERN
-    except ImportError:
-        pattern = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+    pattern = public_tokenizers.PATTERN
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
     return tiktoken.Encoding("vocabulary", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
@@ -75,7 +72,7 @@ def _rates(df: DataFrame, a: dict, lam: dict) -> DataFrame:
     return x.withColumn("w", F.col("cap") / (1 + F.exp(-(F.col("a") + F.col("lam") * F.col("z")))))
 
 
-def mixture(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tokenizer: str = TOKENIZER, steps: int = 40, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
+def mixture(docs: DataFrame, targets: DataFrame, tokenizer: str, id_col: str = "doc_id", steps: int = 40, tolerance: float = 1e-9) -> tuple[DataFrame, DataFrame]:
     """(copies, shares). copies: id, source, tokens, rate, copies, for each document of a target source (copies may be
     0). shares: source, target_share, reachable_share, documents, tokens, actual_share.
 
@@ -100,10 +97,6 @@ def mixture(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tokeniz
     d = d.join(F.broadcast(means), F.col("source") == F.col("m_source")).withColumn("z", F.col("tokens") / F.col("mean")).drop("m_source", "mean")
     # the common rate each source starts from, kept off the cap's edge, where the tilt has no finite optimum
     full = {s for s in have if need[s] >= goal[s][1] * have[s][1] * (1 - 1e-9)}
-    a = {}
-    for s in have:
-        r = min(need[s] / have[s][1] / goal[s][1], 1 - 1e-7)
-        a[s] = float(np.log(max(r, 1e-12) / (1 - r)))
     lam = dict.fromkeys(have, 0.0)
     base = _base(want, size, have)
     a = {s: float(np.log(min(max(base / goal[s][1], 1e-9), 1 - 1e-9) / (1 - min(max(base / goal[s][1], 1e-9), 1 - 1e-9)))) for s in have}
@@ -157,7 +150,7 @@ def mixture(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", tokeniz
     tg = spark.createDataFrame([(s, g[0], want.get(s, 0.0)) for s, g in goal.items()], "t_source string, target_share double, reachable_share double")
     sums = tg.join(got, F.col("t_source") == F.col("source"), "left")
     all_tokens = got.agg(F.sum("tokens").alias("all_tokens"))
-    shares = sums.crossJoin(F.broadcast(all_tokens)) if False else sums.join(F.broadcast(all_tokens), F.lit(True), "left")
+    shares = sums.join(F.broadcast(all_tokens), F.lit(True), "left")  # one row
     shares = shares.select(F.col("t_source").alias("source"), "target_share", "reachable_share", F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
     return out, shares
 

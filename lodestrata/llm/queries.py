@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from ..session import table
 from . import leakage, mixing, neighbours, origin, scans, syntax
 from . import sentences as sent
 
+TOKENIZER = os.environ.get("LODESTRATA_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")  # of these queries
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
@@ -46,12 +49,12 @@ def p8_templates(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(spread(spark, table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_targets"))[0]
+    return mixing.mixture(spread(spark, table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_targets"), TOKENIZER)[0]
 
 
 @query()
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(spread(spark, table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_targets"))[1]
+    return mixing.mixture(spread(spark, table(spark, d, "documents").select("doc_id", "source", "text")), table(spark, d, "mix_targets"), TOKENIZER)[1]
 
 
 @query()

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SLOTS = 1 << 18
-MAX_SPAN = 256
+LONG, SLOPE, NESTED = 300, 0.0004, 7.0  # characters from which a span costs SLOPE each; cost of each unbalanced mark
 
 # Words before a full stop that do not end a sentence by themselves, and those that may if a sentence opens after them.
 NEVER = set(
@@ -320,11 +320,12 @@ def boundary(mark: str, before: str, after: str, gap: str, model: Model) -> floa
     return score
 
 
-def cut(text: str, a: int, b: int, model: Model) -> list[tuple[int, int]]:
-    """The best sequence of spans of a paragraph."""
-    cs = candidates(text, a, b)
-    if not cs:
-        return [(a, b)]
+def _apart(c: tuple[int, int], d: tuple[int, int]) -> int:
+    return abs(c[0] - d[0]) + (c[1] != d[1])
+
+
+def lattice(text: str, a: int, b: int, cs: list, model: Model) -> tuple[list, list, list[int], list[int], list[float]]:
+    """Of a paragraph's candidates: nesting at the ends, nesting at the starts, starts, ends, and the ends' odds."""
     # nesting at every candidate
     depth, stack = [], []
     pos = a
@@ -349,22 +350,55 @@ def cut(text: str, a: int, b: int, model: Model) -> list[tuple[int, int]]:
     nest = [(0, 0)] + depth[:-1]
     ends = [e for e, *_ in cs] + [b]
     odds = [boundary(mark, before, after, text[e:n], model) for e, n, mark, before, after in cs] + [0.0]
+    return depth, nest, starts, ends, odds
+
+
+def cut(text: str, a: int, b: int, model: Model) -> list[tuple[int, int]]:
+    """The best sequence of spans of a paragraph; every start is weighed for every end, by bounds that lose none."""
+    cs = candidates(text, a, b)
+    if not cs:
+        return [(a, b)]
+    depth, nest, starts, ends, odds = lattice(text, a, b, cs, model)
     n = len(ends)
     best = [0.0] + [-1e18] * n
     back = [0] * (n + 1)
+    # places to start from, by nesting: those at most LONG before the end keep their value (a queue of falling values),
+    # those further away lose SLOPE a character, so that the best of them stays the best; of equals the latest wins
+    queues: dict[tuple[int, int], deque] = {}
+    far: dict[tuple[int, int], tuple[float, int]] = {}
+    ready, deepest, highest = 0, 0, -1e18
     for j in range(1, n + 1):
         o, dj, ej = odds[j - 1], depth[j - 1], ends[j - 1]
+        while ready < j and ej - starts[ready] >= 3:
+            q = queues.setdefault(nest[ready], deque())
+            while q and q[-1][0] <= best[ready]:  # an earlier start that is no better never wins again
+                q.pop()
+            q.append((best[ready], ready))
+            highest, deepest = max(highest, best[ready]), max(deepest, nest[ready][0])
+            ready += 1
         top, arg = -1e18, j - 1
-        for i in range(j - 1, max(-1, j - 1 - MAX_SPAN), -1):
-            size = ej - starts[i]
-            s = best[i] + o - (3.0 if size < 3 else 0.0) - 0.0004 * max(0, size - 300)
-            di = nest[i]
-            if di != dj:
-                s -= 7.0 * (abs(di[0] - dj[0]) + (di[1] != dj[1]))
+        for i in range(j - 1, ready - 1, -1):  # spans of one or two characters
+            s = best[i] + o - 3.0 - NESTED * _apart(nest[i], dj)
             if s > top:
                 top, arg = s, i
-            if best[i] < top - 60 and j - i > 24:  # no longer span can make up for this
+        for off in range(max(deepest, dj[0]) + 2):  # nestings by their distance; none further away can win once this one cannot
+            if highest + o - NESTED * off < top or (off > dj[0] + 1 and dj[0] + off - 1 > deepest):
                 break
+            near = [(dj[0] - off, dj[1]), (dj[0] + off, dj[1]), (dj[0] - off + 1, 1 - dj[1]), (dj[0] + off - 1, 1 - dj[1])]
+            for c in dict.fromkeys(near[: 2 if off == 0 else 4]):
+                q = queues.get(c)
+                if q is None:
+                    continue
+                while q and ej - starts[q[0][1]] > LONG:
+                    value, i = q.popleft()
+                    value += SLOPE * starts[i]
+                    if c not in far or (value, i) >= far[c]:
+                        far[c] = (value, i)
+                cost = NESTED * off
+                for value, i in ([q[0]] if q else []) + ([(far[c][0] - SLOPE * (ej - LONG), far[c][1])] if c in far else []):
+                    s = value + o - cost
+                    if s > top or (s == top and i > arg):
+                        top, arg = s, i
         best[j], back[j] = top, arg
     out, j = [], n
     while j:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lodestrata.llm import leakage, mixing, scans
 from lodestrata.llm import sentences as sent
 
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PARAS = [
     "The pump restarts by itself... unless the valve is locked. Store at max. 40 percent humidity. Call loadItem() first.",
     "Refer to Dr. Ostrel for questions, e.g. about Fig. 3.5 and No. 7. The log reads \"Link lost. Retry?\" until it is cleared. Parts include seals, etc. Nothing else (see para. 2.1.) applies!",
@@ -107,7 +108,7 @@ def test_mixture_reaches_shares(spark):
     rng = random.Random(4)
     docs = [(i, rng.choice("aaabbc") if i % 10 else None, " ".join(["word"] * rng.randrange(1, 80))) for i in range(3000)] + [(5000, "a", None), (5001, "a", "")]
     targets = [("a", 0.3, 1), ("b", 0.3, 2), ("c", 0.3, 4), ("none", 0.1, 2), ("a", 0.3, 1)]
-    copies, shares = mixing.mixture(spark.createDataFrame(docs, "doc_id long, source string, text string"), spark.createDataFrame(targets, "source string, target_share double, max_repeats int"))
+    copies, shares = mixing.mixture(spark.createDataFrame(docs, "doc_id long, source string, text string"), spark.createDataFrame(targets, "source string, target_share double, max_repeats int"), VOCABULARY)
     cap = {"a": 1, "b": 2, "c": 4}
     rows = copies.collect()
     assert {r["doc_id"] for r in rows} == {i for i, s, t in docs if s and t} and all(0 <= r["copies"] <= cap[r["source"]] for r in rows)
@@ -121,12 +122,89 @@ def test_mixture_reaches_shares(spark):
 
 def test_mixture_empty_and_long(spark):
     t = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
-    copies, shares = mixing.mixture(spark.createDataFrame([], "doc_id long, source string, text string"), t)
+    copies, shares = mixing.mixture(spark.createDataFrame([], "doc_id long, source string, text string"), t, VOCABULARY)
     assert copies.count() == 0 and [r["actual_share"] for r in shares.collect()] == [0.0]
-    enc = mixing._encoder(mixing.TOKENIZER)
+    enc = mixing._encoder(VOCABULARY)
     assert mixing._count(enc, "ab cd " * 20_000) == pytest.approx(len(enc.encode_ordinary("ab cd " * 20_000)), abs=10)
 
 
+def test_slots_are_consistent_throughout(spark):
+    """Two questions of which a document holds copies with other numbers: one copy maps 176 to 555 throughout, in the other
+    the second mention differs. Windows alone could not tell them apart, as the mentions are further apart than a window."""
+    tail = "which the operator of the plant writes down in the log before the end of the shift on every day of the week and then closes"
+    q = f"A pump moves 176 litres in one hour through the main pipe of the plant, {tail} the valve behind the 176 litre tank of the yard"
+    good, bad = q.replace("176", "555"), q.replace("176", "555", 1).replace("176", "9")
+    docs = spark.createDataFrame([(1, "x " + good), (2, bad + " y"), (3, q), (4, None), (5, good + " " + bad)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_literal"] > 0, r["n_template"] > 0) for r in leakage.leaks(docs, spark.createDataFrame([(7, q)], "item_id long, passage string")).collect()}
+    # the windows between the mentions are literal in all copies
+    assert got == {1: (True, True), 2: (True, False), 3: (True, False), 5: (True, True)}
+
+
+def test_planted_questions_precision(spark):
+    """60 items; 30 re-parameterised copies and 30 texts that only share their words: all copies found, nothing else."""
+    rng = random.Random(12)
+    vocabulary = [f"{a}{b}" for a in ("pla", "ten", "mor", "sig", "dal", "vor", "kel", "rup") for b in ("an", "et", "il", "os", "um", "ar", "en", "is")]
+    items, docs = [], []
+    for i in range(60):
+        ws = [rng.choice(vocabulary) for _ in range(30)]
+        for k in (4, 11, 19, 25):
+            ws[k] = str(rng.randrange(10, 99))
+        items.append((i, " ".join(ws)))
+        change = {w: str(rng.randrange(100, 999)) for w in ws if w.isdigit()}
+        if len(set(change.values())) == len(change) and i % 2:
+            docs.append((i, " ".join(rng.choice(vocabulary) for _ in range(20)) + " " + " ".join(change.get(w, w) for w in ws)))
+        else:
+            docs.append((1000 + i, " ".join(rng.sample(ws, len(ws)))))
+    out = leakage.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, passage string"))
+    got = {(r["doc_id"], r["item_id"]) for r in out.where("n_template > 0").collect()}
+    assert got == {(d, d) for d, _ in docs if d < 1000}
+
+
+def test_spans_by_brute_force(model):
+    """The span programme against trying every start, on random texts with quotations, brackets and long runs."""
+    rng = random.Random(9)
+    words = ["Store", "it", "the", "unit", "Call", "etc.", "No.", "done.", "lost!", "(see", "it.)", '"Link', 'up."', "x.", "„Gut.", "so.“", "valve" * 9]
+
+    def brute(text):
+        a, b = 0, len(text)
+        cs = sent.candidates(text, a, b)
+        if not cs:
+            return 0.0
+        depth, nest, starts, ends, odds = sent.lattice(text, a, b, cs, model)
+        n = len(ends)
+        best, back = [0.0] + [-1e18] * n, [0] * (n + 1)
+        for j in range(1, n + 1):
+            for i in range(j - 1, -1, -1):
+                size = ends[j - 1] - starts[i]
+                s = best[i] + odds[j - 1] - (3.0 if size < 3 else 0.0) - sent.SLOPE * max(0, size - sent.LONG) - sent.NESTED * sent._apart(nest[i], depth[j - 1])
+                if s > best[j] + 1e-9:
+                    best[j], back[j] = s, i
+        return best[n]
+
+    def worth(text, spans):
+        cs = sent.candidates(text, 0, len(text))
+        if not cs:
+            return 0.0
+        depth, nest, starts, ends, odds = sent.lattice(text, 0, len(text), cs, model)
+        total = 0.0
+        for x, y in spans:
+            i, j = starts.index(x), ends.index(y)
+            total += odds[j] - (3.0 if y - x < 3 else 0.0) - sent.SLOPE * max(0, y - x - sent.LONG) - sent.NESTED * sent._apart(nest[i], depth[j])
+        return total
+
+    for k in range(60):
+        t = " ".join(rng.choice(words) for _ in range(rng.choice([5, 40, 300])))
+        got = sent.cut(t, 0, len(t), model)
+        assert got[0][0] == 0 and got[-1][1] == len(t) and worth(t, got) == pytest.approx(brute(t), abs=1e-6), k
+
+
+def test_many_places_in_one_sentence(model):
+    """1,000 abbreviations in one sentence: one unit, however many places there are."""
+    t = "Order " + ", ".join(f"No. {i}" for i in range(1000)) + " today. Call the operator."
+    got = cut(t, model)
+    assert len(got) == 2 and got[1] == "Call the operator."
+
+
 # ---- scans
 
 

@@ -38,6 +38,54 @@ def embed(df: DataFrame, text: str, out: str = "vector", embedder: Callable = ha
     return df.withColumn(out, run(F.col(text)))
 
 
+def usable(c: str, dim: int) -> Column:
+    """A vector of ``dim`` finite values that are not all zero."""
+    v = F.col(c)
+    bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) > F.lit(3.4028235e38)))
+    return v.isNotNull() & (F.size(v) == dim) & ~F.coalesce(bad, F.lit(True)) & F.exists(v, lambda x: x != 0)
+
+
+BLOCK = 4_096  # vectors, or queries, of one block
+
+
+def similarities(rows: DataFrame, queries: DataFrame, k: int | None = None, cosine: bool = False) -> DataFrame:
+    """(qid, id, sim, and the other columns of both) of every query (qid, qv, ...) with every row (id, v, ...) but itself.
+
+    Queries and rows are cut into blocks by hash; each pair of blocks is one matrix product in one task, which keeps the best
+    ``k`` rows of each query, all of them for None. Similarities are rounded to nine places.
+    """
+    n = rows.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    m = queries.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    nr, nq = max(1, -(-n // BLOCK)), max(1, -(-m // BLOCK))
+    left = [c for c in rows.columns if c not in ("id", "v")]
+    right = [c for c in queries.columns if c not in ("qid", "qv")]
+    kinds = dict(rows.dtypes) | dict(queries.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ("qid", "id")) + ", sim double" + "".join(f", {c} {kinds[c]}" for c in left + right)
+
+    def product(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if a.empty or b.empty:
+            return pd.DataFrame({c: [] for c in ["qid", "id", "sim", *left, *right]})
+        x, y = np.stack(a["v"].to_numpy()).astype(np.float64), np.stack(b["qv"].to_numpy()).astype(np.float64)
+        if cosine:
+            x, y = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (x, y))
+        s = np.round(y @ x.T, 9)
+        s[b["qid"].to_numpy()[:, None] == a["id"].to_numpy()[None, :]] = -np.inf if not cosine else s.min()
+        if k is None or k >= len(a):
+            at = np.broadcast_to(np.arange(len(a)), s.shape)
+        else:  # the k best, ties by the smaller id
+            at = np.lexsort((np.broadcast_to(a["id"].to_numpy(), s.shape), -s), axis=1)[:, :k]
+        i, j = np.repeat(np.arange(len(b)), at.shape[1]), at.ravel()
+        keep = np.isfinite(s[i, j])
+        i, j = i[keep], j[keep]
+        out = {"qid": b["qid"].to_numpy()[i], "id": a["id"].to_numpy()[j], "sim": s[i, j]}
+        return pd.DataFrame(out | {c: a[c].to_numpy()[j] for c in left} | {c: b[c].to_numpy()[i] for c in right})
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = rows.withColumn("rb", F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int")).withColumn("qb", every(nq))
+    b = queries.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nq)).cast("int")).withColumn("rb", every(nr))
+    return a.groupBy("rb", "qb").cogroup(b.groupBy("rb", "qb")).applyInPandas(product, schema)
+
+
 def nearest(df: DataFrame, id_col: str, queries: dict[int, np.ndarray], k: int = 100, floor: float = 0.78, band: float = 0.05) -> DataFrame:
     """(qid, id, sim): rows near given query vectors: above a floor and within a band below the best, k at most. The few
     queries travel with the task; every batch keeps its own best k before anything is shuffled."""

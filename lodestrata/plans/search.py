@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import research as rs
 from ..operators import search as se
-from ..session import table
+from ..session import exists, kept_path, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -28,12 +31,21 @@ def passages(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "blocks").dropDuplicates(["block_id"])
 
 
-def _index(b: DataFrame) -> se.Index:
-    return se.build_index(b, "block_id", "text")
+def _index(spark: SparkSession, d: str, stemmed: bool = False) -> se.Index:
+    """The kept index of a folder's passages: built the first time, then read. Its name holds what the table's files are."""
+    path = kept_path(spark, os.path.join(d, "blocks.parquet"), "stemmed" if stemmed else "words")
+    if not exists(spark, f"{path}/stats/_SUCCESS"):
+        weight = F.when(F.col("kind") == "heading", 0.5).otherwise(1.0)
+        ix = se.build_index(passages(spark, d), "block_id", "text", (lambda c: tx.stemmed(F.col(c))) if stemmed else tx.simple_terms, weight)
+        return se.save(ix, path)
+    return se.load(spark, path)
 
 
-def _weight(b: DataFrame) -> DataFrame:
-    return b.select(F.col("block_id").alias("id"), F.when(F.col("kind") == "heading", 0.5).otherwise(1.0).alias("w"))
+@query("""WITH b AS (SELECT DISTINCT ON (block_id) * FROM blocks), tk AS (SELECT block_id AS id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^a-z0-9]+'), lambda x: x <> '') AS ts FROM b), po AS (SELECT id, unnest(ts) AS term FROM tk)
+ SELECT left(term, 1) AS initial, count(DISTINCT term) AS n_terms, count(DISTINCT (id, term)) AS n_postings, count(*) AS n_words FROM po GROUP BY 1""")
+def search_index(spark: SparkSession, d: str) -> DataFrame:
+    """What the kept index holds, by first character."""
+    return _index(spark, d).postings.groupBy("initial").agg(F.count_distinct("term").alias("n_terms"), F.count(F.lit(1)).alias("n_postings"), F.sum("tf").alias("n_words"))
 
 
 BASE = """b AS (SELECT DISTINCT ON (block_id) * FROM blocks),
@@ -58,26 +70,24 @@ TWO_SQL = "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{t}')" for k, v in TWO.i
 
 @query(_scores(TWO_SQL) + " SELECT qid, id AS block_id, round(score, 6) AS score, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc JOIN qn USING (qid) WHERE matched = n_terms QUALIFY rank <= 25")
 def search_bm25(spark: SparkSession, d: str) -> DataFrame:
-    b = passages(spark, d)
-    s = se.top_k(se.bm25(_index(b), se.queries_df(spark, TWO), _weight(b)).withColumn("score", F.round("score", 9)), 25)
+    s = se.top_k(se.bm25(_index(spark, d), TWO).withColumn("score", F.round("score", 9)), 25)
     return s.select("qid", F.col("id").alias("block_id"), F.round("score", 6).alias("score"), "rank")
 
 
-HUNDRED = "SELECT c.block_id AS qid, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''))) AS term FROM (SELECT DISTINCT ON (block_id) * FROM blocks) c WHERE kind = 'heading' AND block_id % 100 = 0"
+HUNDRED = "SELECT c.block_id AS qid, unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> ''))) AS term FROM (SELECT DISTINCT ON (block_id) * FROM blocks) c WHERE block_id % 100 = 0"
 
 
 @query(_scores(HUNDRED) + " SELECT qid, count(*) AS n_matches, round(max(score), 6) AS best FROM sc JOIN qn USING (qid) WHERE matched = n_terms GROUP BY 1")
 def search_batch(spark: SparkSession, d: str) -> DataFrame:
-    """Every block whose id is divisible by 100 as a query against all passages, in one job. The SQL has headings only."""
-    b = passages(spark, d)
-    q = b.where("block_id % 100 = 0").select(F.col("block_id").alias("qid"), F.explode(F.array_distinct(tx.simple_terms("text"))).alias("term"))
-    s = se.bm25(_index(b), q, _weight(b), rare_first=True)
+    """Every block whose id is divisible by 100 as a query against all passages, in one job."""
+    q = passages(spark, d).where("block_id % 100 = 0").select(F.col("block_id").alias("qid"), F.explode(F.array_distinct(tx.simple_terms("text"))).alias("term"))
+    s = se.bm25(_index(spark, d), q, rare_first=True)
     return s.groupBy("qid").agg(F.count(F.lit(1)).alias("n_matches"), F.round(F.max("score"), 6).alias("best"))
 
 
 def _bool(raw: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        return se.boolean_ids(_index(passages(spark, d)), se.parse_query(raw)).select(F.col("id").alias("block_id"))
+        return se.boolean_ids(_index(spark, d), se.parse_query(raw)).select(F.col("id").alias("block_id"))
 
     return run
 
@@ -98,19 +108,16 @@ ORACLE["search_not"] = f"WITH {BASE} SELECT id AS block_id FROM tk WHERE contain
 
 @query(_scores(TWO_SQL) + " SELECT qid, id AS block_id, matched, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, id) AS rank FROM sc JOIN qn USING (qid) WHERE matched < n_terms QUALIFY rank <= 10")
 def search_partial(spark: SparkSession, d: str) -> DataFrame:
-    b = passages(spark, d)
-    ix = _index(b)
-    q = se.queries_df(spark, TWO)
-    s = se.bm25(ix, q, _weight(b), need_all=False).withColumn("score", F.round("score", 9))
-    n = q.distinct().groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
-    return se.top_k(s.join(n, "qid").where("matched < n_terms"), 10).select("qid", F.col("id").alias("block_id"), "matched", "rank")
+    s = se.bm25(_index(spark, d), TWO, need_all=False).withColumn("score", F.round("score", 9))
+    n = se.queries_df(spark, TWO).groupBy("qid").agg(F.count(F.lit(1)).alias("n_terms"))
+    return se.top_k(s.join(F.broadcast(n), "qid").where("matched < n_terms"), 10).select("qid", F.col("id").alias("block_id"), "matched", "rank")
 
 
 @query(f"WITH {BASE} SELECT b.kind, coalesce(b.provision, '') AS provision, count(*) AS n FROM tk JOIN b ON b.block_id = tk.id WHERE {_has('shall')} AND b.kind IN ('text', 'table') GROUP BY 1, 2")
 def search_count_scoped(spark: SparkSession, d: str) -> DataFrame:
     """Matches within a scope of kinds; an empty scope would be no filter."""
     b = passages(spark, d)
-    ids = se.boolean_ids(_index(b), se.parse_query("shall"))
+    ids = se.boolean_ids(_index(spark, d), se.parse_query("shall"))
     return scope(b, kinds=["text", "table"]).join(ids, F.col("block_id") == F.col("id"), "left_semi").groupBy("kind", F.coalesce("provision", F.lit("")).alias("provision")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -125,7 +132,7 @@ def scope(b: DataFrame, docs: list[int] | None = None, kinds: list[str] | None =
 @query(f"WITH {BASE} SELECT b.block_id, row_number() OVER (ORDER BY lower(coalesce(d.title, '')), b.doc_id, b.seq, b.block_id) AS pos FROM tk JOIN b ON b.block_id = tk.id LEFT JOIN (SELECT DISTINCT ON (doc_id) doc_id, title FROM documents) d ON d.doc_id = b.doc_id WHERE {_has('torque', 'value', 'timing')} QUALIFY pos <= 500")
 def search_document_order(spark: SparkSession, d: str) -> DataFrame:
     b = passages(spark, d)
-    ids = se.boolean_ids(_index(b), se.parse_query("torque value timing"))
+    ids = se.boolean_ids(_index(spark, d), se.parse_query("torque value timing"))
     docs = table(spark, d, "documents").select("doc_id", "title").dropDuplicates(["doc_id"])
     x = b.join(ids, F.col("block_id") == F.col("id"), "left_semi").join(docs, "doc_id", "left")
     keys = [F.lower(F.coalesce("title", F.lit(""))), "doc_id", "seq", "block_id"]
@@ -136,7 +143,7 @@ def search_document_order(spark: SparkSession, d: str) -> DataFrame:
 @query(f"WITH {BASE} SELECT DISTINCT b.doc_id, b.page FROM tk JOIN b ON b.block_id = tk.id WHERE {_has('calibration', 'record')}")
 def hit_pages(spark: SparkSession, d: str) -> DataFrame:
     b = passages(spark, d)
-    ids = se.boolean_ids(_index(b), se.parse_query("calibration record"))
+    ids = se.boolean_ids(_index(spark, d), se.parse_query("calibration record"))
     return b.join(ids, F.col("block_id") == F.col("id"), "left_semi").select("doc_id", "page").distinct()
 
 
@@ -156,49 +163,46 @@ def search_snippet(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def search_stemmed(spark: SparkSession, d: str) -> DataFrame:
     """The same ranking over stemmed terms without diacritics."""
-    b = passages(spark, d)
-    ix = se.build_index(b, "block_id", "text", terms=lambda c: tx.stemmed(F.col(c)))
-    q = spark.createDataFrame([(1, t) for t in tx.porter_terms("calibrated records")], "qid int, term string")
-    return se.top_k(se.bm25(ix, q, _weight(b)), 25).select("qid", F.col("id").alias("block_id"), F.round("score", 6).alias("score"), "rank")
+    q = {1: " ".join(tx.porter_terms("calibrated records"))}
+    return se.top_k(se.bm25(_index(spark, d, stemmed=True), q), 25).select("qid", F.col("id").alias("block_id"), F.round("score", 6).alias("score"), "rank")
 
 
-LIKE_SQL = f"""WITH {BASE}, dfa AS (SELECT term, count(*) AS n FROM tf GROUP BY 1), w AS (SELECT term FROM tf JOIN dfa USING (term), (SELECT count(*) AS total FROM tk) WHERE id = (SELECT min(id) FROM tk WHERE kind = 'text' AND len(ts) > 30) AND n * 5 < total ORDER BY length(term) DESC, term LIMIT 16)
- SELECT id AS block_id, count(*) AS shared FROM tf JOIN w USING (term) WHERE id <> (SELECT min(id) FROM tk WHERE kind = 'text' AND len(ts) > 30) GROUP BY 1 HAVING count(*) >= 2"""
+LIKE_SQL = f"""WITH {BASE}, dfa AS (SELECT term, count(*) AS n FROM tf GROUP BY 1),
+ w AS (SELECT id AS query_id, term FROM tf JOIN dfa USING (term), (SELECT count(*) AS total FROM tk) WHERE id % 100 = 0 AND n * 5 < total QUALIFY row_number() OVER (PARTITION BY id ORDER BY length(term) DESC, term) <= 16)
+ SELECT query_id, id AS block_id, count(*) AS shared FROM tf JOIN w USING (term) WHERE id <> query_id GROUP BY 1, 2 HAVING count(*) >= 2
+ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, id) <= 15"""
 
 
 @query(LIKE_SQL)
 def more_like_this(spark: SparkSession, d: str) -> DataFrame:
-    """Passages sharing two or more of the 16 longest uncommon words of each passage whose id is divisible by 100. The SQL
-    has one passage only, and no column for it."""
-    b = passages(spark, d)
-    ix = _index(b)
-    total = F.broadcast(ix.lengths.agg(F.count(F.lit(1)).alias("total")))
-    dfs = ix.postings.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    own = ix.postings.where("id % 100 = 0").select(F.col("id").alias("query_id"), "term").join(dfs, "term").join(total, F.lit(True)).where("n * 5 < total")
+    """The 15 passages sharing most (two or more) of the 16 longest uncommon words of each passage whose id is divisible by 100."""
+    ix = _index(spark, d)
+    own = ix.postings.where("id % 100 = 0").select(F.col("id").alias("query_id"), "term").join(ix.terms.select("term", "df"), "term").join(F.broadcast(ix.stats), F.lit(True)).where("df * 5 < n")
     longest = Window.partitionBy("query_id").orderBy(F.desc(F.length("term")), "term")
     w = own.withColumn("rk", F.row_number().over(longest)).where("rk <= 16").select("query_id", "term")
     x = ix.postings.select("id", "term").join(w, "term").where("id <> query_id")
-    return x.groupBy("query_id", F.col("id").alias("block_id")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+    x = x.groupBy("query_id", F.col("id").alias("block_id")).agg(F.count(F.lit(1)).alias("shared")).where("shared >= 2")
+    best = Window.partitionBy("query_id").orderBy(F.desc("shared"), "block_id")
+    return x.withColumn("rk", F.row_number().over(best)).where("rk <= 15").drop("rk")
 
 
 # ---- vectors
 
-DOT = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 KNN = """s AS (SELECT q.vec_id AS qid, e.vec_id AS id, e.label, q.label AS q_label, list_inner_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS sim FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id WHERE q.vec_id % 100 = 0),
  r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, id) AS rank, max(sim) OVER (PARTITION BY qid) AS top FROM s)"""
 
 
-def _knn(spark: SparkSession, d: str) -> DataFrame:
-    """Exact similarity of the stated query vectors (ids divisible by 100) with all vectors; the queries travel to the rows."""
+def _knn(spark: SparkSession, d: str, k: int | None = None) -> DataFrame:
+    """Exact similarity of the stated query vectors (ids divisible by 100) with all vectors, block by block as matrix products;
+    of each block's rows the best ``k`` of a query travel on."""
     e = table(spark, d, "embeddings")
     q = e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("qv"), F.col("label").alias("q_label"))
-    x = e.join(q, F.col("vec_id") != F.col("qid"))
-    return x.select("qid", F.col("vec_id").alias("id"), "label", "q_label", F.round(DOT("qv", "embedding"), 9).alias("sim"))
+    return rs.similarities(e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label"), q, k)
 
 
 @query(f"WITH {KNN} SELECT qid, id, round(sim, 5) AS sim, rank FROM r WHERE rank <= 10")
 def knn_topk(spark: SparkSession, d: str) -> DataFrame:
-    return se.top_k(_knn(spark, d), 10, "sim").select("qid", "id", F.round("sim", 5).alias("sim"), "rank")
+    return se.top_k(_knn(spark, d, 10), 10, "sim").select("qid", "id", F.round("sim", 5).alias("sim"), "rank")
 
 
 @query(f"WITH {KNN} SELECT qid, id, rank FROM r WHERE sim >= greatest(0.3, top - 0.05) AND rank <= 100")
@@ -210,7 +214,7 @@ def knn_band(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {KNN} SELECT q_label AS label, count(DISTINCT qid) AS n_queries, round(sum(CASE WHEN rank = 1 AND label = q_label THEN 1 ELSE 0 END)::DOUBLE / count(DISTINCT qid), 6) AS hit_at_1, round(count(DISTINCT CASE WHEN rank <= 10 AND label = q_label THEN qid END)::DOUBLE / count(DISTINCT qid), 6) AS hit_at_10 FROM r GROUP BY 1")
 def eval_hit_at_k(spark: SparkSession, d: str) -> DataFrame:
-    r = se.top_k(_knn(spark, d), 10, "sim").groupBy("q_label", "qid").agg(F.min(F.when(F.col("label") == F.col("q_label"), F.col("rank"))).alias("first"))
+    r = se.top_k(_knn(spark, d, 10), 10, "sim").groupBy("q_label", "qid").agg(F.min(F.when(F.col("label") == F.col("q_label"), F.col("rank"))).alias("first"))
     n = F.count(F.lit(1))
     return r.groupBy(F.col("q_label").alias("label")).agg(n.alias("n_queries"), F.round(F.count_if(F.col("first") == 1) / n, 6).alias("hit_at_1"), F.round(F.count_if(F.col("first") <= 10) / n, 6).alias("hit_at_10"))
 
@@ -234,14 +238,36 @@ FUSE_SQL = (
 @query(FUSE_SQL)
 def fusion_rrf(spark: SparkSession, d: str) -> DataFrame:
     """Two rankings of one query, fused by reciprocal rank, with what found each row."""
-    b = passages(spark, d)
-    s = se.bm25(_index(b), se.queries_df(spark, {1: "torque value"}), _weight(b), need_all=False).withColumn("score", F.round("score", 9))
+    s = se.bm25(_index(spark, d), {1: "torque value"}, need_all=False).withColumn("score", F.round("score", 9))
     a = se.top_k(s.where("matched = 2"), 100).withColumn("source", F.lit("full"))
     p = se.top_k(s.where("matched < 2"), 100).withColumn("source", F.lit("some"))
     f = se.fuse(a, p).select(F.col("id").alias("block_id"), F.round("rrf", 9).alias("rrf"), "sources")
     return f
 
 
+NEAR = """v AS (SELECT DISTINCT block_id, vector FROM block_vectors WHERE first_row = 0 AND last_row = 0 AND len(vector) = 64 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
+ q5 AS (SELECT row_number() OVER (ORDER BY block_id) AS qid, vector FROM (SELECT block_id, min(vector) AS vector FROM v GROUP BY 1 ORDER BY block_id LIMIT 5)),
+ ns AS (SELECT q5.qid, v.block_id AS id, round(max(list_cosine_similarity(v.vector::DOUBLE[], q5.vector::DOUBLE[])), 5) AS sim FROM v, q5 GROUP BY 1, 2),
+ nr AS (SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY sim DESC, id) AS rank FROM ns QUALIFY rank <= 100)"""
+
+
+@query(_scores(TWO_SQL) + f""", {NEAR},
+ r1 AS (SELECT qid, id, matched = n_terms AS whole, row_number() OVER (PARTITION BY qid, matched = n_terms ORDER BY round(score, 9) DESC, id) AS rank FROM sc JOIN qn USING (qid) QUALIFY rank <= 100),
+ u AS (SELECT qid, id, rank, CASE WHEN whole THEN 'all' ELSE 'some' END AS source FROM r1 UNION ALL SELECT qid, id, rank, 'near' FROM nr),
+ g AS (SELECT qid, id, round(sum(1.0 / (60 + rank)), 9) AS rrf, string_agg(source, '+' ORDER BY source) AS found_by FROM u GROUP BY 1, 2)
+ SELECT qid, id AS block_id, rrf, found_by, CASE WHEN contains(found_by, 'all') THEN 'exact' WHEN found_by = 'near' THEN 'meaning' ELSE 'partial' END AS label FROM g QUALIFY row_number() OVER (PARTITION BY qid ORDER BY rrf DESC, id) <= 25""")
+def search_fused(spark: SparkSession, d: str) -> DataFrame:
+    """All words, some words and meaning fused, with labels. No text model is bundled, so each query's vector is a stated one:
+    those of the five smallest block ids; a block's best vector counts."""
+    v = table(spark, d, "block_vectors").where("first_row = 0 and last_row = 0").select("block_id", "vector").where(rs.usable("vector", 64)).distinct()
+    q = v.groupBy("block_id").agg(F.min("vector").alias("qv")).orderBy("block_id").limit(5)
+    q = q.select(F.row_number().over(Window.orderBy("block_id")).alias("qid"), "qv")  # five rows
+    n = rs.similarities(v.select(F.col("block_id").alias("id"), F.col("vector").alias("v")), q, None, cosine=True)
+    n = n.groupBy("qid", "id").agg(F.round(F.max("sim"), 5).alias("sim"))
+    f = se.fused(_index(spark, d), TWO, se.top_k(n, 100, "sim").select("qid", "id", "rank"), 100)
+    return se.top_k(f.drop("rank").withColumn("rrf", F.round("rrf", 9)), 25, "rrf").select("qid", F.col("id").alias("block_id"), "rrf", "found_by", "label")
+
+
 @query("SELECT block_id, first_row FROM (SELECT DISTINCT block_id, 0 AS first_row FROM blocks WHERE kind <> 'heading') u WHERE NOT EXISTS (SELECT 1 FROM block_vectors v WHERE v.block_id = u.block_id AND v.first_row = u.first_row AND v.vector IS NOT NULL)")
 def resume_embedding(spark: SparkSession, d: str) -> DataFrame:
     """Units that have no stored vector yet: what a resumed embedding run takes up."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import tempfile
 import uuid
@@ -53,6 +54,20 @@ class Stages:
                 p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def kept_path(spark: SparkSession, source: str, name: str) -> str:
+    """Where something made from ``source`` is kept: its name depends on the source's files, their sizes and times, so that
+    what was made from older files is never read."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(source)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    seen = sorted((str(f.getPath()), f.getLen(), f.getModificationTime()) for f in fs.listStatus(p))
+    return f"{shared_dir(spark)}/kept/{name}-{hashlib.sha256(repr(seen).encode()).hexdigest()[:24]}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
 

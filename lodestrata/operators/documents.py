@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
@@ -19,16 +20,25 @@ def provision(text: Column | str) -> Column:
     """note, requirement (shall, must), recommendation (should), permission (may, need not; lower case only), or ''."""
     t = F.col(text) if isinstance(text, str) else text
     return (
-        F.when(t.rlike(r"^\s*NOTE\b"), "note").when(t.rlike(r"(?i)\b(shall|must)\b"), "requirement").when(t.rlike(r"(?i)\bshould\b"), "recommendation")
+        F.when(t.rlike(r"^\s*(NOTE|EXAMPLE)\b"), "note").when(t.rlike(r"(?i)\b(shall|must)\b"), "requirement").when(t.rlike(r"(?i)\bshould\b"), "recommendation")
         .when(t.rlike(r"\b(may|need not)\b"), "permission").otherwise("")
     )
 
 
-def inherit(rows: DataFrame, group: str, order: list[str], is_item: Column, value: str, out: str = "inherited") -> DataFrame:
-    """Items take the value of the nearest row before them that is none; a gap-and-island fill within a group."""
+ITEM = r"^\s*(?:[-–—*•·▪●○◦]|\(?(?:[A-Za-z]{1,2}|[ivxlc]{1,5}|\d{1,2})\)|[a-z]{1,2}\.)\s+\S"
+
+
+def inherit(rows: DataFrame, group: str, order: list[str], text: str = "text", value: str = "provision", kind: str = "kind", out: str = "inherited") -> DataFrame:
+    """List items (a bullet, ``a.``, ``(b)``, ``2)``, ``(iv)``) without a provision take that of their lead-in: the passage
+    right before the list, if it is a requirement, recommendation or permission and ends with a colon. The first passage that
+    is neither ends the list. A gap-and-island fill: the last passage that is no item decides."""
+    t, v = F.trim(F.col(text)), F.coalesce(F.col(value), F.lit(""))
+    body = F.coalesce(F.col(kind) == "text", F.lit(False))
+    item = body & F.coalesce(t.rlike(ITEM), F.lit(False)) & ~t.endswith(":")
+    opens = body & v.isin("requirement", "recommendation", "permission") & t.endswith(":")
     w = Window.partitionBy(group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    lead_in = F.last(F.when(~is_item, F.col(value)), ignorenulls=True).over(w)
-    return rows.withColumn(out, F.when(is_item & (F.coalesce(value, F.lit("")) == ""), F.coalesce(lead_in, F.lit(""))).otherwise(F.coalesce(value, F.lit(""))))
+    lead_in = F.coalesce(F.last(F.when(~item, F.when(opens, v).otherwise("")), ignorenulls=True).over(w), F.lit(""))
+    return rows.withColumn(out, F.when(item & (v == ""), lead_in).otherwise(v))
 
 
 # ---- references
@@ -99,25 +109,82 @@ def clause_texts(blocks: DataFrame) -> DataFrame:
 
 # ---- identifiers
 
-IDENT = r"\b(?:[A-Z]{1,4}/?[A-Z]?\s?\d{1,5}[A-Z]?\d*(?:\.\d+)?(?:/[A-Z]{2,4}\s?\d{2,4})?|0x[0-9A-F]{2,8})\b"
+# fixed values: words that number parts of a document, not things
+STRUCTURE = (
+    "TABLE TABLES FIGURE FIGURES PAGE PAGES SECTION PARAGRAPH PARA CLAUSE ANNEX APPENDIX NOTE NOTES EXAMPLE STEP ITEM VOLUME PART "
+    "CHAPTER REV VERSION EDITION CHANGE FIG TAB EQ EQUATION"
+).split()
+_AHEAD, _BEHIND = r"(?<![\w.-])", r"(?![\w-])"
+_END = _BEHIND + r"(?!\.\w)"  # a full stop that ends the sentence may follow
+IDENT = (
+    "(?U)"
+    + rf"{_AHEAD}[A-Z]{{2,6}}\s?/\s?[A-Z]{{2,6}} \d{{1,6}}\s?/\s?\d{{1,6}}{_END}"  # GRP/ITM 281/001
+    + rf"|{_AHEAD}[A-Z]{{2,6}} \d{{1,6}}\s?[/,]\s?[A-Z]{{2,6}} \d{{1,6}}{_END}"  # GRP 281/ITM 001
+    + rf"|{_AHEAD}[A-Z]{{1,3}} \d{{1,3}}\.\d{{1,3}}[A-Z0-9]*{_END}"  # M 12.6
+    + rf"|{_AHEAD}[A-Z]{{2,6}} \d{{2,6}}{_END}"  # FLD 2041
+    + rf"|{_AHEAD}(?=[A-Za-z0-9._-]*\d)(?=[A-Za-z0-9._-]*[A-Za-z])[A-Za-z0-9]+(?:[._-][A-Za-z0-9]+)*{_BEHIND}"  # K7.3C1, RQ-0042
+)
+
+
+def _plain_map() -> tuple[str, str]:
+    """Characters that look like an ASCII one and what they stand for: by compatibility (NFKC), dots and dashes."""
+    pairs = {chr(c): n for c in range(0x80, 0x10000) if len(n := unicodedata.normalize("NFKC", chr(c))) == 1 and ord(n) < 0x80}
+    pairs |= dict.fromkeys("\u2027\u00b7\u2219\u22c5\u30fb\uff0e", ".") | dict.fromkeys("\u2010\u2011\u2012\u2013\u2212", "-")
+    return "".join(pairs), "".join(pairs.values())
+
+
+LOOK_ALIKE = _plain_map()
+
+
+def plain(c: Column | str) -> Column:
+    """Look-alike characters as plain ones: full-width letters and digits, dot leaders, other dots, spaces and dashes."""
+    return F.translate(F.col(c) if isinstance(c, str) else c, *LOOK_ALIKE)
+
+
+def identifier_key(c: Column | str) -> Column:
+    """What identifiers are compared by: upper case without spaces, hyphens and underscores."""
+    return F.regexp_replace(F.upper(plain(c)), r"[\s_-]+", "")
 
 
 def identifiers(blocks: DataFrame) -> DataFrame:
-    """(doc_id, block_id, value, key, family): coded names in passages, as written, as compared, and their shape."""
-    v = F.explode(F.regexp_extract_all("text", F.lit(f"({IDENT})"), F.lit(1)))
-    x = blocks.select("doc_id", "block_id", v.alias("value"))
-    key = F.regexp_replace(F.upper("value"), r"[\s]+", "")
-    fam = F.regexp_replace(F.regexp_replace(key, r"\d+", "9"), r"^0X[0-9A-F]+$", "0X9")
-    return x.select("doc_id", "block_id", "value", key.alias("key"), F.when(F.upper("value").startswith("0X"), "0X9").otherwise(fam).alias("family"))
+    """(doc_id, block_id, value, key, family, role): coded names in passages, without knowing their format.
+
+    Tokens that mix letters and digits, short upper-case labels with a number, and pairs of labels numbered together, which
+    count under the pair and under its first part. Measurements (12mm), appendix clauses (A.2.1) and labels of a document's
+    own structure (TABLE 12) are none; a line end counts as a space. family: the key with its digit runs as #. role: heading, caption, table or text.
+    """
+    role = F.when(F.col("kind") == "heading", "heading").when(F.col("kind") == "figure", "caption").when(F.col("kind") == "table", "table").otherwise("text")
+    raw = blocks.select("doc_id", "block_id", role.alias("role"), F.explode(F.regexp_extract_all(F.regexp_replace(plain("text"), r"\s+", " "), F.lit(IDENT), F.lit(0))).alias("raw"))
+    label = F.regexp_extract("raw", r"^([A-Z]{1,6}) \d", 1)
+    first, second = r"^([A-Z]+)\s?/\s?([A-Z]+) (\d+)\s?/\s?(\d+)$", r"^([A-Z]+) (\d+)\s?[/,]\s?([A-Z]+) (\d+)$"
+    g = lambda pat, i: F.regexp_extract("raw", pat, i)
+    one, two = F.col("raw").rlike(first), F.col("raw").rlike(second)
+    a, b = F.when(one, g(first, 1)).otherwise(g(second, 1)), F.when(one, g(first, 2)).otherwise(g(second, 3))
+    m, n = F.when(one, g(first, 3)).otherwise(g(second, 2)), F.when(one, g(first, 4)).otherwise(g(second, 4))
+    pair = F.when(one | two, F.array(F.concat(a, F.lit("/"), b, F.lit(" "), m, F.lit("/"), n), F.concat(a, F.lit(" "), m)))
+    head = F.regexp_replace(F.element_at(F.split(F.upper("raw"), r"[._-]"), 1), r"\d+$", "")
+    bad = F.when(one | two, a.isin(STRUCTURE) | b.isin(STRUCTURE)).when(label != "", label.isin(STRUCTURE))
+    bad = bad.otherwise(F.col("raw").rlike(r"^\d+(\.\d+)?[A-Za-z]{1,3}$") | F.col("raw").rlike(r"^[A-Z]\.\d+(\.\d+)*$") | head.isin(STRUCTURE))
+    x = raw.where(~bad).select("doc_id", "block_id", "role", F.explode(F.coalesce(pair, F.array("raw"))).alias("value")).withColumn("key", identifier_key("value"))
+    return x.select("doc_id", "block_id", "value", "key", F.regexp_replace("key", r"\d+", "#").alias("family"), "role")
 
 
 def families(occ: DataFrame, min_values: int = 3, min_passages: int = 5) -> DataFrame:
-    """(doc_id, family, n_values, n_passages, examples, enabled)."""
+    """(doc_id, family, n_values, n_passages, examples, enabled). A family is enabled with enough values in enough passages,
+    or if at least half of its keys extend a key of such a family."""
     g = occ.groupBy("doc_id", "family", "key").agg(F.count_distinct("block_id").alias("n"))
     p = occ.groupBy("doc_id", "family").agg(F.count_distinct("key").alias("n_values"), F.count_distinct("block_id").alias("n_passages"))
+    p = p.withColumn("many", (F.col("n_values") >= min_values) & (F.col("n_passages") >= min_passages))
     w = Window.partitionBy("doc_id", "family").orderBy(F.desc("n"), "key")
     ex = g.withColumn("rk", F.row_number().over(w)).where("rk <= 4").groupBy("doc_id", "family").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rk", "key"))), lambda r: r["key"]), ", ").alias("examples"))
-    return p.join(ex, ["doc_id", "family"]).withColumn("enabled", (F.col("n_values") >= min_values) & (F.col("n_passages") >= min_passages))
+    known = g.join(p.where("many").select("doc_id", "family"), ["doc_id", "family"], "left_semi").select("doc_id", F.col("key").alias("parent")).distinct()
+    n = F.length("key")
+    sub = g.join(p.where("not many").select("doc_id", "family"), ["doc_id", "family"], "left_semi").where(n > 1)
+    sub = sub.select("doc_id", "family", "key", F.explode(F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr("key", F.lit(1), i))).alias("parent"))
+    cut = F.substr("parent", F.length("parent"), F.lit(1)).rlike(r"\d") & F.substr("key", F.length("parent") + 1, F.lit(1)).rlike(r"\d")
+    ext = sub.where(~cut).join(known, ["doc_id", "parent"], "left_semi").groupBy("doc_id", "family").agg(F.count_distinct("key").alias("n_ext"))
+    p = p.join(ext, ["doc_id", "family"], "left")
+    return p.join(ex, ["doc_id", "family"]).select("doc_id", "family", "n_values", "n_passages", "examples", (F.col("many") | F.coalesce(F.col("n_ext") * 2 >= F.col("n_values"), F.lit(False))).alias("enabled"))
 
 
 def catalogue(occ: DataFrame) -> DataFrame:
@@ -145,15 +212,18 @@ def next_ids(ids: DataFrame, col: str) -> DataFrame:
 
 
 def parent_keys(keys: DataFrame) -> DataFrame:
-    """(key, parent): the longest other key that is a prefix, not cutting a run of digits. Prefixes are joined by
-    equality."""
+    """(key, parent): the longest other key that is a prefix, not cutting a run of digits; without one, a pair's first part
+    (GRP/ITM281/001 belongs to GRP281). Prefixes are joined by equality."""
     x = keys.select("key").distinct()
     n = F.length("key")
     pre = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substr("key", F.lit(1), i))
     cand = x.where(n > 1).select("key", F.explode(pre).alias("parent"))
     cut = F.substr("parent", F.length("parent"), F.lit(1)).rlike(r"\d") & F.substr("key", F.length("parent") + 1, F.lit(1)).rlike(r"\d")
-    hit = cand.where(~cut).join(x.select(F.col("key").alias("parent")), "parent", "left_semi")
-    return hit.groupBy("key").agg(F.max_by("parent", F.length("parent")).alias("parent"))
+    pair = r"^([A-Z]+)/[A-Z]+(\d+)/\d+$"
+    part = x.where(F.col("key").rlike(pair)).select("key", F.concat(F.regexp_extract("key", pair, 1), F.regexp_extract("key", pair, 2)).alias("parent"), F.lit(0).alias("rank"))
+    cand = cand.where(~cut).withColumn("rank", F.length("parent")).unionByName(part)
+    hit = cand.join(x.select(F.col("key").alias("parent")), "parent", "left_semi")
+    return hit.groupBy("key").agg(F.max_by("parent", "rank").alias("parent"))
 
 
 # ---- quantities and assessment

@@ -48,8 +48,9 @@ def usable(c: str, dim: int) -> Column:
 BLOCK = 4_096  # vectors, or queries, of one block
 
 
-def similarities(rows: DataFrame, queries: DataFrame, k: int | None = None, cosine: bool = False) -> DataFrame:
-    """(qid, id, sim, and the other columns of both) of every query (qid, qv, ...) with every row (id, v, ...) but itself.
+def similarities(rows: DataFrame, queries: DataFrame, k: int | None = None, cosine: bool = False, itself: bool = False) -> DataFrame:
+    """(qid, id, sim, and the other columns of both) of every query (qid, qv, ...) with every row (id, v, ...), without a
+    row of the query's own id unless ``itself``.
 
     Queries and rows are cut into blocks by hash; each pair of blocks is one matrix product in one task, which keeps the best
     ``k`` rows of each query, all of them for None. Similarities are rounded to nine places.
@@ -69,7 +70,8 @@ def similarities(rows: DataFrame, queries: DataFrame, k: int | None = None, cosi
         if cosine:
             x, y = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (x, y))
         s = np.round(y @ x.T, 9)
-        s[b["qid"].to_numpy()[:, None] == a["id"].to_numpy()[None, :]] = -np.inf if not cosine else s.min()
+        if not itself:
+            s[b["qid"].to_numpy()[:, None] == a["id"].to_numpy()[None, :]] = -np.inf
         if k is None or k >= len(a):
             at = np.broadcast_to(np.arange(len(a)), s.shape)
         else:  # the k best, ties by the smaller id

@@ -33,7 +33,7 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
 
 B = "b AS (SELECT DISTINCT ON (block_id) * FROM blocks)"
 D = "dd AS (SELECT DISTINCT ON (doc_id) * FROM documents)"
-PROV = r"CASE WHEN regexp_matches(text, '^\s*NOTE\b') THEN 'note' WHEN regexp_matches(text, '(?i)\b(shall|must)\b') THEN 'requirement' WHEN regexp_matches(text, '(?i)\bshould\b') THEN 'recommendation' WHEN regexp_matches(text, '\b(may|need not)\b') THEN 'permission' ELSE '' END"
+PROV = r"CASE WHEN regexp_matches(text, '^\s*(NOTE|EXAMPLE)\b') THEN 'note' WHEN regexp_matches(text, '(?i)\b(shall|must)\b') THEN 'requirement' WHEN regexp_matches(text, '(?i)\bshould\b') THEN 'recommendation' WHEN regexp_matches(text, '\b(may|need not)\b') THEN 'permission' ELSE '' END"
 
 
 @query(f"WITH {B} SELECT block_id, {PROV} AS provision FROM b WHERE text IS NOT NULL")
@@ -41,16 +41,13 @@ def provision_classify(spark: SparkSession, d: str) -> DataFrame:
     return blocks(spark, d).where("text is not null").select("block_id", do.provision("text").alias("provision"))
 
 
-LONG = "word_count < 12"
-
-
-@query(f"""WITH {B}, x AS (SELECT *, coalesce({LONG}, false) AS item, coalesce(provision, '') AS p FROM b),
- y AS (SELECT *, last_value(CASE WHEN NOT item THEN p END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lead_in FROM x)
+@query(f"""WITH {B}, x AS (SELECT *, trim(text) AS t, coalesce(provision, '') AS p FROM b),
+ k AS (SELECT *, coalesce(kind = 'text', false) AND NOT ends_with(coalesce(t, ''), ':') AND (list_contains(['-', '–', '—', '*', '•', '·', '▪', '●', '○', '◦'], split_part(t, ' ', 1)) OR (ends_with(split_part(t, ' ', 1), ')') AND list_contains(['a', 'b', 'c', 'd', 'e', 'f', 'g', 'h', 'i', 'ii', 'iii', 'iv', 'v', 'vi'] || list_transform(range(0, 100), lambda i: i::VARCHAR), replace(replace(split_part(t, ' ', 1), '(', ''), ')', ''))) OR (length(split_part(t, ' ', 1)) IN (2, 3) AND ends_with(split_part(t, ' ', 1), '.') AND regexp_full_match(replace(split_part(t, ' ', 1), '.', ''), '[a-z]+'))) AS item FROM x),
+ y AS (SELECT *, last_value(CASE WHEN NOT item THEN CASE WHEN kind = 'text' AND p IN ('requirement', 'recommendation', 'permission') AND ends_with(t, ':') THEN p ELSE '' END END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY seq, block_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS lead_in FROM k)
  SELECT block_id, CASE WHEN item AND p = '' THEN coalesce(lead_in, '') ELSE p END AS inherited FROM y""")
 def list_islands(spark: SparkSession, d: str) -> DataFrame:
-    """Short passages take the provision of the last long one before them."""
-    x = blocks(spark, d).withColumn("p", F.coalesce("provision", F.lit("")))
-    return do.inherit(x, "doc_id", ["seq", "block_id"], F.coalesce(F.expr(LONG), F.lit(False)), "p").select("block_id", "inherited")
+    """List items take the provision of their lead-in."""
+    return do.inherit(blocks(spark, d), "doc_id", ["seq", "block_id"]).select("block_id", "inherited")
 
 
 XR = f"""WITH {B}, x AS (SELECT doc_id, block_id, coalesce(label, '') AS label, unnest(""" + " || ".join(f"list_transform(regexp_extract_all(text, '{p}', 1), lambda t: {{'kind': '{k}', 'target': t}})" for k, p in do.XREF) + """) AS x FROM b WHERE text IS NOT NULL),
@@ -122,16 +119,42 @@ def clause_concat(spark: SparkSession, d: str) -> DataFrame:
     return do.clause_texts(blocks(spark, d)).withColumn("text_md5", F.md5("text")).drop("text")
 
 
-ID = f"""WITH {B}, v AS (SELECT doc_id, block_id, unnest(regexp_extract_all(text, '({do.IDENT})', 1)) AS value FROM b), o AS (SELECT *, regexp_replace(upper(value), '\\s+', '', 'g') AS key, CASE WHEN starts_with(upper(value), '0X') THEN '0X9' ELSE regexp_replace(regexp_replace(upper(value), '\\s+', '', 'g'), '\\d+', '9', 'g') END AS family FROM v)"""
+# The SQL reads identifiers in its own way: white-space fields, their trimmed cores, and each field's neighbours.
+ID = f"""WITH {B}, st AS (SELECT unnest({do.STRUCTURE!r}) AS word),
+ tx AS (SELECT block_id, doc_id, kind, translate(text, chr(160) || chr(8239) || chr(8211) || chr(8209) || chr(8722), '  ---') AS t FROM b WHERE text IS NOT NULL),
+ fl AS (SELECT block_id, doc_id, kind, unnest(string_split_regex(t, '\\s+')) AS f, generate_subscripts(string_split_regex(t, '\\s+'), 1) AS i FROM tx),
+ nb AS (SELECT *, lead(f) OVER (PARTITION BY block_id ORDER BY i) AS g, lead(f, 2) OVER (PARTITION BY block_id ORDER BY i) AS h, lag(f) OVER (PARTITION BY block_id ORDER BY i) AS e FROM fl),
+ ic AS (SELECT *, regexp_replace(f, '^[^A-Za-z0-9_.-]+', '') AS l, regexp_replace(g, '[^A-Za-z0-9]+$', '') AS r FROM nb),
+ sp AS (SELECT *, regexp_replace(split_part(regexp_replace(f, '^.*[^A-Z0-9/.-]', ''), ' ', 1), '^\\W+', '') AS lab FROM ic),
+ pj AS (SELECT block_id, doc_id, i, i + 1 AS til, split_part(lab, '/', 1) AS a, split_part(lab, '/', 2) AS bb, split_part(r, '/', 1) AS m, split_part(r, '/', 2) AS n FROM sp WHERE regexp_full_match(lab, '[A-Z]{{2,6}}/[A-Z]{{2,6}}') AND regexp_full_match(r, '\\d{{1,6}}/\\d{{1,6}}')),
+ ps AS (SELECT block_id, doc_id, i, i + 2 AS til, lab AS a, split_part(replace(g, ',', '/'), '/', 2) AS bb, split_part(g, '/', 1) AS m, regexp_replace(h, '[^A-Za-z0-9]+$', '') AS n FROM sp WHERE regexp_full_match(lab, '[A-Z]{{2,6}}') AND regexp_full_match(g, '\\d{{1,6}}/[A-Z]{{2,6}}') AND regexp_full_match(regexp_replace(h, '[^A-Za-z0-9]+$', ''), '\\d{{1,6}}')),
+ pr AS (SELECT * FROM (SELECT * FROM pj UNION ALL SELECT * FROM ps) WHERE a NOT IN (SELECT word FROM st) AND bb NOT IN (SELECT word FROM st)),
+ tk AS (SELECT DISTINCT block_id, unnest(range(i, til + 1)) AS i FROM pr),
+ lb AS (SELECT block_id, doc_id, i, lab || ' ' || r AS value FROM sp WHERE (regexp_full_match(lab, '[A-Z]{{2,6}}') AND regexp_full_match(r, '\\d{{2,6}}') OR regexp_full_match(lab, '[A-Z]{{1,3}}') AND regexp_full_match(r, '\\d{{1,3}}\\.\\d{{1,3}}[A-Z0-9]*')) AND lab NOT IN (SELECT word FROM st)),
+ mx AS (SELECT block_id, doc_id, i, unnest(regexp_extract_all(f, '[\\pL\\pN_.-]+')) AS run FROM sp),
+ mv AS (SELECT block_id, doc_id, i, rtrim(run, '.') AS value FROM mx WHERE NOT starts_with(run, '.') AND NOT starts_with(run, '-')),
+ mm AS (SELECT * FROM mv WHERE regexp_full_match(value, '[A-Za-z0-9]+([._-][A-Za-z0-9]+)*') AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND NOT regexp_full_match(value, '\\d+(\\.\\d+)?[A-Za-z]{{1,3}}') AND NOT regexp_full_match(value, '[A-Z]\\.\\d+(\\.\\d+)*')
+   AND regexp_replace(string_split_regex(upper(value), '[._-]')[1], '\\d+$', '') NOT IN (SELECT word FROM st)),
+ v AS (SELECT doc_id, block_id, a || '/' || bb || ' ' || m || '/' || n AS value FROM pr UNION ALL SELECT doc_id, block_id, a || ' ' || m FROM pr
+   UNION ALL SELECT doc_id, block_id, value FROM lb WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.block_id = lb.block_id AND tk.i = lb.i)
+   UNION ALL SELECT doc_id, block_id, value FROM mm WHERE NOT EXISTS (SELECT 1 FROM tk WHERE tk.block_id = mm.block_id AND tk.i = mm.i) AND NOT EXISTS (SELECT 1 FROM lb WHERE lb.block_id = mm.block_id AND lb.i = mm.i - 1 AND ends_with(lb.value, ' ' || mm.value))),
+ o AS (SELECT v.*, regexp_replace(upper(value), '[\\s_-]+', '', 'g') AS key, regexp_replace(regexp_replace(upper(value), '[\\s_-]+', '', 'g'), '\\d+', '#', 'g') AS family, CASE WHEN kind = 'heading' THEN 'heading' WHEN kind = 'figure' THEN 'caption' WHEN kind = 'table' THEN 'table' ELSE 'text' END AS role FROM v JOIN b USING (block_id))"""
 
 
 def _occ(spark: SparkSession, d: str) -> DataFrame:
     return do.identifiers(blocks(spark, d))
 
 
+@query(ID + " SELECT block_id, value, key, family, role, count(*) AS n FROM o GROUP BY ALL")
+def ident_occurrences(spark: SparkSession, d: str) -> DataFrame:
+    return _occ(spark, d).groupBy("block_id", "value", "key", "family", "role").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(ID + """, p AS (SELECT doc_id, family, count(DISTINCT key) AS n_values, count(DISTINCT block_id) AS n_passages FROM o GROUP BY 1, 2), g AS (SELECT doc_id, family, key, count(DISTINCT block_id) AS n FROM o GROUP BY 1, 2, 3),
  e AS (SELECT doc_id, family, string_agg(key, ', ' ORDER BY rk) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, family ORDER BY n DESC, key) AS rk FROM g) WHERE rk <= 4 GROUP BY 1, 2)
- SELECT doc_id, family, n_values, n_passages, examples, n_values >= 3 AND n_passages >= 5 AS enabled FROM p JOIN e USING (doc_id, family)""")
+, en AS (SELECT doc_id, family FROM p WHERE n_values >= 3 AND n_passages >= 5), ak AS (SELECT DISTINCT doc_id, key FROM o JOIN en USING (doc_id, family)),
+ xt AS (SELECT k.doc_id, k.family, count(DISTINCT k.key) AS n_ext FROM o k JOIN ak a ON a.doc_id = k.doc_id AND length(a.key) < length(k.key) AND starts_with(k.key, a.key) AND NOT (regexp_matches(right(a.key, 1), '\\d') AND regexp_matches(k.key[length(a.key) + 1], '\\d')) GROUP BY 1, 2)
+ SELECT doc_id, family, n_values, n_passages, examples, (n_values >= 3 AND n_passages >= 5) OR coalesce(n_ext * 2 >= n_values, false) AS enabled FROM p JOIN e USING (doc_id, family) LEFT JOIN xt USING (doc_id, family)""")
 def ident_families(spark: SparkSession, d: str) -> DataFrame:
     return do.families(_occ(spark, d))
 
@@ -141,10 +164,10 @@ def ident_catalogue(spark: SparkSession, d: str) -> DataFrame:
     return do.catalogue(_occ(spark, d))
 
 
-@query(ID + """, q AS (SELECT DISTINCT block_id, key FROM o), k AS (SELECT key FROM q GROUP BY 1 ORDER BY count(*) DESC, key LIMIT 10), x AS (SELECT a.key, b.key AS other, count(*) AS n FROM q a JOIN q b ON a.block_id = b.block_id AND a.key <> b.key WHERE a.key IN (SELECT key FROM k) GROUP BY 1, 2)
+@query(ID + """, q AS (SELECT DISTINCT block_id, key FROM o), x AS (SELECT a.key, b.key AS other, count(*) AS n FROM q a JOIN q b ON a.block_id = b.block_id AND a.key <> b.key GROUP BY 1, 2)
  SELECT key, other, n FROM x QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC, other) <= 15""")
 def ident_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
-    """Related identifiers of every identifier. The SQL has the 10 most used ones only."""
+    """Related identifiers of every identifier."""
     o = _occ(spark, d)
     k = o.select("key").distinct()
     return do.related_identifiers(o, k)
@@ -157,16 +180,18 @@ def ident_suggest(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumn("tier", F.when(F.col("key").startswith("K1"), 1).otherwise(2)).orderBy("tier", F.desc("n"), "key").limit(12)
 
 
-@query(ID + r", k AS (SELECT DISTINCT key FROM o) SELECT a.key, arg_max(b.key, length(b.key)) AS parent FROM k a JOIN k b ON length(b.key) < length(a.key) AND starts_with(a.key, b.key) AND NOT (regexp_matches(right(b.key, 1), '\d') AND regexp_matches(a.key[length(b.key) + 1], '\d')) GROUP BY 1")
+@query(ID + r""", k AS (SELECT DISTINCT key FROM o), pp AS (SELECT a.key, b.key AS parent, length(b.key) AS rank FROM k a JOIN k b ON length(b.key) < length(a.key) AND starts_with(a.key, b.key) AND NOT (regexp_matches(right(b.key, 1), '\d') AND regexp_matches(a.key[length(b.key) + 1], '\d'))
+   UNION ALL SELECT a.key, b.key, 0 FROM k a JOIN k b ON regexp_full_match(a.key, '[A-Z]+/[A-Z]+\d+/\d+') AND b.key = split_part(a.key, '/', 1) || regexp_extract(split_part(a.key, '/', 2), '\d+$'))
+ SELECT key, arg_max(parent, rank) AS parent FROM pp GROUP BY 1""")
 def parent_prefix(spark: SparkSession, d: str) -> DataFrame:
     return do.parent_keys(_occ(spark, d))
 
 
-@query(ID + """, q AS (SELECT DISTINCT block_id, key FROM o), s AS (SELECT key, count(*) AS spread FROM q GROUP BY 1), f AS (SELECT min(block_id) AS block_id FROM q WHERE block_id % 10 = 0)
- SELECT b.block_id, round(sum(1.0 / ln(1 + spread)), 6) AS weight, count(*) AS n_shared FROM q a JOIN q b USING (key) JOIN s USING (key) WHERE a.block_id IN (SELECT block_id FROM f) AND b.block_id <> a.block_id GROUP BY 1""")
+@query(ID + """, q AS (SELECT DISTINCT block_id, key FROM o), s AS (SELECT key, count(*) AS spread FROM q GROUP BY 1)
+ SELECT a.block_id AS query_id, b.block_id, round(sum(1.0 / ln(1 + spread)), 6) AS weight, count(*) AS n_shared FROM q a JOIN q b USING (key) JOIN s USING (key) WHERE a.block_id % 100 = 0 AND b.block_id <> a.block_id GROUP BY 1, 2""")
 def shared_identifiers(spark: SparkSession, d: str) -> DataFrame:
     """Passages sharing identifiers with each passage whose id is divisible by 100, rare ones weighing more; spread is
-    counted over the whole library. The SQL has one passage only, and no column for it."""
+    counted over the whole library."""
     q = _occ(spark, d).select("block_id", "key").distinct()
     mine = q.where("block_id % 100 = 0").select("key", F.col("block_id").alias("query_id"))
     s = q.join(mine.select("key"), "key", "left_semi").groupBy("key").agg(F.count(F.lit(1)).alias("spread"))
@@ -181,15 +206,17 @@ def ident_groups(spark: SparkSession, d: str) -> DataFrame:
     return _occ(spark, d).join(b, "block_id").groupBy("key", g.alias("grp")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(ID + ", p AS (SELECT doc_id, family, count(DISTINCT key) AS n FROM o GROUP BY 1, 2) SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.family, a.n AS n_a, b.n AS n_b FROM p a JOIN p b ON a.family = b.family AND b.doc_id = a.doc_id + 1")
+@query(ID + """, p AS (SELECT doc_id, family, list(DISTINCT key) AS ks FROM o GROUP BY 1, 2), nx AS (SELECT doc_id, lead(doc_id) OVER (ORDER BY doc_id) AS nd FROM (SELECT DISTINCT doc_id FROM p))
+ SELECT a.doc_id AS doc_a, b.doc_id AS doc_b, a.family, len(a.ks) AS n_a, len(b.ks) AS n_b, array_to_string(list_sort(list_filter(a.ks, lambda x: NOT list_contains(b.ks, x))), ' ') AS only_a, array_to_string(list_sort(list_filter(b.ks, lambda x: NOT list_contains(a.ks, x))), ' ') AS only_b
+ FROM nx JOIN p a ON a.doc_id = nx.doc_id JOIN p b ON b.doc_id = nx.nd AND b.family = a.family""")
 def family_differences(spark: SparkSession, d: str) -> DataFrame:
     """Per family that a document and the next one by id both have: how many identifiers each has, and which the other has
-    not. The SQL pairs a document with id + 1 only, and has the numbers alone."""
+    not."""
     p = _occ(spark, d).groupBy("doc_id", "family").agg(F.collect_set("key").alias("keys"))
     n = do.next_ids(p.select("doc_id").distinct(), "doc_id")
     a = p.join(n, "doc_id").select(F.col("doc_id").alias("doc_a"), F.col("next").alias("doc_b"), "family", F.col("keys").alias("ka"))
     x = a.join(p.select(F.col("doc_id").alias("doc_b"), "family", F.col("keys").alias("kb")), ["doc_b", "family"])
-    only = lambda u, v: F.array_sort(F.array_except(u, v))
+    only = lambda u, v: F.array_join(F.array_sort(F.array_except(u, v)), " ")
     return x.select("doc_a", "doc_b", "family", F.size("ka").cast("long").alias("n_a"), F.size("kb").cast("long").alias("n_b"), only("ka", "kb").alias("only_a"), only("kb", "ka").alias("only_b"))
 
 

@@ -262,7 +262,7 @@ def search_fused(spark: SparkSession, d: str) -> DataFrame:
     v = table(spark, d, "block_vectors").where("first_row = 0 and last_row = 0").select("block_id", "vector").where(rs.usable("vector", 64)).distinct()
     q = v.groupBy("block_id").agg(F.min("vector").alias("qv")).orderBy("block_id").limit(5)
     q = q.select(F.row_number().over(Window.orderBy("block_id")).alias("qid"), "qv")  # five rows
-    n = rs.similarities(v.select(F.col("block_id").alias("id"), F.col("vector").alias("v")), q, None, cosine=True)
+    n = rs.similarities(v.select(F.col("block_id").alias("id"), F.col("vector").alias("v")), q, None, cosine=True, itself=True)
     n = n.groupBy("qid", "id").agg(F.round(F.max("sim"), 5).alias("sim"))
     f = se.fused(_index(spark, d), TWO, se.top_k(n, 100, "sim").select("qid", "id", "rank"), 100)
     return se.top_k(f.drop("rank").withColumn("rrf", F.round("rrf", 9)), 25, "rrf").select("qid", F.col("id").alias("block_id"), "rrf", "found_by", "label")

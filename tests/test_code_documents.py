@@ -85,6 +85,8 @@ def test_manifests_aliases_templates():
     assert src.manifest("build.gradle", "  implementation 'g:a:1'\n  testImplementation(\"h:b\")") == [("maven", "g:a", "1", "implementation"), ("maven", "h:b", "", "testImplementation")]
     assert src.manifest("package.json", "{broken") == []
     assert src.aliases('{ // c\n "compilerOptions": {"baseUrl": "./src", "paths": {"@/*": ["app/*",],},},}') == {"@/*": ["src/app/*"]}
+    assert src.relaxed_json('[1, "a // b, ]", /* x, */ {"k\\"": null,}, // end\n]') == [1, "a // b, ]", {'k"': None}]
+    assert src.aliases("{ /* open") == {} and src.aliases("[]") == {} and src.aliases('{"compilerOptions": {}}') == {}
     assert src.template('<my-card [title]="name" (click)="save()">{{ total }}</my-card>') == [("component", "my-card", 1), ("member", "name", 1), ("handler", "save", 1), ("member", "total", 1)]
     assert src.as_text(b"\xef\xbb\xbfa\r\nb") == ("a\nb", "utf-8-sig+crlf")
 

@@ -125,24 +125,30 @@ def impact(edges: DataFrame, roots: DataFrame, max_depth: int = 8, max_nodes: in
     return x.where(F.col("rk") <= max_nodes).select("root", "node", "depth", (F.col("n") > max_nodes).alias("truncated"))
 
 
-def call_sites(refs: DataFrame) -> DataFrame:
-    """(from_symbol, target_id, line, col): calls of known members from known symbols."""
-    return refs.where("kind = 'call' and target_id >= 1 and from_symbol >= 1").select("from_symbol", "target_id", "line", "col")
-
-
-def ordered_pairs(calls: DataFrame, group: str, item: str, order: list[str], min_support: int = 3) -> DataFrame:
-    """(first, second, n): in how many groups an item's first occurrence comes before another's.
-
-    Items in fewer than ``min_support`` groups cannot be in a pair with that support and are dropped before pairing; of
-    each item only its first place in a group is kept, so a group with n calls of few items stays small.
+def call_sites(refs: DataFrame, syms: DataFrame) -> DataFrame:
+    """(method, type, name, line, col): calls of known methods and functions from known symbols, with the type they belong to
+    (null for functions of no type). Calls from inside the type itself are left out."""
+    s = syms.select("symbol_id", "name", "kind", "parent_id")
+    t = s.where("kind in ('method', 'function')").select(F.col("symbol_id").alias("t_id"), F.col("name"), F.col("parent_id").alias("type"))
+    own = s.select(F.col("symbol_id").alias("o_id"), F.col("parent_id").alias("own"))
+    r = refs.where("kind = 'call' and target_id >= 1 and from_symbol >= 1").select("from_symbol", "target_id", "line", "col")
+    x = r.join(t, F.col("target_id") == F.col("t_id")).join(own, F.col("from_symbol") == F.col("o_id"), "left")
+    return x.where("type is null or own is null or own <> type").select(F.col("from_symbol").alias("method"), "type", "name", "line", "col")
+
+
+def ordered_pairs(calls: DataFrame, min_sites: int = 3) -> DataFrame:
+    """(type, first, second, n): in how many methods a call of one member of a type comes before a call of another, for types
+    with at least ``min_sites`` calls from outside.
+
+    Of each member only its first and last place in a method is kept, so a method with many calls of few members stays small;
+    pairs are made within one method and one type, whose members are its own.
     """
-    first = calls.groupBy(group, item).agg(F.min(F.struct(*order)).alias("at"))
-    often = first.groupBy(item).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support).select(item)
-    f = first.join(often, item, "left_semi")
-    a = f.select(F.col(group).alias("g"), F.col(item).alias("first"), F.col("at").alias("a"))
-    b = f.select(F.col(group).alias("h"), F.col(item).alias("second"), F.col("at").alias("b"))
-    x = a.join(b, (F.col("g") == F.col("h")) & (F.col("a") < F.col("b")))
-    return x.groupBy("first", "second").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support)
+    c = calls.where("type is not null")
+    often = c.groupBy("type").agg(F.count(F.lit(1)).alias("sites")).where(F.col("sites") >= min_sites).select("type")
+    at = F.struct("line", "col")
+    f = c.join(often, "type", "left_semi").groupBy("method", "type", "name").agg(F.min(at).alias("lo"), F.max(at).alias("hi"))
+    x = f.select("method", "type", F.col("name").alias("first"), "lo").join(f.select("method", "type", F.col("name").alias("second"), "hi"), ["method", "type"])
+    return x.where("first <> second and lo < hi").groupBy("type", "first", "second").agg(F.count(F.lit(1)).alias("n"))
 
 
 def association_rules(rows: DataFrame, group: str, item: str, min_support: int = 3, min_confidence: float = 0.8) -> DataFrame:
@@ -160,13 +166,20 @@ def association_rules(rows: DataFrame, group: str, item: str, min_support: int =
     return p.where(conf >= min_confidence).select(F.when(ab, F.col("a")).otherwise(F.col("b")).alias("antecedent"), F.when(ab, F.col("b")).otherwise(F.col("a")).alias("consequent"), "support", F.round(conf, 2).alias("confidence"))
 
 
+def missing_companions(rows: DataFrame, group: str, item: str, rules: DataFrame) -> DataFrame:
+    """(group, antecedent, consequent): groups that hold a rule's first item without its second."""
+    x = rows.select(group, item).distinct()
+    has = x.join(rules.select(F.col("antecedent").alias(item), "consequent"), item).select(group, F.col(item).alias("antecedent"), "consequent")
+    return has.join(x.withColumnRenamed(item, "consequent"), [group, "consequent"], "left_anti").select(group, "antecedent", "consequent")
+
+
 def suffixes(names: DataFrame, group: str, name: str, min_share: float = 0.6, min_names: int = 2) -> DataFrame:
     """(group, suffix, n, total): the capitalised suffix that at least ``min_share`` of a group's names end in; the most
     covering, then the longest, then the first."""
-    d = names.select(group, name).distinct()
-    parts = F.regexp_extract_all(F.col(name), F.lit("([A-Z][a-z]+)"), F.lit(1))
-    x = d.withColumn("parts", parts).where(F.size("parts") > 1)
-    tails = F.transform(F.sequence(F.lit(2), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), ""))
+    d = names.select(group, name)
+    parts = F.regexp_extract_all(F.col(name), F.lit("([A-Z][a-z0-9]+|[A-Z]+(?![a-z]))"), F.lit(1))
+    x = d.withColumn("parts", parts).where(F.size("parts") > 0)
+    tails = F.transform(F.sequence(F.lit(1), F.size("parts")), lambda i: F.array_join(F.slice("parts", i, F.size("parts")), ""))
     x = x.select(group, F.explode(tails).alias("suffix")).groupBy(group, "suffix").agg(F.count(F.lit(1)).alias("n"))
     t = d.groupBy(group).agg(F.count(F.lit(1)).alias("total")).where(F.col("total") >= min_names)
     x = x.join(t, group).where(F.col("n") >= min_share * F.col("total"))
@@ -239,3 +252,34 @@ def match_routes(servers: DataFrame, clients: DataFrame) -> DataFrame:
     pairs = F.zip_with(F.slice("server_s", n - k + 1, k), F.slice("client_s", m - k + 1, k), lambda x, y: (x == y) | (x == "{}") | (y == "{}"))
     ok = F.forall(pairs, lambda x: x) & ((n == m) | (k >= 2)) & ((F.col("server_m") == F.col("client_m")) | F.col("server_m").isNull() | F.col("client_m").isNull())
     return j.where(ok).select(F.col("server").alias("server_id"), F.col("client").alias("client_id")).distinct()
+
+
+TEST_PATH = r"(?i)(^|/)(tests?|__tests__|spec|specs|testing)(/|$)|[._-](test|spec)\.\w+$|(Test|Tests|IT|Spec)\.\w+$"
+
+
+def is_test(path: Column | str) -> Column:
+    """Whether a path is a test's: a test folder, or a file name marked as one."""
+    return F.coalesce((F.col(path) if isinstance(path, str) else path).rlike(TEST_PATH), F.lit(False))
+
+
+def resolve_relative(imports: DataFrame, files: DataFrame) -> DataFrame:
+    """imports (file_id, codebase_id, path, spec) -> (file_id, spec, target_file): relative module names, with any number of
+    ``..``, resolved against the importing file's folder and the codebase's files: the name itself, with a known extension, a
+    folder's index file, or a TypeScript file for a name that ends in a JavaScript extension; the first that exists, or null.
+    Names that lead out of the codebase resolve to nothing."""
+    steps = F.filter(F.split(F.concat(F.regexp_replace("path", r"[^/]*$", ""), "spec"), "/"), lambda x: (x != "") & (x != "."))
+    state = F.struct(F.expr("cast(array() as array<string>)").alias("at"), F.lit(True).alias("ok"))
+    up = lambda a, x: F.struct(
+        F.when(x == "..", F.slice(a["at"], F.lit(1), F.greatest(F.lit(0), F.size(a["at"]) - 1))).otherwise(F.array_append(a["at"], x)).alias("at"), (a["ok"] & ((x != "..") | (F.size(a["at"]) > 0))).alias("ok")
+    )
+    x = imports.select("file_id", "codebase_id", "spec", F.aggregate(steps, state, up).alias("s")).where("s.ok")
+    x = x.select("file_id", "codebase_id", "spec", F.array_join("s.at", "/").alias("base")).distinct()
+    bare = F.regexp_replace("base", r"\.[cm]?jsx?$", "")
+    ends = ["", ".ts", ".tsx", ".mts", ".js", ".jsx", ".mjs", ".cjs", "/index.ts", "/index.tsx", "/index.js", "/index.jsx"]
+    tries = [F.struct(F.lit(i).alias("rank"), F.concat("base", F.lit(e)).alias("path")) for i, e in enumerate(ends)]
+    tries += [F.when(bare != F.col("base"), F.struct(F.lit(len(ends) + i).alias("rank"), F.concat(bare, F.lit(e)).alias("path"))) for i, e in enumerate([".ts", ".tsx", ".mts"])]
+    c = x.select("file_id", "codebase_id", "spec", F.explode(F.filter(F.array(*tries), lambda t: t.isNotNull())).alias("t"))
+    f = files.select("codebase_id", F.col("path").alias("f_path"), F.col("file_id").alias("f_id")).groupBy("codebase_id", "f_path").agg(F.min("f_id").alias("f_id"))
+    hit = c.join(f.withColumnRenamed("codebase_id", "f_base"), (F.col("codebase_id") == F.col("f_base")) & (F.col("t.path") == F.col("f_path")))
+    best = hit.groupBy("file_id", "spec").agg(F.min_by("f_id", "t.rank").alias("target_file"))
+    return imports.select("file_id", "spec").distinct().join(best, ["file_id", "spec"], "left")

@@ -42,11 +42,16 @@ EXT = f"e AS (SELECT DISTINCT from_symbol AS sub, target_id AS sup FROM r WHERE
 CALLS = "c AS (SELECT from_symbol AS caller, target_id AS callee, min(line) AS line FROM r WHERE kind IN ('call', 'new', 'jsx') AND target_id >= 1 AND from_symbol >= 1 AND from_symbol <> target_id GROUP BY 1, 2)"
 
 
-@query(f"""WITH {S}, {R}, u AS (SELECT s.symbol_id, ref_id, CASE WHEN via = 'rule' THEN 'rule' ELSE 'linked' END AS how FROM r JOIN s ON s.symbol_id = r.target_id WHERE target_id >= 1
- UNION SELECT s.symbol_id, ref_id, 'name' FROM r JOIN s ON s.codebase_id = r.codebase_id AND s.name = r.name WHERE r.target_id IS NULL AND r.target IS NULL AND r.kind IN ('call', 'new') AND s.kind IN ('method', 'function') AND (r.args = -1 OR s.params = -1 OR r.args = s.params))
+@query(f"""WITH RECURSIVE {S}, {R}, {EXT}, h AS (SELECT sub, sup, 1 AS depth FROM e UNION SELECT h.sub, e.sup, h.depth + 1 FROM h JOIN e ON e.sub = h.sup WHERE h.depth < 8),
+ ov AS (SELECT DISTINCT a.symbol_id, b.symbol_id AS overridden FROM s a JOIN (SELECT DISTINCT sub, sup FROM h WHERE sub <> sup) x ON x.sub = a.parent_id JOIN s b ON b.parent_id = x.sup AND b.name = a.name WHERE a.kind = 'method' AND b.kind = 'method' AND (a.params = b.params OR a.params = -1 OR b.params = -1)),
+ u AS (SELECT s.symbol_id, ref_id, CASE WHEN via = 'rule' THEN 'rule' ELSE 'linked' END AS how FROM r JOIN s ON s.symbol_id = r.target_id WHERE target_id >= 1
+ UNION SELECT s.symbol_id, ref_id, 'name' FROM r JOIN s ON s.codebase_id = r.codebase_id AND s.name = r.name WHERE r.target_id IS NULL AND r.target IS NULL AND r.kind IN ('call', 'new') AND s.kind IN ('method', 'function') AND (r.args = -1 OR s.params = -1 OR r.args = s.params)
+ UNION SELECT ov.symbol_id, ref_id, 'through' FROM r JOIN ov ON ov.overridden = r.target_id)
  SELECT how, count(*) AS n, count(DISTINCT symbol_id) AS n_symbols FROM u GROUP BY 1""")
 def usages_tagged(spark: SparkSession, d: str) -> DataFrame:
-    return cg.usages(refs(spark, d), syms(spark, d)).groupBy("how").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("symbol_id").alias("n_symbols"))
+    r, s = refs(spark, d), syms(spark, d)
+    supers = cg.closure(cg.extends_edges(r, s), "sub", "sup", max_depth=8)
+    return cg.usages(r, s, supers).groupBy("how").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("symbol_id").alias("n_symbols"))
 
 
 @query(f"WITH {S}, {R} SELECT s.symbol_id, count(*) AS n_uses, min(r.line) AS first_line FROM r JOIN s ON s.symbol_id = r.target_id GROUP BY 1")
@@ -141,21 +146,40 @@ def unused_symbols(spark: SparkSession, d: str) -> DataFrame:
     return cg.unused(syms(spark, d), refs(spark, d))
 
 
-FIRST = "q AS (SELECT from_symbol AS g, target_id AS i, min(struct_pack(line := line, col := col)) AS at FROM r WHERE kind = 'call' AND target_id >= 1 AND from_symbol >= 1 GROUP BY 1, 2)"
+SITES = """ca AS (SELECT r.from_symbol AS method, t.parent_id AS type, t.name, r.line, r.col FROM r JOIN s t ON t.symbol_id = r.target_id LEFT JOIN s o ON o.symbol_id = r.from_symbol
+ WHERE r.kind = 'call' AND r.from_symbol >= 1 AND r.target_id >= 1 AND t.kind IN ('method', 'function') AND (t.parent_id IS NULL OR o.parent_id IS NULL OR o.parent_id <> t.parent_id))"""
 
 
-@query(f"WITH {R}, {FIRST} SELECT a.i AS first, b.i AS second, count(*) AS n FROM q a JOIN q b ON a.g = b.g AND a.at < b.at GROUP BY 1, 2 HAVING count(*) >= 3")
+@query(f"""WITH {S}, {R}, {SITES}, ty AS (SELECT type FROM ca WHERE type IS NOT NULL GROUP BY 1 HAVING count(*) >= 3)
+ SELECT a.type, a.name AS first, b.name AS second, count(DISTINCT a.method) AS n FROM ca a JOIN ca b ON a.method = b.method AND a.type = b.type AND a.name <> b.name AND (a.line < b.line OR (a.line = b.line AND a.col < b.col)) WHERE a.type IN (SELECT type FROM ty) GROUP BY 1, 2, 3""")
 def ordered_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return cg.ordered_pairs(cg.call_sites(refs(spark, d)), "from_symbol", "target_id", ["line", "col"])
+    """Idioms: which member of a type is called before which other, in how many methods."""
+    return cg.ordered_pairs(cg.call_sites(refs(spark, d), syms(spark, d)))
 
 
-@query(f"""WITH {R}, x AS (SELECT DISTINCT file_id AS g, receiver || '.' || kind || '.' || shape AS i FROM r WHERE receiver <> ''), n AS (SELECT i, count(*) AS n FROM x GROUP BY 1),
- p AS (SELECT a.i AS a, b.i AS b, count(*) AS support FROM x a JOIN x b ON a.g = b.g AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= 3)
- SELECT CASE WHEN na.n <= nb.n THEN a ELSE b END AS antecedent, CASE WHEN na.n <= nb.n THEN b ELSE a END AS consequent, support, round(support / least(na.n, nb.n), 2) AS confidence
- FROM p JOIN n na ON na.i = a JOIN n nb ON nb.i = b WHERE support / least(na.n, nb.n) >= 0.6""")
+def _rules(support: int, confidence: float) -> str:
+    return f"""x AS (SELECT DISTINCT r.from_symbol AS g, t.name AS i FROM r JOIN s t ON t.symbol_id = r.target_id WHERE r.kind = 'call' AND r.from_symbol >= 1 AND t.kind IN ('method', 'function') AND t.name IS NOT NULL), n AS (SELECT i, count(*) AS n FROM x GROUP BY 1),
+ p AS (SELECT a.i AS a, b.i AS b, count(*) AS support FROM x a JOIN x b ON a.g = b.g AND a.i < b.i GROUP BY 1, 2 HAVING count(*) >= {support}),
+ ru AS (SELECT CASE WHEN na.n <= nb.n THEN a ELSE b END AS antecedent, CASE WHEN na.n <= nb.n THEN b ELSE a END AS consequent, support, round(support / least(na.n, nb.n), 2) AS confidence
+ FROM p JOIN n na ON na.i = a JOIN n nb ON nb.i = b WHERE support / least(na.n, nb.n) >= {confidence})"""
+
+
+def _called(spark: SparkSession, d: str) -> DataFrame:
+    """(method, name): member names that a method calls."""
+    t = syms(spark, d).where("kind in ('method', 'function') and name is not null").select(F.col("symbol_id").alias("target_id"), F.col("name").alias("item"))
+    return refs(spark, d).where("kind = 'call' and from_symbol >= 1").select("target_id", F.col("from_symbol").alias("method")).join(t, "target_id").select("method", "item").distinct()
+
+
+@query(f"WITH {S}, {R}, {_rules(3, 0.8)} SELECT antecedent, consequent, support, confidence FROM ru")
 def assoc_pairs(spark: SparkSession, d: str) -> DataFrame:
-    x = refs(spark, d).where("receiver <> ''").select("file_id", F.concat_ws(".", "receiver", "kind", "shape").alias("item"))
-    return cg.association_rules(x, "file_id", "item", min_confidence=0.6)
+    """Members that are called together: in three methods at least, and in 80 % of those that call the rarer one."""
+    return cg.association_rules(_called(spark, d), "method", "item")
+
+
+@query(f"WITH {S}, {R}, {_rules(1, 0.5)} SELECT antecedent, consequent, support, confidence FROM ru")
+def assoc_pairs_loose(spark: SparkSession, d: str) -> DataFrame:
+    """The same with one method and 50 %: the test data has no pair in three methods."""
+    return cg.association_rules(_called(spark, d), "method", "item", 1, 0.5)
 
 
 @query(f"WITH {S}, {R} SELECT r.target_id AS symbol_id, count(*) AS n_refs FROM r JOIN s ON s.symbol_id = r.target_id WHERE s.kind NOT IN {TYPES} GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 20")
@@ -173,20 +197,25 @@ def hotspot_files(spark: SparkSession, d: str) -> DataFrame:
     return x.orderBy(F.desc("n_refs"), "file_id").limit(20)
 
 
-@query(rf"""WITH {S}, t AS (SELECT DISTINCT codebase_id, regexp_replace(name, '\d+$', '') AS name FROM s WHERE kind IN {TYPES}), w AS (SELECT codebase_id, regexp_extract_all(name, '[A-Z][a-z]+') AS ps FROM t WHERE name IS NOT NULL),
- x AS (SELECT codebase_id, array_to_string(ps[i:], '') AS suffix FROM w, range(2, len(ps) + 1) q(i)), n AS (SELECT codebase_id, suffix, count(*) AS n FROM x GROUP BY 1, 2), c AS (SELECT codebase_id, count(*) AS total FROM t WHERE name IS NOT NULL GROUP BY 1 HAVING count(*) >= 2)
- SELECT codebase_id, suffix, n, total FROM n JOIN c USING (codebase_id) WHERE n >= 0.1 * total QUALIFY row_number() OVER (PARTITION BY codebase_id ORDER BY n DESC, length(suffix) DESC, suffix) = 1""")
+TESTS = r"(regexp_matches(lower(path), '(^|/)(tests?|__tests__|spec|specs|testing)(/|$)') OR regexp_matches(path, '(?i)[._-](test|spec)\\.\\w+$') OR regexp_matches(path, '(Test|Tests|IT|Spec)\\.\\w+$'))"
+
+
+@query(rf"""WITH {S}, {FI}, t AS (SELECT coalesce(f.package, '') AS package, s.name FROM s JOIN f ON f.file_id = s.file_id WHERE s.kind IN {TYPES} AND s.parent_id IS NULL AND s.name IS NOT NULL AND NOT coalesce({TESTS}, false)),
+ w AS (SELECT package, regexp_extract_all(name, '[A-Z][a-z0-9]+|[A-Z]+$|[A-Z]') AS ps FROM t), x AS (SELECT package, array_to_string(ps[i:], '') AS suffix FROM w, range(1, len(ps) + 1) q(i)), n AS (SELECT package, suffix, count(*) AS n FROM x GROUP BY 1, 2),
+ c AS (SELECT package, count(*) AS total FROM t GROUP BY 1 HAVING count(*) >= 2)
+ SELECT package, suffix, n, total FROM n JOIN c USING (package) WHERE n >= 0.6 * total QUALIFY row_number() OVER (PARTITION BY package ORDER BY n DESC, length(suffix) DESC, suffix) = 1""")
 def naming_suffix(spark: SparkSession, d: str) -> DataFrame:
-    t = syms(spark, d).where(F.col("kind").isin(*cg.TYPE_KINDS) & F.col("name").isNotNull()).select("codebase_id", F.regexp_replace("name", r"\d+$", "").alias("name"))
-    return cg.suffixes(t, "codebase_id", "name", min_share=0.1)
+    """The suffix that 60 % of a package's outer types share; test files do not count."""
+    f = files(spark, d).where(~cg.is_test("path")).select("file_id", F.coalesce("package", F.lit("")).alias("package"))
+    t = syms(spark, d).where(F.col("kind").isin(*cg.TYPE_KINDS) & F.col("parent_id").isNull() & F.col("name").isNotNull()).select("file_id", "name")
+    return cg.suffixes(t.join(f, "file_id"), "package", "name")
 
 
-@query(f"""WITH {FI}, x AS (SELECT list_slice(string_split(path, '/'), 1, -2) AS ps, (language IS NOT NULL AND lower(language) IN ('java'))::INT AS fl FROM f), u AS (SELECT array_to_string(ps[1:i], '/') AS folder, fl FROM x, range(1, len(ps) + 1) t(i)),
+@query(f"""WITH {FI}, x AS (SELECT list_slice(string_split(path, '/'), 1, -2) AS ps, coalesce({TESTS}, false)::INT AS fl FROM f), u AS (SELECT array_to_string(ps[1:i], '/') AS folder, fl FROM x, range(1, len(ps) + 1) t(i)),
  c AS (SELECT folder, count(*) AS n, sum(fl) AS flagged FROM u GROUP BY 1 HAVING sum(fl) >= 0.8 * count(*)) SELECT folder, n, flagged::BIGINT AS flagged FROM c WHERE NOT EXISTS (SELECT 1 FROM c p WHERE starts_with(c.folder, p.folder || '/'))""")
 def folder_rollup(spark: SparkSession, d: str) -> DataFrame:
-    """Topmost folders of Java files, by the rule that finds test folders."""
-    f = files(spark, d).select("path", F.coalesce(F.lower("language") == "java", F.lit(False)).alias("flag"))
-    return cg.folders(f, "flag")
+    """Topmost folders that hold tests: 80 % of their files at least."""
+    return cg.folders(files(spark, d).select("path", cg.is_test("path").alias("flag")), "flag")
 
 
 @query(f"WITH {S}, {R} SELECT s.symbol_id, count(*) FILTER (r.kind = 'new') AS constructed, count(*) FILTER (r.kind = 'type') AS injected, count(*) FILTER (r.kind = 'call') AS factory FROM r JOIN s ON s.symbol_id = r.target_id WHERE s.kind IN {TYPES} GROUP BY 1")
@@ -286,16 +315,19 @@ def file_imports(spark: SparkSession, d: str) -> DataFrame:
     return r.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_imports"), F.count_distinct(F.coalesce("target", F.col("target_id").cast("string"), "name")).alias("n_targets"))
 
 
-@query(r"""WITH f AS (SELECT DISTINCT ON (file_id) * FROM code_files), i AS (SELECT file_id, codebase_id, path, unnest(regexp_extract_all(content, '(?:from|require\()\s*"(\.[^"]+)"', 1)) AS spec FROM f),
- d AS (SELECT DISTINCT file_id, codebase_id, spec, regexp_replace(path, '[^/]*$', '') AS dir FROM i)
- SELECT file_id, spec, CASE WHEN starts_with(spec, './') THEN dir || substr(spec, 3) WHEN starts_with(spec, '../') THEN regexp_replace(dir, '[^/]*/$', '') || substr(spec, 4) END AS base FROM d""")
+@query(r"""WITH f AS (SELECT DISTINCT ON (file_id) * FROM code_files), i AS (SELECT file_id, codebase_id, path, unnest(regexp_extract_all(content, '(?:from|require\()\s*["'']((?:\./|\.\./)[^"'']+)["'']', 1)) AS spec FROM f),
+ d AS (SELECT DISTINCT file_id, codebase_id, spec, list_filter(string_split(regexp_replace(path, '[^/]*$', ''), '/'), lambda x: x <> '' AND x <> '.') AS dir, list_filter(string_split(spec, '/'), lambda x: x <> '' AND x <> '.') AS ps FROM i),
+ u AS (SELECT *, len(list_filter(ps, lambda x: x = '..')) AS ups FROM d),
+ t AS (SELECT *, array_to_string(list_concat(dir[1:len(dir) - ups], list_filter(ps, lambda x: x <> '..')), '/') AS base FROM u WHERE ups <= len(dir)),
+ e AS (SELECT unnest(['', '.ts', '.tsx', '.mts', '.js', '.jsx', '.mjs', '.cjs', '/index.ts', '/index.tsx', '/index.js', '/index.jsx']) AS ext, unnest(range(0, 12)) AS rank),
+ k AS (SELECT t.*, rank, base || ext AS p FROM t, e UNION ALL SELECT t.*, 12 + r, regexp_replace(base, '\.[cm]?jsx?$', '') || x FROM t, (VALUES (0, '.ts'), (1, '.tsx'), (2, '.mts')) v(r, x) WHERE regexp_matches(base, '\.[cm]?jsx?$')),
+ fm AS (SELECT codebase_id, path, min(file_id) AS target FROM f GROUP BY 1, 2), h AS (SELECT k.file_id, k.spec, arg_min(fm.target, rank) AS target_file FROM k JOIN fm ON fm.codebase_id = k.codebase_id AND fm.path = k.p GROUP BY 1, 2)
+ SELECT DISTINCT d.file_id, d.spec, h.target_file FROM d LEFT JOIN h ON h.file_id = d.file_id AND h.spec = d.spec""")
 def relative_imports(spark: SparkSession, d: str) -> DataFrame:
-    """Relative module names resolved against the importing file's folder."""
-    i = files(spark, d).select("file_id", "path", F.explode(F.regexp_extract_all("content", F.lit(r'(?:from|require\()\s*"(\.[^"]+)"'), F.lit(1))).alias("spec"))
-    x = i.select("file_id", "spec", F.regexp_replace("path", r"[^/]*$", "").alias("dir")).distinct()
-    s = F.col("spec")
-    base = F.when(s.startswith("./"), F.concat("dir", F.substr(s, F.lit(3)))).when(s.startswith("../"), F.concat(F.regexp_replace("dir", r"[^/]*/$", ""), F.substr(s, F.lit(4))))
-    return x.select("file_id", "spec", base.alias("base"))
+    """Relative module names resolved against the importing file's folder and the codebase's files."""
+    f = files(spark, d)
+    i = f.select("file_id", "codebase_id", "path", F.explode(F.regexp_extract_all("content", F.lit(r"""(?:from|require\()\s*["']((?:\./|\.\./)[^"']+)["']"""), F.lit(1))).alias("spec")).distinct()
+    return cg.resolve_relative(i, f)
 
 
 @query(r"""WITH f AS (SELECT DISTINCT ON (file_id) * FROM code_files), e AS (SELECT file_id, unnest(regexp_extract_all(content, 'throw new (\w+)', 1)) AS error FROM f) SELECT error, count(*) AS n, count(DISTINCT file_id) AS n_files FROM e GROUP BY 1""")
@@ -311,12 +343,11 @@ def class_members(spark: SparkSession, d: str) -> DataFrame:
     return m.join(s.where("kind = 'class'").select("symbol_id"), F.col("parent_id") == F.col("symbol_id")).groupBy(F.col("symbol_id").alias("class_id")).agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("members"))
 
 
-@query(f"""WITH {R}, x AS (SELECT DISTINCT from_symbol AS g, receiver AS i FROM r WHERE from_symbol >= 1 AND receiver IN ('repository', 'log')), a AS (SELECT g FROM x WHERE i = 'repository'), b AS (SELECT g FROM x WHERE i = 'log')
- SELECT g AS symbol_id FROM a WHERE g NOT IN (SELECT g FROM b)""")
+@query(f"WITH {S}, {R}, {_rules(1, 0.5)} SELECT x.g AS symbol_id, antecedent, consequent FROM x JOIN ru ON ru.antecedent = x.i WHERE NOT EXISTS (SELECT 1 FROM x y WHERE y.g = x.g AND y.i = ru.consequent)")
 def companion_missing(spark: SparkSession, d: str) -> DataFrame:
-    """Methods that use one companion without the other."""
-    x = refs(spark, d).where("from_symbol >= 1 and receiver in ('repository', 'log')").select("from_symbol", "receiver").distinct()
-    return x.where("receiver = 'repository'").join(x.where("receiver = 'log'"), "from_symbol", "left_anti").select(F.col("from_symbol").alias("symbol_id"))
+    """Methods that call a member without the one that elsewhere goes with it (in half of the methods that call it)."""
+    c = _called(spark, d)
+    return cg.missing_companions(c, "method", "item", cg.association_rules(c, "method", "item", 1, 0.5)).withColumnRenamed("method", "symbol_id")
 
 
 @query(f"""WITH {FI}, k AS (SELECT file_id, codebase_id, path, sha256 FROM f), n AS (SELECT codebase_id, path, CASE WHEN file_id % 7 = 0 THEN 'new' || sha256 ELSE sha256 END AS sha256 FROM f WHERE file_id % 11 <> 0)

@@ -84,20 +84,25 @@ def java_imports(spark: SparkSession, d: str) -> DataFrame:
     return i.join(t, ["codebase_id", "name"], "left").select("file_id", "name", F.coalesce("symbol_id", F.lit(-1)).alias("symbol_id"))
 
 
-@query(f"""WITH {S}, {R} SELECT 'declaration' AS what, count(*) AS n FROM s WHERE name = 'updateStatus' UNION ALL SELECT 'use', count(*) FROM r JOIN s ON s.symbol_id = r.target_id WHERE s.name = 'updateStatus'
- UNION ALL SELECT 'import', count(*) FROM r WHERE kind = 'import' AND name = 'updateStatus' UNION ALL SELECT 'mention', count(*) FROM (SELECT DISTINCT file_id, content FROM code_files) f WHERE regexp_matches(content, '\\bupdateStatus\\b')""")
+@query(f"""WITH {S}, {R}, q AS (SELECT symbol_id, codebase_id, name FROM s WHERE symbol_id % 100 = 0 AND regexp_full_match(name, '[A-Za-z_$][A-Za-z0-9_$]*')),
+ fw AS (SELECT DISTINCT codebase_id, file_id, unnest(string_split_regex(content, '[^A-Za-z0-9_$]+')) AS w FROM (SELECT DISTINCT codebase_id, file_id, content FROM code_files))
+ SELECT q.symbol_id, 'use' AS what, count(*) AS n FROM q JOIN r ON r.target_id = q.symbol_id GROUP BY 1 UNION ALL SELECT q.symbol_id, 'import', count(*) FROM q JOIN r ON r.kind = 'import' AND r.codebase_id = q.codebase_id AND r.name = q.name GROUP BY 1
+ UNION ALL SELECT q.symbol_id, 'mention', count(DISTINCT file_id) FROM q JOIN fw ON fw.codebase_id = q.codebase_id AND fw.w = q.name GROUP BY 1
+ UNION ALL SELECT q.symbol_id, 'collision', count(*) FROM q JOIN s ON s.codebase_id = q.codebase_id AND s.name = q.name AND s.symbol_id <> q.symbol_id GROUP BY 1""")
 def rename_preview(spark: SparkSession, d: str) -> DataFrame:
-    """What a rename of one name would touch."""
-    name = "updateStatus"
-    s, r = syms(spark, d).where(F.col("name") == name), refs(spark, d)
-    n = F.count(F.lit(1)).alias("n")
+    """What renaming each symbol whose id is divisible by 100 would touch in its codebase: linked uses, imports of its name,
+    files that mention it, and other symbols of that name."""
+    s, r = syms(spark, d), refs(spark, d)
+    q = s.where(F.col("symbol_id") % 100 == 0).where(F.col("name").rlike(r"^[A-Za-z_$][A-Za-z0-9_$]*$")).select("symbol_id", F.col("codebase_id").alias("cb"), F.col("name").alias("nm"))
+    words = files(spark, d).select("codebase_id", "file_id", F.explode(F.array_distinct(F.split("content", r"[^A-Za-z0-9_$]+"))).alias("name")).distinct()
+    by_name = lambda x: q.join(x, (F.col("cb") == F.col("codebase_id")) & (F.col("nm") == F.col("name")))
     parts = {
-        "declaration": s, "use": r.where("target_id >= 1").join(s.select(F.col("symbol_id").alias("target_id")), "target_id", "left_semi"),
-        "import": r.where((F.col("kind") == "import") & (F.col("name") == name)), "mention": files(spark, d).where(F.col("content").rlike(rf"\b{name}\b")),
+        "use": q.join(r.where("target_id >= 1").select("target_id"), F.col("symbol_id") == F.col("target_id")), "import": by_name(r.where("kind = 'import'").select("codebase_id", "name")),
+        "mention": by_name(words), "collision": by_name(s.select("codebase_id", "name", F.col("symbol_id").alias("other"))).where("other <> symbol_id"),
     }
     out = None
     for k, x in parts.items():
-        y = x.agg(n).select(F.lit(k).alias("what"), "n")
+        y = x.groupBy("symbol_id").agg(F.count(F.lit(1)).alias("n")).select("symbol_id", F.lit(k).alias("what"), "n")
         out = y if out is None else out.unionByName(y)
     return out
 

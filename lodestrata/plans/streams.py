@@ -56,11 +56,11 @@ def upsert_latest(spark: SparkSession, d: str) -> DataFrame:
     return ev.upsert_stream(e, ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "event_type", "value")
 
 
-@query("WITH a AS (SELECT DISTINCT ON (doc_id) * FROM documents), k AS (SELECT sha256 FROM a WHERE doc_id % 2 = 0) SELECT sha256, min(doc_id) % 1 AS z FROM a WHERE sha256 IS NOT NULL AND sha256 NOT IN (SELECT sha256 FROM k WHERE sha256 IS NOT NULL) GROUP BY 1")
+@query("WITH a AS (SELECT DISTINCT ON (doc_id) * FROM documents), k AS (SELECT sha256 FROM a WHERE doc_id % 2 = 0) SELECT sha256, min(doc_id) AS doc_id FROM a WHERE sha256 IS NOT NULL AND sha256 NOT IN (SELECT sha256 FROM k WHERE sha256 IS NOT NULL) GROUP BY 1")
 def ingest_new_documents(spark: SparkSession, d: str) -> DataFrame:
-    """Documents whose content is not known; the known half are the even ids."""
+    """Documents whose content is not known, the smallest id per content; the known half are the even ids."""
     a = table(spark, d, "documents").select("doc_id", "sha256").distinct()
-    return ev.ingest_new(a.where("doc_id % 2 = 0"), a).select("sha256", (F.col("doc_id") % 1).alias("z"))
+    return ev.ingest_new(a.where("doc_id % 2 = 0"), a, "sha256", "doc_id").select("sha256", "doc_id")
 
 
 @query("SELECT collection_id, count(DISTINCT pin_key) AS n FROM pins GROUP BY 1")

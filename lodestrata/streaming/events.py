@@ -89,6 +89,10 @@ def upsert_stream(events: DataFrame, key: list[str], order: list[str]) -> DataFr
     return spark.read.schema(events.schema).parquet(last[-1]) if last else spark.createDataFrame([], events.schema)
 
 
-def ingest_new(known: DataFrame, arrived: DataFrame, content_hash: str = "sha256") -> DataFrame:
-    """Arrived rows whose content is not known yet, one per content."""
-    return arrived.where(F.col(content_hash).isNotNull()).dropDuplicates([content_hash]).join(known.select(content_hash), content_hash, "left_anti")
+def ingest_new(known: DataFrame, arrived: DataFrame, content_hash: str = "sha256", order: str | None = None) -> DataFrame:
+    """Arrived rows whose content is not known yet, one per content: the smallest by ``order``, if given."""
+    new = arrived.where(F.col(content_hash).isNotNull()).join(known.select(content_hash), content_hash, "left_anti")
+    if order is None:
+        return new.dropDuplicates([content_hash])
+    rest = [c for c in arrived.columns if c not in (content_hash, order)]
+    return new.groupBy(content_hash).agg(F.min(F.struct(order, *rest)).alias("m")).select(content_hash, "m.*")

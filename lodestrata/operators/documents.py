@@ -5,6 +5,7 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -262,6 +263,43 @@ def ratio(a: str, b: str) -> float:
     return m.ratio() if m.real_quick_ratio() >= 0.6 and m.quick_ratio() >= 0.6 else m.quick_ratio() if m.real_quick_ratio() >= 0.6 else m.real_quick_ratio()
 
 
+class Texts:
+    """Texts split and counted once, to be compared with many others."""
+
+    def __init__(self, texts: dict[str, str]):
+        self.words = {k: t.split() for k, t in texts.items()}
+        self.bags = {k: Counter(w) for k, w in self.words.items()}
+        self.holders: dict[str, list[str]] = {}
+        for k, bag in self.bags.items():
+            for w in bag:
+                self.holders.setdefault(w, []).append(k)
+
+    def similar(self, words: list[str], bag: Counter, least: float) -> list[tuple[str, float]]:
+        """(key, ratio) of all texts at least ``least`` similar. The words that two texts share bound their ratio from above,
+        so only texts that share enough are aligned. Of a text's words, rarest first, the first so many must hold one that
+        a similar text has too; the others look nothing up."""
+        n = len(words)
+        if not n:
+            return [(k, 1.0) for k, w in self.words.items() if not w]
+        rare = sorted(bag, key=lambda w: (len(self.holders.get(w, ())), w))
+        need = least * n / (2 - least)  # shared words of the shortest text that can be similar enough
+        seen, passed = set(), 0
+        for w in rare:
+            if passed > n - need:
+                break
+            passed += bag[w]
+            seen.update(self.holders.get(w, ()))
+        out = []
+        for k in seen:
+            m = len(self.words[k])
+            if 2 * min(n, m) < least * (n + m) or 2 * sum((bag & self.bags[k]).values()) < least * (n + m):
+                continue
+            s = difflib.SequenceMatcher(None, words, self.words[k], autojunk=False).ratio()
+            if s >= least:
+                out.append((k, s))
+        return out
+
+
 def compare_editions(old: DataFrame, new: DataFrame, threshold: float = 0.6) -> DataFrame:
     """(old_num, new_num, status, similarity) of clauses (pair, num, title, text): first by titles unique in both, then by
     number with similar texts, then, per pair of editions, the most similar of what is left. Status: same, renumbered,
@@ -278,7 +316,8 @@ def compare_editions(old: DataFrame, new: DataFrame, threshold: float = 0.6) ->
             if k not in done and k in nt and k not in used and ratio(ot[k], nt[k]) >= threshold:
                 done[k] = k
                 used.add(k)
-        rest = sorted(((-ratio(ot[a], nt[b]), a, b) for a in ot if a not in done for b in nt if b not in used), key=lambda x: x)
+        texts = Texts({b: t for b, t in nt.items() if b not in used})
+        rest = sorted((-s, a, b) for a in ot if a not in done for b, s in texts.similar(ot[a].split(), Counter(ot[a].split()), threshold))
         for s, a, b in rest:
             if -s >= threshold and a not in done and b not in used:
                 done[a] = b

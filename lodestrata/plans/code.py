@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import codegraph as cg
+from ..sources import files as src
 from ..session import table
 
 QUERIES: dict = {}
@@ -394,3 +395,38 @@ def example_context(spark: SparkSession, d: str) -> DataFrame:
     x = x.withColumn("context", F.round(F.col("k") / (F.col("nq") + F.col("n") - F.col("k")), 6))
     w = Window.partitionBy("q").orderBy(F.desc("context"), "m")
     return x.withColumn("rk", F.row_number().over(w)).where("rk <= 10").select(F.col("q").alias("query_id"), F.col("m").alias("symbol_id"), "context")
+
+
+# The SQL reads imports line by line, after taking comments out its own way: lines that begin a comment, and what is in blocks.
+IMPORTS = r"""WITH f AS (SELECT DISTINCT file_id, codebase_id, path, replace(replace(content, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS code FROM code_files WHERE content IS NOT NULL),
+ ln AS (SELECT file_id, codebase_id, lower(path) AS p, trim(unnest(string_split(code, chr(10))), ' ' || chr(9)) AS line FROM f)"""
+
+
+@query(IMPORTS + r""", j AS (SELECT DISTINCT file_id, codebase_id, string_split(rtrim(regexp_replace(split_part(line, '//', 1), '^import\s+', ''), '; '), ' ') AS ws FROM ln WHERE ends_with(p, '.java') AND regexp_matches(line, '^import\s+[\w. *]+;')),
+ k AS (SELECT file_id, codebase_id, ws[-1] AS spec, len(ws) > 1 AS st FROM j)
+ SELECT DISTINCT file_id, CASE WHEN st THEN 'static' WHEN ends_with(spec, '.*') THEN 'package' ELSE 'type' END AS form, spec FROM k""")
+def java_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Imports read from the text of Java files."""
+    return src.imports(files(spark, d).where(F.lower("path").endswith(".java"))).select("file_id", "form", "spec")
+
+
+@query(IMPORTS + r""", s AS (SELECT DISTINCT file_id, line FROM ln WHERE regexp_matches(p, '\.[cm]?[jt]sx?$')),
+ c AS (SELECT DISTINCT file_id, 'from' AS form, regexp_extract(line, 'from\s*["'']([^"'']+)["'']', 1) AS spec FROM s WHERE (starts_with(line, 'import ') OR starts_with(line, 'export ')) AND regexp_matches(line, '^(import|export)\b[^;"''()]*\bfrom\s*["''][^"'']+["'']')
+  UNION SELECT DISTINCT file_id, 'bare', regexp_extract(line, '^import\s*["'']([^"'']+)["'']', 1) FROM s WHERE regexp_matches(line, '^import\s*["''][^"'']+["'']')
+  UNION SELECT DISTINCT file_id, 'require', unnest(regexp_extract_all(regexp_replace(line, '(^|[^:])//.*$', '\1'), '\brequire\(\s*["'']([^"'']+)["'']\s*\)', 1)) FROM s WHERE NOT starts_with(line, '*') AND NOT starts_with(line, '/*'))
+ SELECT form, spec, count(DISTINCT file_id) AS n_files FROM c GROUP BY 1, 2""")
+def script_imports(spark: SparkSession, d: str) -> DataFrame:
+    """Modules that scripts import, by form."""
+    i = src.imports(files(spark, d)).where("form in ('from', 'bare', 'require')")
+    return i.groupBy("form", "spec").agg(F.count_distinct("file_id").alias("n_files"))
+
+
+@query(IMPORTS + r""", pk AS (SELECT file_id, codebase_id, min(rtrim(regexp_replace(line, '^package\s+', ''), '; ')) AS pkg FROM ln WHERE ends_with(p, '.java') AND regexp_matches(line, '^package\s+[\w.]+\s*;') GROUP BY 1, 2),
+ own AS (SELECT f.codebase_id, CASE WHEN pkg IS NULL THEN '' ELSE pkg || '.' END || regexp_extract(path, '([^/]+)\.\w+$', 1) AS name, min(f.file_id) AS target_file FROM f LEFT JOIN pk ON pk.file_id = f.file_id WHERE ends_with(lower(path), '.java') GROUP BY 1, 2),
+ im AS (SELECT DISTINCT file_id, codebase_id, string_split(rtrim(regexp_replace(split_part(line, '//', 1), '^import\s+', ''), '; '), ' ') AS ws FROM ln WHERE ends_with(p, '.java') AND regexp_matches(line, '^import\s+[\w. *]+;')),
+ z AS (SELECT file_id, codebase_id, ws[-1] AS spec, CASE WHEN len(ws) > 1 THEN 'static' ELSE 'type' END AS form FROM im WHERE len(ws) > 1 OR NOT ends_with(ws[-1], '.*'))
+ SELECT z.file_id, z.form, z.spec, own.target_file FROM z LEFT JOIN own ON own.codebase_id = z.codebase_id AND own.name = CASE WHEN z.form = 'static' THEN regexp_replace(z.spec, '\.[^.]*$', '') ELSE z.spec END""")
+def java_import_links(spark: SparkSession, d: str) -> DataFrame:
+    """Java imports linked to the files of the codebase that declare the types."""
+    f = files(spark, d)
+    return src.link_java_imports(src.imports(f), f)

@@ -275,3 +275,43 @@ def collection_markdown(pins: DataFrame) -> DataFrame:
     item = F.concat_ws("\n\n", F.concat(F.lit("**"), F.coalesce("citation", F.lit("")), F.lit("**")), quote, F.nullif(F.coalesce("note", F.lit("")), F.lit("")))
     g = pins.dropDuplicates(["pin_key"]).groupBy("collection_id").agg(F.array_sort(F.collect_list(F.struct("added_at", "pin_key", item.alias("md")))).alias("xs"))
     return g.select("collection_id", F.array_join(F.transform("xs", lambda x: x["md"]), "\n\n---\n\n").alias("markdown"))
+
+
+JAVA_IMPORT = r"(?m)^[ \t]*import[ \t]+(static[ \t]+)?([\w.]+(?:\.\*)?)[ \t]*;"
+JAVA_PACKAGE = r"(?m)^[ \t]*package[ \t]+([\w.]+)[ \t]*;"
+SCRIPT_FROM = r"(?m)^[ \t]*(?:import|export)\b([^;'\"()]*?)\bfrom[ \t]*['\"]([^'\"\n]+)['\"]"
+SCRIPT_BARE = r"(?m)^[ \t]*import[ \t]*['\"]([^'\"\n]+)['\"]"
+SCRIPT_REQUIRE = r"\brequire\([ \t]*['\"]([^'\"\n]+)['\"][ \t]*\)"
+
+
+def bare_code(content: Column | str) -> Column:
+    """Source text with its comments blanked, strings kept. Escapes in strings are honoured; a template literal is a string."""
+    c = F.col(content) if isinstance(content, str) else content
+    keep = r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|//[^\n]*|(?s:/\*.*?\*/)"
+    return F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), keep, "$1")
+
+
+def imports(files: DataFrame) -> DataFrame:
+    """(file_id, codebase_id, form, spec, names) read from source files (file_id, codebase_id, path, content): Java imports
+    (form ``type``, ``static``, ``package`` for a wildcard), script imports (``from``, ``bare``, ``require``; names is the
+    import clause). Comments are no imports; repeated rows and repeated imports count once. Null content has none."""
+    x = files.select("file_id", "codebase_id", "path", bare_code("content").alias("code")).where("code is not null").distinct()
+    java = F.lower("path").endswith(".java")
+    j = x.where(java).select("file_id", "codebase_id", F.explode(F.regexp_extract_all("code", F.lit(JAVA_IMPORT), F.lit(0))).alias("m"))
+    is_static, name = F.regexp_extract("m", JAVA_IMPORT, 1) != "", F.regexp_extract("m", JAVA_IMPORT, 2)
+    j = j.select("file_id", "codebase_id", F.when(is_static, "static").when(name.endswith(".*"), "package").otherwise("type").alias("form"), name.alias("spec"), F.lit("").alias("names"))
+    s = x.where(F.lower("path").rlike(r"\.[cm]?[jt]sx?$"))
+    f = s.select("file_id", "codebase_id", F.explode(F.regexp_extract_all("code", F.lit(SCRIPT_FROM), F.lit(0))).alias("m"))
+    f = f.select("file_id", "codebase_id", F.lit("from").alias("form"), F.regexp_extract("m", SCRIPT_FROM, 2).alias("spec"), F.trim(F.regexp_replace(F.regexp_extract("m", SCRIPT_FROM, 1), r"\s+", " ")).alias("names"))
+    one = lambda pat, form: s.select("file_id", "codebase_id", F.explode(F.regexp_extract_all("code", F.lit(pat), F.lit(1))).alias("spec")).select("file_id", "codebase_id", F.lit(form).alias("form"), "spec", F.lit("").alias("names"))
+    return j.unionByName(f).unionByName(one(SCRIPT_BARE, "bare")).unionByName(one(SCRIPT_REQUIRE, "require")).distinct()
+
+
+def link_java_imports(found: DataFrame, files: DataFrame) -> DataFrame:
+    """(file_id, form, spec, target_file): Java imports of a codebase's own types, by equality on the qualified name that a
+    file's package clause and name give; of a static import the type before the member; null for what lies outside. Wildcards
+    link to nothing: they name no file."""
+    own = files.where(F.lower("path").endswith(".java")).select("codebase_id", "file_id", F.regexp_extract(bare_code("content"), JAVA_PACKAGE, 1).alias("pkg"), F.regexp_extract("path", r"([^/]+)\.\w+$", 1).alias("type"))
+    own = own.select(F.col("codebase_id").alias("o_base"), F.when(F.col("pkg") == "", F.col("type")).otherwise(F.concat_ws(".", "pkg", "type")).alias("o_name"), "file_id").groupBy("o_base", "o_name").agg(F.min("file_id").alias("target_file"))
+    x = found.where("form in ('type', 'static')").withColumn("name", F.when(F.col("form") == "static", F.regexp_replace("spec", r"\.[^.]*$", "")).otherwise(F.col("spec")))
+    return x.join(own, (F.col("codebase_id") == F.col("o_base")) & (F.col("name") == F.col("o_name")), "left").select("file_id", "form", "spec", "target_file")

@@ -185,3 +185,18 @@ def test_clauses_acronyms_and_findings(spark):
     assert {tuple(r) for r in q.collect()} == {(1, "seconds", "10"), (1, "mm", "1.5"), (2, "seconds", "12"), (2, "mm", "1.5")}
     f = do.assess(spark.createDataFrame([(1, 2)], "a long, b long"), q, spark.createDataFrame([(1, 3), (2, 1)], "block_id long, strength int"))
     assert {tuple(r) for r in f.collect()} == {(1, 2, "values"), (1, 2, "weaker")}
+
+
+def test_similar_texts_equal_all_pairs():
+    """The word bounds lose no similar pair: against the alignment of all pairs."""
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(14)]
+    a = {str(i): " ".join(rng.choice(words) for _ in range(rng.randrange(0, 12))) for i in range(60)}
+    b = {str(i): " ".join(w for w in a[str(i)].split() if rng.random() > 0.2) if i % 2 else " ".join(rng.choice(words) for _ in range(rng.randrange(0, 12))) for i in range(60)}
+    texts = do.Texts(b)
+    got = {(x, y, round(s, 9)) for x, t in a.items() for y, s in texts.similar(t.split(), Counter(t.split()), 0.6)}
+    want = {(x, y, round(do.difflib.SequenceMatcher(None, t.split(), u.split(), autojunk=False).ratio(), 9)) for x, t in a.items() for y, u in b.items()}
+    assert got == {w for w in want if w[2] >= 0.6}

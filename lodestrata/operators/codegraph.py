@@ -70,7 +70,7 @@ def closure(edges: DataFrame, a: str, b: str, max_depth: int | None = None) -> D
         new = st.put(step.join(seen.select("a", "b"), ["a", "b"], "left_anti").withColumn("depth", F.lit(depth)))
         if not new.limit(1).count():
             break
-        seen, front = st.put(seen.unionByName(new)), new
+        seen, front = seen.unionByName(new), new  # levels are appended, never rewritten
     return seen.select(F.col("a").alias(a), F.col("b").alias(b), "depth")
 
 
@@ -118,7 +118,7 @@ def impact(edges: DataFrame, roots: DataFrame, max_depth: int = 8, max_nodes: in
         new = st.put(step.join(seen.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(k)))
         if not new.limit(1).count():
             break
-        seen, front = st.put(seen.unionByName(new)), new
+        seen, front = seen.unionByName(new), new  # levels are appended, never rewritten
     w = Window.partitionBy("root").orderBy("depth", "node")
     n = Window.partitionBy("root")
     x = seen.where("depth > 0").withColumn("rk", F.row_number().over(w)).withColumn("n", F.count(F.lit(1)).over(n))

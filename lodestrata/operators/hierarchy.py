@@ -58,19 +58,22 @@ def _separate(st: Stages, e: DataFrame) -> tuple[DataFrame, int]:
     """(id, jump, low, size) at rest, and how many nodes never reach a root. A jump that is left leads onto the loop."""
     one = F.lit(1).cast("long")
     state = e.select("id", F.col("parent").alias("jump"), F.least("id", "parent").alias("low"), one.alias("size"))
-    before = None
+    left = heads = None
     while True:
         state = state.select("id", "jump", "low", "size", F.col("low").alias("was"))
         nxt = st.put(_climb(_climb(state)))
         active = F.col("jump").isNotNull()
-        r = nxt.agg(F.count_if(active).alias("left"), F.count_if(active & (F.col("low") < F.col("was"))).alias("fell"), F.count_distinct(F.when(active, F.col("jump"))).alias("heads")).first()
+        r = nxt.agg(F.count_if(active).alias("left"), F.count_if(active & (F.col("low") < F.col("was"))).alias("fell")).first()
         st.drop(state)
         state = nxt
-        now = (r["left"], r["heads"])
-        # no node of a depth up to twice the last one is left, no smallest id fell, the jumps' targets are the loops
-        if not r["left"] or (now == before and not r["fell"]):
-            return nxt, r["left"]
-        before = now
+        if not r["left"]:
+            return nxt, 0
+        # no node of a depth up to twice the last one is left, no smallest id fell: are the jumps' targets the loops?
+        same = r["left"] == left and not r["fell"]
+        left, now = r["left"], nxt.where(active).select("jump").distinct().count() if same else None
+        if same and now == heads:
+            return nxt, left
+        heads = now
 
 
 def _heads(st: Stages, tree: DataFrame) -> DataFrame:

@@ -56,8 +56,9 @@ def suspects(state: DataFrame) -> DataFrame:
     return s.select("tbl", "key", reason.alias("reason"), "first_load")
 
 
-def orphan_references(refs: DataFrame, state: DataFrame) -> DataFrame:
-    """(src_table, src_field, record_key, reason, at) for refs (tbl, key, src_table, src_field, record_key, at).
+def orphan_references(refs: DataFrame, state: DataFrame, tables: tuple[str, ...]) -> DataFrame:
+    """(src_table, src_field, record_key, reason, at) for refs (tbl, key, src_table, src_field, record_key, at)
+    to the given ``tables``.
 
     A record written again counts once, with its first time. ``deleted``, ``missing`` and ``late`` exclude each other in
     this order. A reference or load without time is never late.
@@ -65,7 +66,7 @@ def orphan_references(refs: DataFrame, state: DataFrame) -> DataFrame:
     st = Stages(refs.sparkSession, "orphans")
     bad = st.put(suspects(state))
     one = None
-    for tbl in ("code_symbols", "documents"):
+    for tbl in tables:
         b = bad.where(F.col("tbl") == tbl).select(F.col("key").alias("b_key"), "reason", "first_load")
         j = join_hot(refs.where((F.col("tbl") == tbl) & (F.col("key") >= 1)).drop("tbl"), b, "key", "b_key", "inner")
         one = j if one is None else one.unionByName(j)

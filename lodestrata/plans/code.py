@@ -377,7 +377,7 @@ def affected_refs(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b).unionByName(c).distinct()
 
 
-JAC = f"""WITH {R}, t AS (SELECT DISTINCT from_symbol AS m, name FROM r WHERE from_symbol >= 1 AND kind IN ('call', 'new', 'type')), n AS (SELECT m, count(*) AS n FROM t GROUP BY 1), q AS (SELECT m FROM n WHERE m % 100 = 0 ORDER BY m LIMIT 20),
+JAC = f"""WITH {R}, t AS (SELECT DISTINCT from_symbol AS m, name FROM r WHERE from_symbol >= 1 AND kind IN ('call', 'new', 'type')), n AS (SELECT m, count(*) AS n FROM t GROUP BY 1), q AS (SELECT m FROM n WHERE m % 100 = 0),
  x AS (SELECT a.m AS q, b.m AS m, count(*) AS k FROM t a JOIN t b ON a.name = b.name AND a.m <> b.m WHERE a.m IN (SELECT m FROM q) GROUP BY 1, 2)
  SELECT x.q AS query_id, x.m AS symbol_id, round(k / (nq.n + nm.n - k), 6) AS context FROM x JOIN n nq ON nq.m = x.q JOIN n nm ON nm.m = x.m QUALIFY row_number() OVER (PARTITION BY x.q ORDER BY round(k / (nq.n + nm.n - k), 6) DESC, x.m) <= 10"""
 
@@ -385,7 +385,7 @@ JAC = f"""WITH {R}, t AS (SELECT DISTINCT from_symbol AS m, name FROM r WHERE fr
 @query(JAC)
 def example_context(spark: SparkSession, d: str) -> DataFrame:
     """For every method whose id is divisible by 100, the 10 whose called and created names agree best (Jaccard), by
-    joining on names. The SQL has the 20 smallest of these ids only."""
+    joining on names."""
     r = refs(spark, d).where("from_symbol >= 1 and kind in ('call', 'new', 'type')")
     # a method's names and their number in one grouping; both numbers travel with the pairs
     g = r.groupBy(F.col("from_symbol").alias("m")).agg(F.collect_set(F.struct("name")).alias("names"))

@@ -100,7 +100,7 @@ def _orphans(spark: SparkSession, d: str) -> DataFrame:
         orp.deltas("code_symbols", loads=sym, removals=rem.where("src_table = 'code_symbols'"), refs=of("code_symbols")),
         orp.deltas("documents", loads=doc, removals=rem.where("src_table = 'documents'"), refs=of("documents")),
     )
-    return orp.orphan_references(refs, state)
+    return orp.orphan_references(refs, state, ("code_symbols", "documents"))
 
 
 _ORPHANS = """WITH ld AS (SELECT 'code_symbols' AS tbl, symbol_id AS k, min(loaded_at) AS f, max(loaded_at) AS l FROM code_symbols GROUP BY 1, 2

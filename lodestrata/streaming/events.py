@@ -49,18 +49,29 @@ def deduplicate(events: DataFrame, key: str = "event_id", late: str = "2 hours")
     return events.dropDuplicates([key])
 
 
-def drain(df: DataFrame, mode: str = "complete", key: str | None = None) -> DataFrame:
-    """Run a stream over everything that is there. Results go to the shared folder batch by batch, written idempotently:
-    a batch that is run again overwrites its own part."""
+def _done(spark, root: str) -> list[int]:
+    """Numbers of the batches below ``root`` that were written whole."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/batch=*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    return sorted(int(f.getPath().getParent().getName().split("=")[1]) for f in found)
+
+
+def drain(df: DataFrame, mode: str = "complete", name: str | None = None) -> DataFrame:
+    """Run a stream over everything that is there. Every batch writes its own folder of the shared folder, so a batch that is
+    run again replaces its own part only; in complete mode the last whole batch is the result, else all of them are. A stream
+    without output gives an empty table. A stream with a ``name`` goes on where it stopped."""
     spark = df.sparkSession
-    root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    root = f"{shared_dir(spark)}/streams/{name or uuid.uuid4().hex}"
 
     def put(batch: DataFrame, n: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{root}/out/{'last' if mode == 'complete' else n}")
+        batch.write.mode("overwrite").parquet(f"{root}/out/batch={n}")
 
     q = df.writeStream.outputMode(mode).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(put).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema).parquet(f"{root}/out/*")
+    whole = _done(spark, f"{root}/out")
+    if not whole:
+        return spark.createDataFrame([], df.schema)
+    return spark.read.schema(df.schema).parquet(*[f"{root}/out/batch={n}" for n in (whole[-1:] if mode == "complete" else whole)])
 
 
 def upsert(state: DataFrame | None, batch: DataFrame, key: list[str], order: list[str]) -> DataFrame:
@@ -72,21 +83,38 @@ def upsert(state: DataFrame | None, batch: DataFrame, key: list[str], order: lis
     return u.groupBy(*key).agg(best.alias("m")).select(*key, "m.*")
 
 
-def upsert_stream(events: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    """Latest row per key of a stream, merged micro-batch by micro-batch into two alternating tables."""
+BUCKETS = 64  # parts of a kept state; a micro-batch rewrites those its keys fall into
+
+
+def _state(spark, root: str, schema, before: int, only: list[int] | None = None) -> DataFrame | None:
+    """The newest version of every bucket (or of ``only`` these) that whole batches below ``before`` have written."""
+    newest: dict[int, str] = {}
+    for n in _done(spark, root):
+        if n < before:
+            p = spark._jvm.org.apache.hadoop.fs.Path(f"{root}/batch={n}/bucket=*")
+            for f in p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []:
+                newest[int(f.getPath().getName().split("=")[1])] = str(f.getPath())
+    paths = [p for b, p in sorted(newest.items()) if only is None or b in only]
+    return spark.read.schema(schema).parquet(*paths) if paths else None
+
+
+def upsert_stream(events: DataFrame, key: list[str], order: list[str], name: str | None = None) -> DataFrame:
+    """Latest row per key of a stream. The state is kept in ``BUCKETS`` parts by key; a micro-batch writes new versions of the
+    parts it touches, under its own number. What is kept is found by listing the folder, so a stream with a ``name`` goes on
+    after a restart, and a batch that is run again reads what was there before it."""
     spark = events.sparkSession
-    root = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
-    last: list[str] = []
+    root = f"{shared_dir(spark)}/streams/{name or uuid.uuid4().hex}"
+    bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
 
     def merge(batch: DataFrame, n: int) -> None:
-        state = spark.read.schema(batch.schema).parquet(last[-1]) if last else None
-        path = f"{root}/state/{n}"
-        upsert(state, batch, key, order).write.mode("overwrite").parquet(path)
-        last.append(path)
+        touched = [r["bucket"] for r in batch.select(bucket.alias("bucket")).distinct().collect()]  # BUCKETS at most
+        new = upsert(_state(spark, f"{root}/state", batch.schema, n, touched), batch, key, order)
+        new.select(*batch.columns, bucket.alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{root}/state/batch={n}")
 
     q = events.writeStream.option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).foreachBatch(merge).start()
     q.awaitTermination()
-    return spark.read.schema(events.schema).parquet(last[-1]) if last else spark.createDataFrame([], events.schema)
+    kept = _state(spark, f"{root}/state", events.schema, 1 << 62)
+    return spark.createDataFrame([], events.schema) if kept is None else kept
 
 
 def ingest_new(known: DataFrame, arrived: DataFrame, content_hash: str = "sha256", order: str | None = None) -> DataFrame:

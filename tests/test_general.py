@@ -170,5 +170,5 @@ def test_orphans_state_is_incremental(spark):
     a = orp.merge(orp.deltas("code_symbols", loads=loads.where("key < 3"), refs=r.where("key > 3")))
     b = orp.merge(a, orp.deltas("code_symbols", loads=loads.where("key >= 3"), removals=rem, refs=r.where("key <= 3")))
     assert sorted(map(str, full.collect())) == sorted(map(str, b.collect()))
-    got = {(x["record_key"], x["reason"]) for x in orp.orphan_references(refs, full).collect()}
+    got = {(x["record_key"], x["reason"]) for x in orp.orphan_references(refs, full, ("code_symbols", "documents")).collect()}
     assert got == {("2", "deleted"), ("3", "late"), ("4", "deleted"), ("5", "missing")}

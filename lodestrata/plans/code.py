@@ -405,7 +405,7 @@ IMPORTS = r"""WITH f AS (SELECT DISTINCT file_id, codebase_id, path, replace(rep
 @query(IMPORTS + r""", j AS (SELECT DISTINCT file_id, codebase_id, string_split(rtrim(regexp_replace(split_part(line, '//', 1), '^import\s+', ''), '; '), ' ') AS ws FROM ln WHERE ends_with(p, '.java') AND regexp_matches(line, '^import\s+[\w. *]+;')),
  k AS (SELECT file_id, codebase_id, ws[-1] AS spec, len(ws) > 1 AS st FROM j)
  SELECT DISTINCT file_id, CASE WHEN st THEN 'static' WHEN ends_with(spec, '.*') THEN 'package' ELSE 'type' END AS form, spec FROM k""")
-def java_imports(spark: SparkSession, d: str) -> DataFrame:
+def java_imports_read(spark: SparkSession, d: str) -> DataFrame:
     """Imports read from the text of Java files."""
     return src.imports(files(spark, d).where(F.lower("path").endswith(".java"))).select("file_id", "form", "spec")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import research as rs
 from ..operators import search as se
-from ..session import exists, kept_path, table
+from ..session import Stages, exists, kept_path, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -260,6 +260,7 @@ def search_fused(spark: SparkSession, d: str) -> DataFrame:
     """All words, some words and meaning fused, with labels. No text model is bundled, so each query's vector is a stated one:
     those of the five smallest block ids; a block's best vector counts."""
     v = table(spark, d, "block_vectors").where("first_row = 0 and last_row = 0").select("block_id", "vector").where(rs.usable("vector", 64)).distinct()
+    v = Stages(spark, "fused").put(v)
     q = v.groupBy("block_id").agg(F.min("vector").alias("qv")).orderBy("block_id").limit(5)
     q = q.select(F.row_number().over(Window.orderBy("block_id")).alias("qid"), "qv")  # five rows
     n = rs.similarities(v.select(F.col("block_id").alias("id"), F.col("vector").alias("v")), q, None, cosine=True, itself=True)

@@ -5,7 +5,8 @@ exact neighbour graph is cut into balanced parts by size-constrained label propa
 from a vector which parts its neighbours lie in. *Every* row is routed: it is stored in its most probable part and asks the
 most probable parts for its neighbours. All vectors are the first cell; a part that holds more than ``SPLIT`` times
 ``PART_ROWS`` rows is a cell again with a router of its own, so that parts keep their size however many rows there are.
-Candidates are ranked by exact cosine in blocks. Exact copies are searched once and expanded afterwards.
+Candidates are ranked by exact cosine in blocks. Exact copies are searched once and expanded afterwards. Rows stream through
+their routers in pieces of ``PIECE`` rows, so that a task's memory does not grow with its cell.
 
 ``most`` and ``mass`` bound what is asked; ``most=None`` asks every part of every cell, which is exact.
 """
@@ -18,7 +19,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import Stages
@@ -28,7 +30,8 @@ PART_ROWS = 1_500  # aimed at per part
 FAN = 256  # parts a cell is cut into, at most; larger cells take more levels
 SPLIT = 4  # times PART_ROWS from which a part is a cell again
 LEVELS = 8  # of cells; FAN**LEVELS parts are more than can be stored
-LANE = 50_000  # rows of a cell that one task routes
+LANE = 50_000  # rows of a cell, stored and asking, that are routed in one run; a task has about as many
+PIECE = 16_384  # routed rows that are held at once, at most (or one row's parts)
 BLOCK = 4_096  # rows of a part, and queries, in one task's block
 GRAPH_K = 10
 HIDDEN = 192
@@ -50,13 +53,13 @@ def unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def knn_graph(x: np.ndarray, k: int, block: int = 1024) -> np.ndarray:
+def knn_graph(x: np.ndarray, k: int, block: int = 256) -> np.ndarray:
     """Exact neighbour lists of unit vectors, without the vector itself."""
     out = np.empty((len(x), k), np.int32)
     for i in range(0, len(x), block):
         s = x[i : i + block] @ x.T
         s[np.arange(len(s)), np.arange(i, i + len(s))] = -2
-        out[i : i + block] = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out[i : i + block] = np.argpartition(np.negative(s, out=s), k - 1, axis=1)[:, :k]
     return out
 
 
@@ -161,16 +164,51 @@ def probes(p: np.ndarray, most: int | None, mass: float) -> tuple[np.ndarray, np
     return top, 1 + (cum[:, :-1] < mass).sum(1)
 
 
-def _routed(pdf: pd.DataFrame, net: Router, most: int | None, mass: float) -> pd.DataFrame:
-    """Rows (vid, u, cell, role) in the parts of their cell: role 0, the stored row, in the most probable one; role 1, the
-    query, in all it asks."""
-    top, cnt = probes(net.probs(np.stack(pdf["u"].to_numpy()).astype(np.float32)), most, mass)
-    cnt = np.where(pdf["role"].to_numpy() == 0, 1, cnt)
-    at = np.repeat(np.arange(len(pdf)), cnt)
-    part = np.concatenate([t[:c] for t, c in zip(top, cnt, strict=True)]) if len(pdf) else np.zeros(0, np.int64)
-    out = pdf.iloc[at].copy()
-    out["cell"] = out["cell"].to_numpy() * (FAN + 1) + part + 1
-    return out
+def matrix(u: pa.Array) -> np.ndarray:
+    """The vectors of a column as rows of a matrix."""
+    return u.flatten().to_numpy(zero_copy_only=False).reshape(len(u), -1)
+
+
+def _batch(vid: np.ndarray, x: np.ndarray, cell: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
+    u = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+    return pa.RecordBatch.from_arrays([pa.array(vid), u, pa.array(cell), pa.array(role)], ["vid", "u", "cell", "role"])
+
+
+def _routed(b: pa.RecordBatch, net: Router, most: int | None, mass: float) -> Iterator[pa.RecordBatch]:
+    """Rows (vid, u, cell, role) in the parts of their cell, a piece at a time: role 0, the stored row, in the most probable
+    one; role 1, the query, in all it asks."""
+    x = matrix(b["u"])
+    vid, cell, role = (b[c].to_numpy() for c in ("vid", "cell", "role"))
+    parts = net.w[3].size
+    step = max(1, PIECE // min(most or parts, parts))
+    for i in range(0, len(x), step):
+        top, cnt = probes(net.probs(x[i : i + step]), most, mass)
+        cnt = np.where(role[i : i + step] == 0, 1, cnt)
+        at = i + np.repeat(np.arange(len(cnt)), cnt)
+        part = top[np.arange(top.shape[1]) < cnt[:, None]]
+        yield _batch(vid[at], x[at], cell[at] * (FAN + 1) + part + 1, role[at])
+
+
+def _runs(batches: Iterator[pa.RecordBatch], most: int | None, mass: float) -> Iterator[pa.RecordBatch]:
+    """Rows (vid, u, cell, role, lane, net) sorted by cell, lane and role, routed. Role -1 is the router of the rows that
+    follow; a cell without one stays as it is."""
+    at, net = None, None
+    for b in batches:
+        cell, lane = b["cell"].to_numpy(), b["lane"].to_numpy()
+        ends = [*(np.flatnonzero((cell[1:] != cell[:-1]) | (lane[1:] != lane[:-1])) + 1).tolist(), len(cell)] if len(cell) else []
+        for i, j in zip([0, *ends], ends, strict=False):
+            if (cell[i], lane[i]) != at:
+                at, net = (cell[i], lane[i]), None
+            if b["role"][i].as_py() == -1:
+                net, i = Router.of(pickle.loads(b["net"][i].as_py())), i + 1
+            if i < j:
+                mine = b.slice(i, j - i).select(["vid", "u", "cell", "role"])
+                yield from _routed(mine, net, most, mass) if net else [mine]
+
+
+def _tasks(spark: SparkSession, rows: int) -> int:
+    """Tasks for so many rows with their vectors, whatever the session's number of shuffle partitions."""
+    return max(spark.sparkContext.defaultParallelism, math.ceil(rows / LANE))
 
 
 def _cells(st: Stages, rows: DataFrame, part_rows: int, fan: int, sample: int, most: int | None, mass: float) -> DataFrame:
@@ -181,18 +219,14 @@ def _cells(st: Stages, rows: DataFrame, part_rows: int, fan: int, sample: int, m
         net = fit_router(np.stack(pdf["u"].to_numpy()).astype(np.float32), int(pdf["parts"].iloc[0]))
         return pd.DataFrame({"cell": [int(pdf["cell"].iloc[0])], "net": [pickle.dumps(net.w)]} if net else {"cell": [], "net": []}).astype({"cell": "int64"})
 
-    def route(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if b.empty or a.empty:
-            return a[["vid", "u", "cell", "role"]]
-        return _routed(a[["vid", "u", "cell", "role"]], Router.of(pickle.loads(b["net"].iloc[0])), most, mass)
-
     settled = None
     for level in range(LEVELS):
-        sizes = rows.where("role = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
+        sizes = rows.groupBy("cell").agg(F.count_if(F.col("role") == 0).alias("n"), F.count(F.lit(1)).alias("n_all"))
         big = st.put(sizes.where(F.col("n") > (SPLIT if level else 1) * part_rows).withColumn("parts", F.least(F.lit(fan), F.ceil(F.col("n") / part_rows)).cast("int")))
-        if not big.limit(1).count():
+        to_route = big.agg(F.sum("n_all")).first()[0]
+        if not to_route:
             break
-        b = big.select(F.col("cell").alias("b_cell"), "n", "parts")
+        b = big.select(F.col("cell").alias("b_cell"), "n", "n_all", "parts")
         share = F.pmod(F.xxhash64("vid", F.lit(5 + level)), F.lit(1 << 30)) < F.floor(F.least(F.lit(1.0), F.lit(float(sample)) / F.col("n")) * (1 << 30))
         few = rows.where("role = 0").join(b, F.col("cell") == F.col("b_cell")).where(share).select("cell", "u", "parts")
         nets = st.put(few.groupBy("cell").applyInPandas(fit, "cell long, net binary"))
@@ -202,40 +236,40 @@ def _cells(st: Stages, rows: DataFrame, part_rows: int, fan: int, sample: int, m
                 break
             shared = st.spark.sparkContext.broadcast(bytes(got[0]["net"]))
 
-            def root(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            def root(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
                 net = Router.of(pickle.loads(shared.value))
-                for pdf in batches:
-                    if len(pdf):
-                        yield _routed(pdf, net, most, mass)
+                for x in batches:
+                    if len(x):
+                        yield from _routed(x, net, most, mass)
 
-            nxt = st.put(rows.mapInPandas(root, schema))
+            nxt = st.put(rows.mapInArrow(root, schema))
         else:
             rest = rows.join(b, F.col("cell") == F.col("b_cell"), "left_anti")
             settled = rest if settled is None else settled.unionByName(rest)
-            lanes = nets.join(b, F.col("cell") == F.col("b_cell")).select("cell", "net", F.explode(F.sequence(F.lit(0), F.floor(F.col("n") / LANE))).alias("lane"))
-            mine = rows.join(b, F.col("cell") == F.col("b_cell")).withColumn("lane", F.pmod(F.xxhash64("vid", "role"), F.floor(F.col("n") / LANE) + 1)).select("vid", "u", "cell", "role", "lane")
-            nxt = st.put(mine.groupBy("cell", "lane").cogroup(lanes.groupBy("cell", "lane")).applyInPandas(route, schema))
+            n_lanes = F.ceil(F.col("n_all") / LANE)
+            lanes = nets.join(b, F.col("cell") == F.col("b_cell")).select(F.lit(None).cast("long").alias("vid"), F.lit(None).cast("array<float>").alias("u"), "cell", F.lit(-1).alias("role"), F.explode(F.sequence(F.lit(0).cast("long"), n_lanes - 1)).alias("lane"), "net")
+            mine = rows.join(b, F.col("cell") == F.col("b_cell")).select("vid", "u", "cell", "role", F.pmod(F.xxhash64("vid", "role"), n_lanes).alias("lane"), F.lit(None).cast("binary").alias("net"))
+            runs = mine.unionByName(lanes).repartition(_tasks(st.spark, to_route), "cell", "lane").sortWithinPartitions("cell", "lane", "role")
+            nxt = st.put(runs.mapInArrow(lambda batches: _runs(batches, most, mass), schema))
         rows = nxt
     return rows if settled is None else st.put(settled.unionByName(rows))
 
 
-def _search(batches, k: int) -> pd.DataFrame:
+def _search(block: pa.Table, k: int) -> pa.Table:
     """Exact top k of a block's queries among its rows."""
-    base, qs = batches[batches["role"] == 0], batches[batches["role"] == 1]
-    if base.empty or qs.empty:
-        return pd.DataFrame({"vid": pd.Series(dtype="int64"), "near": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
-    b, bid = np.stack(base["u"].to_numpy()).astype(np.float32), base["vid"].to_numpy()
-    parts = []
-    for i in range(0, len(qs), 512):
-        q, qid = np.stack(qs["u"].iloc[i : i + 512].to_numpy()).astype(np.float32), qs["vid"].iloc[i : i + 512].to_numpy()
-        s = q @ b.T
-        s[qid[:, None] == bid[None, :]] = -2
-        m = min(k, len(bid))
+    role = block["role"].to_numpy()
+    vid, x = block["vid"].to_numpy(), matrix(block["u"].combine_chunks())
+    b, bid, q, qid = x[role == 0], vid[role == 0], x[role == 1], vid[role == 1]
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    m = min(k, len(bid))
+    for i in range(0, len(q) if m else 0, 512):
+        s = q[i : i + 512] @ b.T
+        s[qid[i : i + 512, None] == bid[None, :]] = -2
         at = np.argpartition(-s, m - 1, axis=1)[:, :m]
         sim = np.take_along_axis(s, at, 1)
         keep = sim.ravel() > -1.5
-        parts.append(pd.DataFrame({"vid": np.repeat(qid, m)[keep], "near": bid[at].ravel()[keep], "sim": sim.ravel()[keep].astype(np.float64)}))
-    return pd.concat(parts, ignore_index=True)
+        parts.append((np.repeat(qid[i : i + 512], m)[keep], bid[at].ravel()[keep], sim.ravel()[keep].astype(np.float64)))
+    return pa.table(dict(zip(("vid", "near", "sim"), map(np.concatenate, zip(*parts, strict=True)), strict=True)))
 
 
 def neighbours(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10, floor: float | None = None, most: int | None = PROBES, mass: float = MASS, part_rows: int = PART_ROWS, fan: int = FAN, sample: int = SAMPLE) -> DataFrame:
@@ -263,13 +297,15 @@ def neighbours(rows: DataFrame, id_col: str, vec_col: str, dim: int, k: int = 10
     routed = _cells(st, uv.select("vid", "u", F.lit(0).cast("long").alias("cell"), both.alias("role")), part_rows, fan, sample, most, mass)
     # a cell larger than planned is cut into blocks, and its queries into lanes; each block meets each lane once
     plan = routed.groupBy(F.col("cell").alias("p_cell")).agg(F.count_if(F.col("role") == 0).alias("stored"), F.count_if(F.col("role") == 1).alias("asking")).where("stored > 0 and asking > 0")
-    plan = st.put(plan.select("p_cell", F.ceil(F.col("stored") / BLOCK).alias("blks"), F.ceil(F.col("asking") / (4 * BLOCK)).alias("lanes")))
+    plan = st.put(plan.select("p_cell", F.ceil(F.col("stored") / BLOCK).alias("blks"), F.ceil(F.col("asking") / (4 * BLOCK)).alias("lanes"), "stored", "asking"))
+    to_search = plan.agg(F.sum(F.col("stored") * F.col("lanes") + F.col("asking") * F.col("blks"))).first()[0] or 0
     h = F.xxhash64("vid", F.lit(8))
     x = routed.join(plan, F.col("cell") == F.col("p_cell"))
     all_of = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
     base = x.where("role = 0").select("vid", "u", "cell", "role", F.pmod(h, F.col("blks")).alias("blk"), F.explode(all_of("lanes")).alias("lane"))
     q = x.where("role = 1").select("vid", "u", "cell", "role", F.explode(all_of("blks")).alias("blk"), F.pmod(h, F.col("lanes")).alias("lane"))
-    found = base.unionByName(q).groupBy("cell", "blk", "lane").applyInPandas(lambda pdf: _search(pdf, k), "vid long, near long, sim double")
+    blocks = base.unionByName(q).repartition(_tasks(spark, to_search), "cell", "blk", "lane").groupBy("cell", "blk", "lane")
+    found = blocks.applyInArrow(lambda block: _search(block, k), "vid long, near long, sim double")
     if floor is not None:
         found = found.where(F.col("sim") >= floor - 1e-5)
     best = st.put(found.withColumn("rk", F.row_number().over(Window.partitionBy("vid").orderBy(F.desc("sim"), "near"))).where(F.col("rk") <= k).drop("rk"))

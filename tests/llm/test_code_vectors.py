@@ -1,9 +1,13 @@
 """Syntax, origin and neighbours on stated cases and against brute force."""
 
+import pickle
 import random
 import re
+import threading
 
 import numpy as np
+import psutil
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,6 +206,49 @@ def test_cells_within_cells(spark):
     assert neighbours.recall(df, "block_id", "v", 16, 10, every=10, most=None, **small).first()["recall"] == 1.0
 
 
+def test_runs_of_routed_rows():
+    """A router serves the rows after it, across batches; a cell without one stays; pieces are bounded."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(9000, 8)).astype(np.float32)
+    net = neighbours.Router(8, 20)
+    rows = [(None, None, 3, -1, 0, pickle.dumps(net.w))] + [(i, x[i].tolist(), 3, i % 2, 0, None) for i in range(8000)] + [(i, x[i].tolist(), 4, i % 2, 0, None) for i in range(8000, 9000)]
+    schema = pa.schema([("vid", pa.int64()), ("u", pa.list_(pa.float32())), ("cell", pa.int64()), ("role", pa.int32()), ("lane", pa.int64()), ("net", pa.binary())])
+    whole = pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema)
+    top, cnt = neighbours.probes(net.probs(x[:8000]), 12, 0.9)
+    want = sorted([(i, 3 * (neighbours.FAN + 1) + int(p) + 1, i % 2) for i in range(8000) for p in top[i, : cnt[i] if i % 2 else 1]] + [(i, 4, i % 2) for i in range(8000, 9000)])
+    for cuts in ([0, 9001], [0, 1, 5000, 8001, 9001], [0, 8500, 9001]):
+        out = list(neighbours._runs((b for i, j in zip(cuts, cuts[1:], strict=False) for b in whole.slice(i, j - i).combine_chunks().to_batches()), 12, 0.9))
+        assert max(len(b) for b in out) <= neighbours.PIECE
+        got = pa.Table.from_batches(out)
+        assert sorted(zip(*(got[c].to_pylist() for c in ("vid", "cell", "role")), strict=True)) == want
+        assert all(np.array_equal(neighbours.matrix(b["u"]), x[b["vid"].to_numpy()]) for b in out)
+
+
+def test_memory_does_not_follow_the_cell(spark):
+    """Two cells of about 45,000 rows, routed again: a worker holds a piece of a cell at a time."""
+    n, peak, done = 90_000, [0], threading.Event()
+    jvm = spark.sparkContext._gateway.proc.pid
+
+    def watch():
+        while not done.wait(0.02):
+            for p in psutil.Process(jvm).children(recursive=True):
+                try:
+                    peak[0] = max(peak[0], p.memory_full_info().uss)
+                except psutil.Error:
+                    pass
+
+    rows = spark.range(n).select(F.col("id").alias("vid"), F.array(*[F.randn(i).cast("float") for i in range(16)]).alias("u"), F.lit(0).cast("long").alias("cell"), F.explode(F.array(F.lit(0), F.lit(1))).alias("role"))
+    watcher = threading.Thread(target=watch)
+    watcher.start()
+    try:
+        out = neighbours._cells(neighbours.Stages(spark, "test"), rows, 7_500, 2, 800, None, 1.0).where("role = 0").groupBy("cell").count().collect()
+    finally:
+        done.set()
+        watcher.join()
+    assert sum(r["count"] for r in out) == n and len(out) == 4
+    assert 0 < peak[0] < 200e6, peak
+
+
 def test_parts_are_balanced():
     rng = np.random.default_rng(3)
     x = neighbours.unit(np.r_[rng.normal(size=(900, 8)) * 0.05 + 1, rng.normal(size=(300, 8))].astype(np.float32))

@@ -285,9 +285,11 @@ SCRIPT_REQUIRE = r"\brequire\([ \t]*['\"]([^'\"\n]+)['\"][ \t]*\)"
 
 
 def bare_code(content: Column | str) -> Column:
-    """Source text with its comments blanked, strings kept. Escapes in strings are honoured; a template literal is a string."""
+    """Source text with its comments blanked, strings kept. Escapes in strings are honoured; a template literal is a string.
+
+    The repeated groups are possessive: Java matches these in a loop and all others by recursion, which a long string overflows."""
     c = F.col(content) if isinstance(content, str) else content
-    keep = r"(\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\.)*`)|//[^\n]*|(?s:/\*.*?\*/)"
+    keep = r"(\"(?:[^\"\\\n]++|\\.)*+\"|'(?:[^'\\\n]++|\\.)*+'|`(?:[^`\\]++|\\.)*+`)|//[^\n]*|(?s:/\*.*?\*/)"
     return F.regexp_replace(F.regexp_replace(c, r"\r\n?", "\n"), keep, "$1")
 
 

@@ -200,3 +200,10 @@ def test_similar_texts_equal_all_pairs():
     got = {(x, y, round(s, 9)) for x, t in a.items() for y, s in texts.similar(t.split(), Counter(t.split()), 0.6)}
     want = {(x, y, round(do.difflib.SequenceMatcher(None, t.split(), u.split(), autojunk=False).ratio(), 9)) for x, t in a.items() for y, u in b.items()}
     assert got == {w for w in want if w[2] >= 0.6}
+
+
+def test_imports_beside_long_strings(spark):
+    long = ["'" + "x" * 300_000 + "'", '"' + r"\"x" * 100_000 + '"', "`" + "// no\n" * 50_000 + "`", '"' + "y" * 300_000]
+    rows = [(k, 1, f"a/f{k}.ts", f"import {{ a }} from './a';\nconst t = {t};\n// import './c';\nimport './b{k}';\n") for k, t in enumerate(long)]
+    got = {(r["file_id"], r["form"], r["spec"]) for r in src.imports(spark.createDataFrame(rows, "file_id long, codebase_id long, path string, content string")).collect()}
+    assert got == {(k, "from", "./a") for k in range(4)} | {(k, "bare", f"./b{k}") for k in range(4)}
